@@ -51,7 +51,7 @@ def normalize_location(c: Column) -> Column:
 def _ymd_to_date(y: Column, m: Column, d: Column) -> Column:
     text = F.concat(F.lpad(y.cast("string"), 4, "0"), F.lit("-"), F.lpad(m.cast("string"), 2, "0"), F.lit("-"),
                     F.lpad(d.cast("string"), 2, "0"))
-    return F.try_to_date(text, F.lit("yyyy-MM-dd"))
+    return F.try_to_date(text, "yyyy-MM-dd")
 
 
 ISO_RE = r"^(\d{4})-(\d{1,2})-(\d{1,2})$"
@@ -118,3 +118,14 @@ def reasons(pairs: list[tuple[Column, str]], default: str | None = None, sep: st
     if default is None:
         return joined
     return F.when(F.size(arr) == 0, F.lit(default)).otherwise(joined)
+
+
+def exact_mean2(c: str) -> Column:
+    """Mean of a 2-decimal quantity (money, rates) computed from an exact DECIMAL sum,
+    so every engine returns the same double whatever the summation order."""
+    return F.sum(F.col(c).cast("decimal(18,2)")).cast("double") / F.count(c)
+
+
+def exact_sum2(c: str) -> Column:
+    """Exact sum of a 2-decimal quantity, as DOUBLE."""
+    return F.sum(F.col(c).cast("decimal(18,2)")).cast("double")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ranking as R
+from ..functions import expr as X
 from .clean import require_columns
 
 GRADES = ["A", "B", "C", "D", "E"]
@@ -27,12 +28,12 @@ def monthly_volume(loans: DataFrame) -> DataFrame:
     funded total in millions. Rows with NULL issue date or funded amount are dropped."""
     require_columns(loans, ["issue_d", "funded_amnt", "int_rate", "loan_amnt"], "monthly loan volume")
     work = loans.filter(F.col("issue_d").isNotNull() & F.col("funded_amnt").isNotNull())
-    funded = F.round(F.sum("funded_amnt"), 2)
+    funded = X.exact_sum2("funded_amnt")
     return work.groupBy(month_start().alias("month_start")).agg(
         funded.alias("funded_amnt"),
         F.count(F.lit(1)).alias("loan_count"),
-        F.avg("int_rate").alias("avg_int_rate"),
-        F.avg("loan_amnt").alias("avg_loan_amnt"),
+        X.exact_mean2("int_rate").alias("avg_int_rate"),
+        X.exact_mean2("loan_amnt").alias("avg_loan_amnt"),
         (funded / 1000000.0).alias("funded_amnt_m"),
     )
 
@@ -44,11 +45,11 @@ def grade_monthly(loans: DataFrame, grades: list[str] | None = None) -> DataFram
     work = work.withColumn("grade", F.upper(F.trim("grade")))
     if grades:
         work = work.filter(F.col("grade").isin(grades))
-    funded = F.round(F.sum("funded_amnt"), 2)
+    funded = X.exact_sum2("funded_amnt")
     return work.groupBy(month_start().alias("month_start"), "grade").agg(
         funded.alias("funded_amnt"),
         F.count(F.lit(1)).alias("loan_count"),
-        F.avg("int_rate").alias("avg_int_rate"),
+        X.exact_mean2("int_rate").alias("avg_int_rate"),
         (funded / 1000000.0).alias("funded_amnt_m"),
     )
 

@@ -65,9 +65,10 @@ def group_row_number(df: DataFrame, group: list[str], order: list[Column], out:
     ranked = global_row_number(df, [F.col(g) for g in group] + order, out="_rk_g", partitions=partitions)
     starts = ranked.groupBy(*group).agg(F.min("_rk_g").alias("_rk_start"), F.count(F.lit(1)).alias("_rk_n"))
     res = ranked.join(starts, group).withColumn(out, F.col("_rk_g") - F.col("_rk_start") + 1)
+    res = res.drop("_rk_g", "_rk_start")
     if size_out:
-        res = res.withColumnRenamed("_rk_n", size_out)
-    return res.drop("_rk_g", "_rk_start", "_rk_n")
+        return res.withColumnRenamed("_rk_n", size_out) if size_out != "_rk_n" else res
+    return res.drop("_rk_n")
 
 
 def group_quantiles(df: DataFrame, group: list[str], value: str, quantiles: dict[str, float],

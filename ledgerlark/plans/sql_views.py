@@ -108,11 +108,11 @@ clean_loans AS (
 VIEWS["monthly_volume"] = """
 monthly_volume AS (
   SELECT CAST(date_trunc('month', issue_d) AS DATE) AS month_start,
-         round(sum(funded_amnt), 2) AS funded_amnt,
+         CAST(sum(CAST(funded_amnt AS DECIMAL(18,2))) AS DOUBLE) AS funded_amnt,
          count(*) AS loan_count,
-         avg(int_rate) AS avg_int_rate,
-         avg(loan_amnt) AS avg_loan_amnt,
-         round(sum(funded_amnt), 2) / 1000000.0 AS funded_amnt_m
+         CAST(sum(CAST(int_rate AS DECIMAL(18,2))) AS DOUBLE) / count(int_rate) AS avg_int_rate,
+         CAST(sum(CAST(loan_amnt AS DECIMAL(18,2))) AS DOUBLE) / count(loan_amnt) AS avg_loan_amnt,
+         CAST(sum(CAST(funded_amnt AS DECIMAL(18,2))) AS DOUBLE) / 1000000.0 AS funded_amnt_m
   FROM clean_loans WHERE issue_d IS NOT NULL AND funded_amnt IS NOT NULL
   GROUP BY 1)"""
 
@@ -120,10 +120,10 @@ VIEWS["grade_monthly"] = """
 grade_monthly AS (
   SELECT CAST(date_trunc('month', issue_d) AS DATE) AS month_start,
          upper(trim(grade)) AS grade,
-         round(sum(funded_amnt), 2) AS funded_amnt,
+         CAST(sum(CAST(funded_amnt AS DECIMAL(18,2))) AS DOUBLE) AS funded_amnt,
          count(*) AS loan_count,
-         avg(int_rate) AS avg_int_rate,
-         round(sum(funded_amnt), 2) / 1000000.0 AS funded_amnt_m
+         CAST(sum(CAST(int_rate AS DECIMAL(18,2))) AS DOUBLE) / count(int_rate) AS avg_int_rate,
+         CAST(sum(CAST(funded_amnt AS DECIMAL(18,2))) AS DOUBLE) / 1000000.0 AS funded_amnt_m
   FROM clean_loans WHERE issue_d IS NOT NULL AND grade IS NOT NULL AND funded_amnt IS NOT NULL
   GROUP BY 1, 2)"""
 
@@ -249,3 +249,62 @@ def with_views(*names: str) -> str:
     for n in names:
         visit(n)
     return "WITH " + ",\n".join(VIEWS[n].strip() for n in ordered) + "\n"
+
+
+def sql_parse_mixed_dates(col: str, pivot: int = 76) -> str:
+    """DuckDB twin of ``functions.expr.parse_mixed_dates``."""
+    iso = r"'^(\d{4})-(\d{1,2})-(\d{1,2})$'"
+    dmy = r"'^(\d{1,2})[/-](\d{1,2})[/-](\d{4}|\d{2})$'"
+    s = f"trim(CAST({col} AS VARCHAR))"
+    a = f"TRY_CAST(regexp_extract({s}, {dmy}, 1) AS INTEGER)"
+    b = f"TRY_CAST(regexp_extract({s}, {dmy}, 2) AS INTEGER)"
+    yt = f"regexp_extract({s}, {dmy}, 3)"
+    y = (f"(CASE WHEN length({yt}) = 2 THEN (CASE WHEN TRY_CAST({yt} AS INTEGER) < {pivot} "
+         f"THEN TRY_CAST({yt} AS INTEGER) + 2000 ELSE TRY_CAST({yt} AS INTEGER) + 1900 END) ELSE TRY_CAST({yt} AS INTEGER) END)")
+    day = f"(CASE WHEN {b} <= 12 THEN {a} ELSE {b} END)"
+    mon = f"(CASE WHEN {b} <= 12 THEN {b} ELSE {a} END)"
+
+    def ymd(yy, mm, dd):
+        return (f"CAST(try_strptime(lpad(CAST({yy} AS VARCHAR), 4, '0') || '-' || lpad(CAST({mm} AS VARCHAR), 2, '0') || '-' || "
+                f"lpad(CAST({dd} AS VARCHAR), 2, '0'), '%Y-%m-%d') AS DATE)")
+    iso_d = ymd(f"TRY_CAST(regexp_extract({s}, {iso}, 1) AS INTEGER)", f"TRY_CAST(regexp_extract({s}, {iso}, 2) AS INTEGER)",
+                f"TRY_CAST(regexp_extract({s}, {iso}, 3) AS INTEGER)")
+    return (f"(CASE WHEN regexp_matches({s}, {iso}) THEN {iso_d} "
+            f"WHEN regexp_matches({s}, {dmy}) AND ({b} <= 12 OR {a} <= 12) THEN {ymd(y, mon, day)} ELSE NULL END)")
+
+
+def sql_normalize_location(col: str) -> str:
+    s = f"trim(regexp_replace(regexp_replace(upper(CAST({col} AS VARCHAR)), '[^A-Z0-9 ]', '', 'g'), '\\s+', ' ', 'g'))"
+    return f"(CASE WHEN {col} IS NULL OR {s} IN ('', 'NAN', 'NONE') THEN 'UNKNOWN' ELSE {s} END)"
+
+
+VIEWS["tx_clean"] = f"""
+tx_clean AS (
+  WITH p AS (
+    SELECT TransactionID, trim(CustomerID) AS CustomerID,
+           {sql_parse_mixed_dates('CustomerDOB')} AS dob,
+           CustLocation, {sql_normalize_location('CustLocation')} AS CustLocationNorm,
+           TRY_CAST(CustAccountBalance AS DOUBLE) AS CustAccountBalance,
+           {sql_parse_mixed_dates('TransactionDate')} AS TransactionDate,
+           TRY_CAST("TransactionAmount (INR)" AS DOUBLE) AS TransactionAmount
+    FROM transactions),
+  f AS (
+    SELECT TransactionID, CustomerID, CASE WHEN year(dob) < 1900 THEN NULL ELSE dob END AS CustomerDOB, CustLocation,
+           CustLocationNorm, CustAccountBalance, TransactionDate, TransactionAmount
+    FROM p
+    WHERE CustomerID IS NOT NULL AND TransactionDate IS NOT NULL AND TransactionAmount IS NOT NULL
+      AND CustAccountBalance IS NOT NULL AND TransactionAmount >= 0),
+  r AS (SELECT max(TransactionDate) AS ref FROM f)
+  SELECT f.*, CASE WHEN date_diff('day', CustomerDOB, ref) / 365.25 < 18 OR date_diff('day', CustomerDOB, ref) / 365.25 > 100
+                   THEN NULL ELSE date_diff('day', CustomerDOB, ref) / 365.25 END AS Age
+  FROM f CROSS JOIN r)"""
+DEPS["tx_clean"] = ["transactions"]
+
+# Deterministic stand-in for model outputs (S-checkable): linear, clipped scores.
+VIEWS["scored_loans"] = """
+scored_loans AS (
+  SELECT *,
+         least(0.99, greatest(0.01, (int_rate - 5) / 25 + (dti - 17.5) / 100)) AS default_probability,
+         least(0.99, greatest(0.01, 0.1 + coalesce(emp_length, 0) / 15 - coalesce(revol_util, 0) / 500)) AS churn_probability
+  FROM clean_loans)"""
+DEPS["scored_loans"] = ["clean_loans"]
