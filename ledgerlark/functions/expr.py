@@ -129,3 +129,15 @@ def exact_mean2(c: str) -> Column:
 def exact_sum2(c: str) -> Column:
     """Exact sum of a 2-decimal quantity, as DOUBLE."""
     return F.sum(F.col(c).cast("decimal(18,2)")).cast("double")
+
+
+def rnd(c: Column, digits: int) -> Column:
+    """Round half up as ``floor(x * 10^d + 0.5) / 10^d``: the same IEEE operations in
+    every engine, so equal inputs give equal outputs even on exact ties."""
+    p = float(10 ** digits)
+    return (F.floor(c * p + 0.5) / p).cast("double")
+
+
+def sql_rnd(expr: str, digits: int) -> str:
+    p = float(10 ** digits)
+    return f"(floor(({expr}) * {p!r} + 0.5) / {p!r})"
