@@ -130,9 +130,9 @@ grade_monthly AS (
 # Many-series long form: one series per grade plus the total.
 VIEWS["series"] = """
 series AS (
-  SELECT grade AS series_id, month_start, funded_amnt_m AS value FROM grade_monthly
+  SELECT grade AS series_id, month_start, funded_amnt / 1000.0 AS value FROM grade_monthly
   UNION ALL
-  SELECT 'TOTAL' AS series_id, month_start, funded_amnt_m AS value FROM monthly_volume)"""
+  SELECT 'TOTAL' AS series_id, month_start, funded_amnt / 1000.0 AS value FROM monthly_volume)"""
 
 # Sparse many-series table with gaps: per nation, monthly funded amount of grade-A
 # loans over the full month spine (NULL where a nation had none that month).
@@ -144,7 +144,7 @@ nation_series AS (
   nations AS (SELECT n_nationkey, n_name FROM nation),
   agg AS (
     SELECT c.c_nationkey AS n_nationkey, CAST(date_trunc('month', l.issue_d) AS DATE) AS month_start,
-           round(sum(l.funded_amnt), 2) / 1000000.0 AS value
+           CAST(sum(CAST(l.funded_amnt AS DECIMAL(18,2))) AS DOUBLE) / 1000.0 AS value
     FROM loans l JOIN customer c ON l.member_id = c.c_custkey
     WHERE l.grade = 'A'
     GROUP BY 1, 2)

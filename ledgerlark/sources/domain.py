@@ -204,9 +204,9 @@ def grade_monthly(t: Tables) -> DataFrame:
 
 
 def series(t: Tables) -> DataFrame:
-    """Long many-series table: one series per grade plus ``TOTAL``."""
-    g = grade_monthly(t).select(F.col("grade").alias("series_id"), "month_start", F.col("funded_amnt_m").alias("value"))
-    m = monthly_volume(t).select(F.lit("TOTAL").alias("series_id"), "month_start", F.col("funded_amnt_m").alias("value"))
+    """Long many-series table: one series per grade plus ``TOTAL``; value = funded amount in thousands."""
+    g = grade_monthly(t).select(F.col("grade").alias("series_id"), "month_start", (F.col("funded_amnt") / 1000.0).alias("value"))
+    m = monthly_volume(t).select(F.lit("TOTAL").alias("series_id"), "month_start", (F.col("funded_amnt") / 1000.0).alias("value"))
     return g.unionByName(m)
 
 
@@ -220,7 +220,7 @@ def nation_series(t: Tables) -> DataFrame:
     cust = t.customer.select("c_custkey", "c_nationkey")
     agg = (lo.filter(F.col("grade") == "A").join(cust, F.col("member_id") == F.col("c_custkey"))
            .groupBy(F.col("c_nationkey").alias("n_nationkey"), month.alias("month_start"))
-           .agg((F.round(F.sum("funded_amnt"), 2) / 1000000.0).alias("value")))
+           .agg((X.exact_sum2("funded_amnt") / 1000.0).alias("value")))
     # spine (months) x nations are both small and bounded by calendar/nation counts.
     grid = F.broadcast(spine).crossJoin(F.broadcast(nations))
     return grid.join(agg, ["n_nationkey", "month_start"], "left").select(
