@@ -35,4 +35,4 @@ def load_all() -> None:
         importlib.import_module(f"{__package__}.{name}")
 
 
-PLAN_MODULES = ["q_clean", "q_risk", "q_series"]
+PLAN_MODULES = ["q_clean", "q_risk", "q_series", "q_windows"]
