@@ -148,16 +148,18 @@ def distinct_values(df: DataFrame, cols: list[str]) -> DataFrame:
     return out
 
 
-def column_profile(df: DataFrame, cols: list[str]) -> DataFrame:
+def column_profile(df: DataFrame, cols: list[str], mean_scale: int | None = None) -> DataFrame:
     """name, type, null_pct, mean, min, max, unique_count per column (one aggregate pass;
-    ``count(DISTINCT)`` is exact)."""
+    ``count(DISTINCT)`` is exact). ``mean_scale`` = known decimal places of the numeric
+    columns: the mean is then taken over an exact DECIMAL sum."""
     types = dict(df.dtypes)
     aggs = [F.count(F.lit(1)).alias("__n")]
     for c in cols:
         numeric = types[c] in ("int", "bigint", "double", "float", "smallint", "tinyint") or types[c].startswith("decimal")
         aggs += [
             F.sum(F.col(c).isNull().cast("long")).alias(f"{c}__nulls"),
-            (F.avg(c) if numeric else F.lit(None).cast("double")).alias(f"{c}__mean"),
+            ((F.sum(F.col(c).cast(f"decimal(38,{mean_scale})")).cast("double") / F.count(c) if mean_scale is not None
+              else F.avg(c)) if numeric else F.lit(None).cast("double")).alias(f"{c}__mean"),
             F.min(c).cast("string").alias(f"{c}__min"),
             F.max(c).cast("string").alias(f"{c}__max"),
             F.countDistinct(c).alias(f"{c}__uniq"),
