@@ -191,11 +191,5 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def average_rank(df: DataFrame, c: str) -> DataFrame:
-    """(value, average 1-based rank of that value among all rows) with ties averaged.
-
-    Works on distinct values: a global running count over the value order (range
-    partitioned, see ``ranking``) gives each value's last rank; its first rank is that
-    minus its count plus one."""
-    vc = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_cnt"))
-    cum = R.global_row_number(vc, [F.col(c)], out="_vr", sum_col="_cnt", cum_out="_hi")
-    return cum.select(c, ((F.col("_hi") - F.col("_cnt") + 1 + F.col("_hi")) / 2.0).alias(f"_r_{c}"))
+    """(value, average rank) with ties averaged; see ``ranking.average_rank_table``."""
+    return R.average_rank_table(df, c, out=f"_r_{c}")

@@ -110,3 +110,13 @@ def quintile_score(rank: Column, n: Column, higher_is_better: bool = True) -> Co
     # floor((num + den - 1) / den) == ceil(num / den) for non-negative integers
     s = F.when(den <= 0, F.lit(5)).otherwise(F.greatest(F.lit(1), F.floor((num + den - 1) / den)).cast("int"))
     return s if higher_is_better else (F.lit(6) - s)
+
+
+def average_rank_table(df: DataFrame, c: str, out: str = "_avg_rank") -> DataFrame:
+    """(value, average 1-based rank of that value among all non-null rows), ties averaged.
+
+    Works on distinct values: a global running count over the value order gives each
+    value's last rank; its first rank is that minus its count plus one."""
+    vc = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_cnt"))
+    cum = global_row_number(vc, [F.col(c)], out="_vr", sum_col="_cnt", cum_out="_hi")
+    return cum.select(c, ((F.col("_hi") - F.col("_cnt") + 1 + F.col("_hi")) / 2.0).alias(out))
