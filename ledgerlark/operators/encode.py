@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame
@@ -127,14 +128,21 @@ def one_hot_columns(df: DataFrame, cat_cols: list[str], max_categories: int = 10
     return pairs
 
 
+def dummy_name(c: str, v: str, safe: bool = False) -> str:
+    name = f"{c}_{v}"
+    return re.sub(r"[^0-9A-Za-z_]", "_", name) if safe else name
+
+
 def one_hot(df: DataFrame, cat_cols: list[str], pass_cols: list[str], keep: list[str] | None = None,
-            pairs: list[tuple[str, str]] | None = None) -> tuple[DataFrame, list[str]]:
+            pairs: list[tuple[str, str]] | None = None, safe_names: bool = False) -> tuple[DataFrame, list[str]]:
     """``pd.get_dummies``: pass-through columns first, then ``col_value`` 0/1 columns in
-    column order and sorted value order. Returns the frame and its feature list."""
+    column order and sorted value order. Returns the frame and its feature list.
+    ``safe_names`` maps characters other than letters, digits and ``_`` to ``_`` (ML
+    column references cannot contain dots)."""
     pairs = pairs if pairs is not None else one_hot_columns(df, cat_cols)
-    feats = list(pass_cols) + [f"{c}_{v}" for c, v in pairs]
+    feats = list(pass_cols) + [dummy_name(c, v, safe_names) for c, v in pairs]
     sel = [F.col(k) for k in keep or []] + [F.col(c) for c in pass_cols]
-    sel += [(F.col(c).cast("string") == v).cast("int").alias(f"{c}_{v}") for c, v in pairs]
+    sel += [(F.col(c).cast("string") == v).cast("int").alias(dummy_name(c, v, safe_names)) for c, v in pairs]
     return df.select(*sel), feats
 
 
@@ -146,7 +154,7 @@ def campaign_design(campaign: DataFrame, pairs: list[tuple[str, str]] | None = N
     cats = [c for c in cols if types[c] == "string"]
     nums = [c for c in cols if types[c] != "string"]
     keep = [k for k in ["client_id", "target"] if k in data.columns]
-    return one_hot(data, cats, nums, keep=keep, pairs=pairs)
+    return one_hot(data, cats, nums, keep=keep, pairs=pairs, safe_names=True)
 
 
 def align_features(df: DataFrame, feature_columns: list[str], keep: list[str] | None = None) -> DataFrame:
