@@ -15,8 +15,11 @@ def nan_to_null(c: Column) -> Column:
     return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
 
 
-def to_double(c: Column) -> Column:
-    """``pd.to_numeric(errors="coerce")``: text or numbers to DOUBLE, bad/NaN -> NULL."""
+def to_double(c: Column, numeric: bool = False) -> Column:
+    """``pd.to_numeric(errors="coerce")``: text or numbers to DOUBLE, bad/NaN -> NULL.
+    ``numeric=True`` (input already numeric) skips the text round trip."""
+    if numeric:
+        return nan_to_null(c.cast("double"))
     return nan_to_null(F.trim(c.cast("string")).try_cast("double"))
 
 
@@ -49,9 +52,8 @@ def normalize_location(c: Column) -> Column:
 
 
 def _ymd_to_date(y: Column, m: Column, d: Column) -> Column:
-    text = F.concat(F.lpad(y.cast("string"), 4, "0"), F.lit("-"), F.lpad(m.cast("string"), 2, "0"), F.lit("-"),
-                    F.lpad(d.cast("string"), 2, "0"))
-    return F.try_to_date(text, "yyyy-MM-dd")
+    """Date from integer parts, NULL when they do not form a real date."""
+    return F.try_make_timestamp(y, m, d, F.lit(0), F.lit(0), F.lit(0)).cast("date")
 
 
 ISO_RE = r"^(\d{4})-(\d{1,2})-(\d{1,2})$"
@@ -69,16 +71,14 @@ def parse_mixed_dates(c: Column, pivot: int = 76) -> Column:
     s = F.trim(c.cast("string"))
     iso = s.rlike(ISO_RE)
     dmy = s.rlike(DMY_RE)
-    a = F.regexp_extract(s, DMY_RE, 1).try_cast("int")
-    b = F.regexp_extract(s, DMY_RE, 2).try_cast("int")
-    ytxt = F.regexp_extract(s, DMY_RE, 3)
-    yy = ytxt.try_cast("int")
+    # once the shape is known, one split yields the three numbers
+    parts = F.split(s, "[/-]")
+    p0, p1, ytxt = F.get(parts, 0), F.get(parts, 1), F.get(parts, 2)
+    a, b, yy = p0.try_cast("int"), p1.try_cast("int"), ytxt.try_cast("int")
     year = F.when(F.length(ytxt) == 2, F.when(yy < pivot, yy + 2000).otherwise(yy + 1900)).otherwise(yy)
     day = F.when(b <= 12, a).otherwise(b)
     month = F.when(b <= 12, b).otherwise(a)
-    iso_date = _ymd_to_date(F.regexp_extract(s, ISO_RE, 1).try_cast("int"), F.regexp_extract(s, ISO_RE, 2).try_cast("int"),
-                            F.regexp_extract(s, ISO_RE, 3).try_cast("int"))
-    return (F.when(iso, iso_date)
+    return (F.when(iso, _ymd_to_date(a, b, yy))
             .when(dmy & ((b <= 12) | (a <= 12)), _ymd_to_date(year, month, day))
             .otherwise(F.lit(None).cast("date")))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
+from ..session import stable
 
 VALID_STATUSES = ["Fully Paid", "Charged Off"]
 CRITICAL_COLUMNS = ["loan_status", "loan_amnt", "int_rate", "annual_inc", "dti", "grade", "issue_d"]
@@ -166,7 +167,7 @@ AMOUNT_ALIASES = ["TransactionAmount", "TransactionAmount (INR)"]
 TX_REQUIRED = ["CustomerID", "CustomerDOB", "CustLocation", "CustAccountBalance", "TransactionDate"]
 
 
-def prepare_transactions(df: DataFrame, pivot: int = 76) -> DataFrame:
+def prepare_transactions(df: DataFrame, pivot: int = 76, materialize: bool = True) -> DataFrame:
     """Clean card transactions: alias rename, trim ids, normalise location, coerce
     numbers and mixed dates, DOB before 1900 -> NULL, drop unusable rows, amount >= 0,
     and age against the latest transaction date (outside 18..100 -> NULL).
@@ -177,6 +178,9 @@ def prepare_transactions(df: DataFrame, pivot: int = 76) -> DataFrame:
     require_columns(df, TX_REQUIRED, "wealth persona", any_of=[AMOUNT_ALIASES])
     amount_col = "TransactionAmount" if "TransactionAmount" in df.columns else "TransactionAmount (INR)"
     keep = [F.col(c) for c in ["TransactionID"] if c in df.columns]
+    types = dict(df.dtypes)
+    numeric = {c: types[c] in ("double", "float", "int", "bigint", "smallint") or types[c].startswith("decimal")
+               for c in ["CustAccountBalance", amount_col]}
     dob = X.parse_mixed_dates(F.col("CustomerDOB"), pivot)
     tx = df.select(
         *keep,
@@ -184,12 +188,16 @@ def prepare_transactions(df: DataFrame, pivot: int = 76) -> DataFrame:
         F.when(F.year(dob) < 1900, F.lit(None).cast("date")).otherwise(dob).alias("CustomerDOB"),
         F.col("CustLocation"),
         X.normalize_location(F.col("CustLocation")).alias("CustLocationNorm"),
-        X.to_double(F.col("CustAccountBalance")).alias("CustAccountBalance"),
+        X.to_double(F.col("CustAccountBalance"), numeric["CustAccountBalance"]).alias("CustAccountBalance"),
         X.parse_mixed_dates(F.col("TransactionDate"), pivot).alias("TransactionDate"),
-        X.to_double(F.col(f"`{amount_col}`")).alias("TransactionAmount"),
+        X.to_double(F.col(f"`{amount_col}`"), numeric[amount_col]).alias("TransactionAmount"),
     )
     tx = tx.dropna(subset=["CustomerID", "TransactionDate", "TransactionAmount", "CustAccountBalance"])
     tx = tx.filter(F.col("TransactionAmount") >= 0)
+    if materialize:
+        # every consumer (reference date here; RFM, benchmarks, personas downstream)
+        # reads this table several times: parse the text once and cut the lineage
+        tx = stable(tx)
     ref = tx.agg(F.max("TransactionDate").alias("_ref_date"))
     tx = tx.crossJoin(F.broadcast(ref))  # one row: the reference date
     age = F.datediff(F.col("_ref_date"), F.col("CustomerDOB")) / 365.25
