@@ -193,3 +193,14 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
 def average_rank(df: DataFrame, c: str) -> DataFrame:
     """(value, average rank) with ties averaged; see ``ranking.average_rank_table``."""
     return R.average_rank_table(df, c, out=f"_r_{c}")
+
+
+def ordered_distinct(df: DataFrame, keys: list[str], item: str, order: list[str], out: str = "items") -> DataFrame:
+    """Distinct ``item`` values per key, in order of first occurrence (``dict.fromkeys``).
+
+    First occurrences come from a partial-aggregated ``min(struct(order))`` per
+    (key, item), so a hot key never gathers its raw rows; only its distinct items (a
+    small vocabulary, e.g. reason labels) are collected and sorted."""
+    first = df.groupBy(*keys, item).agg(F.min(F.struct(*order)).alias("_first"))
+    g = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_first", F.col(item).alias("_it")))).alias("_s"))
+    return g.select(*keys, F.transform("_s", lambda s: s["_it"]).alias(out))

@@ -207,3 +207,17 @@ def regression_metrics(pred: DataFrame, label: str = "label", prediction: str =
     err = F.col(label) - F.col(prediction)
     return pred.agg(X.rnd(F.avg(F.abs(err) / F.greatest(F.abs(F.col(label)), F.lit(1e-6))) * 100, 4).alias("mape"),
                     X.rnd(F.sqrt(F.avg(err * err)), 4).alias("rmse"))
+
+
+def required_features(df: DataFrame, feature_sets: dict[str, list[str]]) -> DataFrame:
+    """Sorted union of the features each model needs, where a model needs the features
+    of its list that vary in ``df`` (min != max). One pass computes min/max of every
+    column; the union runs on the tiny stacked result."""
+    cols = sorted({c for fs in feature_sets.values() for c in fs})
+    row = df.agg(*[F.coalesce(F.min(c) != F.max(c), F.lit(False)).alias(c) for c in cols])
+    stacked = row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("varies")) for c in cols])))
+    parts = [stacked.filter(F.col("varies") & F.col("feature").isin(fs)).select("feature") for fs in feature_sets.values()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.distinct().orderBy("feature")

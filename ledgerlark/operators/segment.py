@@ -164,3 +164,28 @@ def persona_mapping(profile: DataFrame, cluster_col: str = "Cluster") -> DataFra
             .when(F.col("_r1") == 1, PERSONAS[0]).when(F.col("_r2") == 1, PERSONAS[1])
             .when(F.col("_r3") == 1, PERSONAS[2]).otherwise(PERSONAS[3]))
     return p.withColumn("Persona", name).drop("_k", "_r1", "_r2", "_r3")
+
+
+def persona_pipeline(tx: DataFrame, k: int = 4, n_init: int = 20, seed: int = 42) -> DataFrame:
+    """End to end: cleaned transactions (materialised once by ``prepare_transactions``)
+    -> RFM and wealth layer -> k-means personas on standardised R/F/M -> per-customer
+    behavioural anomaly counts -> the customer's regional potential; one row per
+    customer. Every stage is a join on the customer or location key; cluster and region
+    table has k rows and is broadcast; the regional table (one row per location) is
+    left to AQE, which broadcasts it only when its measured size allows."""
+    from . import ml as M
+    cust = rfm_wealth_layer(tx)
+    z = M.standard_scale(cust, ["Recency", "Frequency", "Monetary"], suffix="_z")
+    _, assigned = M.kmeans_best(z, ["Recency_z", "Frequency_z", "Monetary_z"], k=k, n_init=n_init, seed=seed)
+    assigned = assigned.drop("Recency_z", "Frequency_z", "Monetary_z")
+    prof = persona_mapping(cluster_profile(assigned))
+    beh = behavioral_anomalies(tx).groupBy("CustomerID").agg(
+        F.sum(F.col("IsBehavioralAnomaly").cast("int")).alias("BehavioralAnomalies"),
+        F.max("BehavioralAnomalyScore").alias("MaxBehavioralScore"))
+    reg = regional_intelligence(assigned).select("CustLocationNorm", "PotentialScore", "HighPotentialZone")
+    out = (assigned.join(F.broadcast(prof.select("Cluster", "Persona")), "Cluster")
+           .join(beh, "CustomerID", "left")
+           .join(reg, "CustLocationNorm", "left"))
+    return out.select("CustomerID", "Cluster", "Persona", "Recency", "Frequency", "Monetary", "RFM_Score", "WealthValue",
+                      "IsVitalFew", "CustLocationNorm", "PotentialScore", "HighPotentialZone",
+                      F.coalesce("BehavioralAnomalies", F.lit(0)).alias("BehavioralAnomalies"), "MaxBehavioralScore")

@@ -216,3 +216,137 @@ def confidence_label(backtest: DataFrame, forecast: DataFrame, keys: list[str],
     return j.select(*keys, X.rnd(score, 1).alias("confidence_score"),
                     F.when(score >= 70, "High confidence").when(score >= 45, "Watch closely").otherwise("Unstable")
                     .alias("confidence_label"))
+
+
+def qa_snapshot(df: DataFrame, rolling: DataFrame, keys: list[str], as_of: str | None = None) -> DataFrame:
+    """Data-quality line per series: record count, missing share (%), days from the
+    latest month to ``as_of`` (default: today) and mean rolling MAPE / coverage.
+
+    Deviation: the reference measures the lag against the wall clock; a fixed ``as_of``
+    makes the result reproducible."""
+    ref = F.current_date() if as_of is None else F.lit(as_of).cast("date")
+    base = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("records"),
+        X.rnd(F.avg(F.col(V).isNull().cast("double")) * 100, 2).alias("missing_ratio"),
+        F.datediff(ref, F.max(T)).cast("double").alias("data_lag_days"))
+    # the inputs carry 2 decimals: exact decimal means keep the rounding order-independent
+    r = rolling.groupBy(*keys).agg(X.rnd(X.exact_mean2("mape"), 2).alias("avg_rolling_mape"),
+                                   X.rnd(X.exact_mean2("coverage"), 2).alias("avg_rolling_coverage"))
+    return base.join(r, keys, "left")
+
+
+def root_cause_hint(df: DataFrame, anomalies: DataFrame, keys: list[str]) -> DataFrame:
+    """Likely drivers for each anomaly row: the month against its calendar-month mean
+    (unfilled values, +-12 %), the coefficient of variation of the last 6 filled values
+    (sample std, > .18) and the spike/dip direction; a default text when nothing fits."""
+    f = with_index(filled(df, keys), keys)
+    recent = f.filter(F.col("idx") >= F.col("n") - 6).groupBy(*keys).agg(
+        F.count("v").alias("_k"), F.stddev_samp("v").alias("_sd"), F.avg("v").alias("_m"))
+    cv = F.when(F.col("_k") > 1, F.col("_sd") / F.greatest(F.col("_m"), F.lit(1e-6))).otherwise(F.lit(0.0))
+    recent = recent.select(*keys, cv.alias("_cv"))
+    season = df.groupBy(*keys, F.month(T).alias("_cm")).agg(F.avg(V).alias("_sa"))
+    a = anomalies.withColumn("_cm", F.month(T)).join(season, [*keys, "_cm"], "left").join(recent, keys, "left")
+    d = F.lower(F.col("direction"))
+    text = X.reasons([
+        (F.col(V) > F.col("_sa") * 1.12, "seasonal demand burst"),
+        ((F.col(V) <= F.col("_sa") * 1.12) & (F.col(V) < F.col("_sa") * 0.88), "seasonal slowdown"),
+        (F.coalesce(F.col("_cv") > 0.18, F.lit(False)), "high recent volatility"),
+        (d.contains("spike"), "possible campaign or one-off surge"),
+        (d.contains("dip"), "possible operational or demand drop"),
+    ], default="unusual deviation from recent baseline")
+    return a.select(*keys, T, V, "direction", text.alias("root_cause"))
+
+
+def next_action(anomalies: DataFrame, confidence: DataFrame, growth: DataFrame, keys: list[str]) -> DataFrame:
+    """One recommendation per series: the latest anomaly first, then an unstable
+    forecast, then expected growth above 5 % or a decline beyond 3 %, else hold course.
+    ``confidence`` holds ``confidence_label``, ``growth`` holds ``likely_change``."""
+    latest = anomalies.groupBy(*keys).agg(F.max_by(F.struct(T, "direction"), T).alias("_a"))
+    j = confidence.select(*keys, "confidence_label").join(growth.select(*keys, "likely_change"), keys, "full")
+    j = j.join(latest, keys, "full")
+    msg = F.format_string("Priority: investigate the latest %s signal and validate source systems for %s.",
+                          F.lower(F.col("_a.direction")), F.date_format(F.col(f"_a.{T}"), "yyyy-MM"))
+    action = (F.when(F.col("_a").isNotNull(), msg)
+              .when(F.col("confidence_label") == "Unstable",
+                    "Priority: rely on baseline models for planning and retrain after reviewing drift and data quality.")
+              .when(F.col("likely_change") > 0.05,
+                    "Priority: prepare capacity for expected growth and monitor conversion quality weekly.")
+              .when(F.col("likely_change") < -0.03,
+                    "Priority: activate retention and acquisition checks to mitigate expected slowdown.")
+              .otherwise("Priority: maintain current plan and monitor weekly forecast deltas for early movement."))
+    return j.select(*keys, action.alias("next_action"))
+
+
+def growth_vs_last(df: DataFrame, forecast: DataFrame, keys: list[str]) -> DataFrame:
+    """Change of the final forecast month (central / lower / upper) against the last
+    actual, relative to max(1e-6, last actual)."""
+    fin = forecast.groupBy(*keys).agg(F.max_by("forecast_central", "step").alias("_c"),
+                                      F.max_by("forecast_lower", "step").alias("_lo"),
+                                      F.max_by("forecast_upper", "step").alias("_hi"))
+    last = df.groupBy(*keys).agg(F.max_by(V, T).alias("_l"))
+    j = fin.join(last, keys)
+    den = F.greatest(F.lit(1e-6), F.col("_l"))
+    return j.select(*keys, ((F.col("_c") - F.col("_l")) / den).alias("likely_change"),
+                    ((F.col("_lo") - F.col("_l")) / den).alias("low_change"),
+                    ((F.col("_hi") - F.col("_l")) / den).alias("high_change"))
+
+
+def seasonal_trend_fit(df: DataFrame, keys: list[str], horizon: int = 3, fourier_order: int = 10, n_changepoints: int = 10,
+                       ridge: float = 1.0, interval: float = 0.8) -> DataFrame:
+    """Trend + yearly seasonality fitted per series (re-aim of the reference's Prophet).
+
+    Design: intercept, linear time, hinge terms at ``n_changepoints`` evenly spaced
+    changepoints over the first 80 % of the history, and ``fourier_order`` sine/cosine
+    pairs of the calendar month; ridge least squares; multiplicative seasonality by
+    fitting log1p(value) and transforming back; band = +- z(interval) x residual std.
+    One series is one ``applyInPandas`` group; a series is bounded by its months, so no
+    group grows with the number of series or rows of the source tables.
+    """
+    import numpy as np
+    import pandas as pd
+
+    z = float(__import__("statistics").NormalDist().inv_cdf(0.5 + interval / 2))
+    clean = df.filter(F.col(V).isNotNull()).select(*keys, T, F.col(V).cast("double").alias(V))
+
+    def design(t: np.ndarray, month: np.ndarray, cps: np.ndarray) -> np.ndarray:
+        cols = [np.ones_like(t), t] + [np.maximum(0.0, t - c) for c in cps]
+        for k in range(1, fourier_order + 1):
+            ang = 2 * np.pi * k * (month - 1) / 12.0
+            cols += [np.sin(ang), np.cos(ang)]
+        return np.column_stack(cols)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(T)
+        months = pd.to_datetime(pdf[T])
+        n = len(pdf)
+        t = np.arange(n, dtype=float) / max(n - 1, 1)
+        cps = np.linspace(0, 0.8, n_changepoints + 2)[1:-1] if n >= 12 else np.array([])
+        x = design(t, months.dt.month.to_numpy(float), cps)
+        y = np.log1p(np.maximum(pdf[V].to_numpy(float), 0.0))
+        pen = ridge * np.eye(x.shape[1])
+        pen[0, 0] = pen[1, 1] = 0.0
+        beta = np.linalg.solve(x.T @ x + pen, x.T @ y)
+        resid = y - x @ beta
+        sd = float(np.std(resid)) if n > 1 else 0.0
+        last = months.iloc[-1]
+        fut = pd.DatetimeIndex([last + pd.DateOffset(months=s) for s in range(1, horizon + 1)])
+        tf = (n - 1 + np.arange(1, horizon + 1, dtype=float)) / max(n - 1, 1)
+        yf = design(tf, fut.month.to_numpy(float), cps) @ beta
+        out = pd.DataFrame({T: fut.date, "step": np.arange(1, horizon + 1, dtype=np.int32),
+                            "yhat": np.expm1(yf), "yhat_lower": np.expm1(yf - z * sd), "yhat_upper": np.expm1(yf + z * sd)})
+        for k in keys:
+            out[k] = pdf[k].iloc[0]
+        out[["yhat", "yhat_lower", "yhat_upper"]] = out[["yhat", "yhat_lower", "yhat_upper"]].clip(lower=0.0)
+        return out[[*keys, "step", T, "yhat", "yhat_lower", "yhat_upper"]]
+
+    key_types = ", ".join(f"{k} {dict(clean.dtypes)[k]}" for k in keys)
+    schema = f"{key_types}, step int, {T} date, yhat double, yhat_lower double, yhat_upper double"
+    return clean.groupBy(*keys).applyInPandas(fit, schema)
+
+
+def ensemble_forecast(df: DataFrame, keys: list[str], horizon: int = 4) -> DataFrame:
+    """Mean of the trend-seasonal central forecast and the seasonal-trend fit."""
+    fu = forecast_uncertainty(df, keys, horizon)
+    st = seasonal_trend_fit(df, keys, horizon).select(*keys, "step", F.col("yhat").alias("seasonal_trend_forecast"))
+    j = fu.join(st, [*keys, "step"], "left")
+    return j.withColumn("ensemble", (F.col("forecast_central") + F.col("seasonal_trend_forecast")) / 2)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import expr as X
+
 SID, T, V = "series_id", "month_start", "value"
 
 
@@ -107,7 +109,7 @@ def rolling_band_anomalies(df: DataFrame, window: int = 6, z_limit: float = 1.8,
     anomalies = flagged.filter(F.col("direction").isNotNull())
     rn = F.row_number().over(Window.partitionBy(sid).orderBy(F.col(t).desc()))
     return anomalies.withColumn("_rn", rn).filter(F.col("_rn") <= last_n).select(
-        sid, t, F.round("_v", 2).alias(value), "lower", "upper", "direction")
+        sid, t, X.rnd(F.col("_v"), 2).alias(value), "lower", "upper", "direction")
 
 
 def series_tail(df: DataFrame, k: int, sid: str = SID, t: str = T) -> DataFrame:

@@ -491,3 +491,37 @@ def q_reconstruction_error(spark, d):
 def q_score_deposits(spark, d):
     s = N.score_deposits(deposits(Tables(spark, d)))
     return s.select("deposit_id", "anomaly_score", "is_anomaly", "reasons", "risk_label")
+
+
+@query("dedupe_reasons", _THR_SQL + """
+, ex AS (SELECT user_id, ts, deposit_id, unnest(string_split(rule_reasons, ', ')) AS reason,
+                unnest(range(len(string_split(rule_reasons, ', ')))) AS pos FROM rs WHERE rule_flagged)
+, fo AS (SELECT user_id, reason, ts, deposit_id, pos FROM (
+           SELECT *, row_number() OVER (PARTITION BY user_id, reason ORDER BY ts, deposit_id, pos) AS rn FROM ex) t WHERE rn = 1)
+SELECT user_id, string_agg(reason, ', ' ORDER BY ts, deposit_id, pos) AS reasons, CAST(count(*) AS INTEGER) AS n_reasons
+FROM fo GROUP BY user_id""")
+def q_dedupe_reasons(spark, d):
+    """Per user, the distinct rule reasons of their flagged deposits in order of first
+    appearance."""
+    from ..operators import aggregate as A
+    r = _rules(spark, d).filter("rule_flagged")
+    ex = r.select("user_id", "ts", "deposit_id", F.posexplode(F.split("rule_reasons", ", ")).alias("pos", "reason"))
+    o = A.ordered_distinct(ex, ["user_id"], "reason", ["ts", "deposit_id", "pos"], out="_r")
+    return o.select("user_id", F.array_join("_r", ", ").alias("reasons"), F.size("_r").alias("n_reasons"))
+
+
+def _union_features_sql() -> str:
+    cols = sorted(set(M.DEFAULT_FEATURES) | set(M.CHURN_FEATURES))
+    mm = ", ".join(f"coalesce(min({c}) <> max({c}), false) AS {c}" for c in cols)
+    st = " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS varies FROM mm" for c in cols)
+    sets = " UNION ".join(
+        f"SELECT feature FROM st WHERE varies AND feature IN ({', '.join(repr(c) for c in fs)})"
+        for fs in (M.DEFAULT_FEATURES, M.CHURN_FEATURES))
+    return V("clean_loans") + f", mm AS (SELECT {mm} FROM clean_loans), st AS ({st})\nSELECT feature FROM ({sets}) u"
+
+
+@query("union_features", _union_features_sql())
+def q_union_features(spark, d):
+    """Sorted union of the features the default and churn models need (those that vary
+    in the cleaned portfolio)."""
+    return M.required_features(clean_loans(Tables(spark, d)), {"default": M.DEFAULT_FEATURES, "churn": M.CHURN_FEATURES})

@@ -313,3 +313,10 @@ SELECT (SELECT count(*) FROM tx_clean) AS transactions, (SELECT count(DISTINCT C
 def q_pipeline_summary(spark, d):
     tx = _tx(spark, d)
     return A.pipeline_summary(tx, G.rfm_wealth_layer(tx), G.behavioral_anomalies(tx))
+
+
+@query("persona_pipeline")
+def q_persona_pipeline(spark, d):
+    """Clean -> RFM -> personas -> behavioural anomalies -> regional potential, one row
+    per customer."""
+    return G.persona_pipeline(_tx(spark, d))

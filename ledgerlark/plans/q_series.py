@@ -194,3 +194,112 @@ def q_scenario_grid(spark, d):
     return fc.select("series_id", "scenario", "step", "month_start",
                      *[X.rnd(F.greatest(F.col(c) * mult, F.lit(0.0)), 2).alias(c)
                        for c in ["forecast_central", "forecast_lower", "forecast_upper"]])
+
+
+# ---- data-quality snapshot, anomaly root causes and the recommended next action ----
+
+AS_OF = "2002-01-01"
+
+
+@query("qa_snapshot", Q.chain(V("nation_series"), Q.rolling_backtest("nation_series", K, "rb")) + f"""
+, base AS (SELECT series_id, count(*) AS records,
+                  {sql_rnd('avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END) * 100', 2)} AS missing_ratio,
+                  CAST(datediff('day', max(month_start), DATE '{AS_OF}') AS DOUBLE) AS data_lag_days
+           FROM nation_series GROUP BY series_id)
+, r AS (SELECT series_id, {sql_rnd('CAST(sum(CAST(mape AS DECIMAL(18,2))) AS DOUBLE) / count(mape)', 2)} AS avg_rolling_mape,
+                {sql_rnd('CAST(sum(CAST(coverage AS DECIMAL(18,2))) AS DOUBLE) / count(coverage)', 2)} AS avg_rolling_coverage
+        FROM rb GROUP BY series_id)
+SELECT base.*, r.avg_rolling_mape, r.avg_rolling_coverage FROM base LEFT JOIN r ON base.series_id = r.series_id""")
+def q_qa_snapshot(spark, d):
+    """Records, missing share, data lag against a fixed as-of date and mean rolling
+    back-test quality, for 25 sparse series at once."""
+    s = nation_series(Tables(spark, d))
+    return S.qa_snapshot(s, S.rolling_backtest(s, K, 6), K, AS_OF)
+
+
+def _root_cause_sql(src: str) -> str:
+    from .q_windows import band_ctes
+    return V(src) + band_ctes(src) + f"""
+, rf AS (SELECT *, coalesce(last_value(value IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY month_start
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+                  first_value(value IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY month_start
+                  ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS v,
+                row_number() OVER (PARTITION BY series_id ORDER BY month_start DESC) AS rd FROM {src})
+, rc AS (SELECT series_id, CASE WHEN count(v) > 1 THEN stddev_samp(v) / greatest(avg(v), 1e-6) ELSE 0.0 END AS cv
+         FROM rf WHERE rd <= 6 GROUP BY series_id)
+, se AS (SELECT series_id, month(month_start) AS cm, avg(value) AS sa FROM {src} GROUP BY series_id, month(month_start))
+, j AS (SELECT a.series_id, a.month_start, a.value, a.direction, se.sa, rc.cv FROM anom a
+        LEFT JOIN se ON se.series_id = a.series_id AND se.cm = month(a.month_start)
+        LEFT JOIN rc ON rc.series_id = a.series_id)
+, t AS (SELECT *, concat_ws(', ',
+          CASE WHEN value > sa * 1.12 THEN 'seasonal demand burst' END,
+          CASE WHEN value <= sa * 1.12 AND value < sa * 0.88 THEN 'seasonal slowdown' END,
+          CASE WHEN coalesce(cv > 0.18, false) THEN 'high recent volatility' END,
+          CASE WHEN contains(lower(direction), 'spike') THEN 'possible campaign or one-off surge' END,
+          CASE WHEN contains(lower(direction), 'dip') THEN 'possible operational or demand drop' END) AS txt FROM j)
+SELECT series_id, month_start, value, direction,
+       CASE WHEN txt = '' THEN 'unusual deviation from recent baseline' ELSE txt END AS root_cause FROM t"""
+
+
+@query("root_cause_hint", _root_cause_sql("nation_series"))
+def q_root_cause_hint(spark, d):
+    """Likely drivers of every recent spike/dip of 25 sparse series."""
+    from ..operators import windows as Wn
+    s = nation_series(Tables(spark, d))
+    return S.root_cause_hint(s, Wn.rolling_band_anomalies(s), K)
+
+
+def _next_action_sql() -> str:
+    from .q_windows import band_ctes
+    head = Q.chain(V("series"), Q.baseline_backtest("series", K, "bb"), Q.uncertainty("series", K, 4, "fu"))
+    return head + band_ctes("series") + """
+, rel AS (SELECT series_id, avg(coalesce((forecast_upper - forecast_lower) / nullif(forecast_central, 0.0), 1.0)) AS r
+          FROM fu GROUP BY series_id)
+, cj AS (SELECT rel.series_id, greatest(0.0, least(100.0, 100.0 - 1.6 * coalesce(bb.mape, 18.0) - 40.0 * rel.r)) AS sc FROM rel
+         LEFT JOIN bb ON bb.series_id = rel.series_id AND bb.model = 'Trend-Seasonal Forecast')
+, conf AS (SELECT series_id, CASE WHEN sc >= 70 THEN 'High confidence' WHEN sc >= 45 THEN 'Watch closely' ELSE 'Unstable' END AS lbl FROM cj)
+, la AS (SELECT series_id, arg_max(value, month_start) AS l FROM series GROUP BY series_id)
+, fin AS (SELECT series_id, arg_max(forecast_central, step) AS c FROM fu GROUP BY series_id)
+, gr AS (SELECT fin.series_id, (fin.c - la.l) / greatest(1e-6, la.l) AS g FROM fin JOIN la ON fin.series_id = la.series_id)
+, lat AS (SELECT series_id, arg_max(direction, month_start) AS dir, max(month_start) AS m FROM anom GROUP BY series_id)
+, ids AS (SELECT series_id FROM conf UNION SELECT series_id FROM gr UNION SELECT series_id FROM lat)
+SELECT ids.series_id,
+  CASE WHEN lat.m IS NOT NULL THEN 'Priority: investigate the latest ' || lower(lat.dir)
+            || ' signal and validate source systems for ' || strftime(lat.m, '%Y-%m') || '.'
+       WHEN conf.lbl = 'Unstable' THEN 'Priority: rely on baseline models for planning and retrain after reviewing drift and data quality.'
+       WHEN gr.g > 0.05 THEN 'Priority: prepare capacity for expected growth and monitor conversion quality weekly.'
+       WHEN gr.g < -0.03 THEN 'Priority: activate retention and acquisition checks to mitigate expected slowdown.'
+       ELSE 'Priority: maintain current plan and monitor weekly forecast deltas for early movement.' END AS next_action
+FROM ids LEFT JOIN conf ON conf.series_id = ids.series_id LEFT JOIN gr ON gr.series_id = ids.series_id
+LEFT JOIN lat ON lat.series_id = ids.series_id"""
+
+
+@query("next_action", _next_action_sql())
+def q_next_action(spark, d):
+    """One recommendation per series from its anomalies, forecast confidence and growth."""
+    from ..operators import windows as Wn
+    s = _series(spark, d)
+    fc = S.forecast_uncertainty(s, K, 4)
+    conf = S.confidence_label(S.baseline_backtest(s, K, 4), fc, K)
+    return S.next_action(Wn.rolling_band_anomalies(s), conf, S.growth_vs_last(s, fc, K), K)
+
+
+@query("seasonal_trend_fit")
+def q_seasonal_trend_fit(spark, d):
+    """Trend + yearly seasonality (80 % band), 3 months ahead, for every series."""
+    return S.seasonal_trend_fit(_series(spark, d), K, 3)
+
+
+@query("ensemble_forecast")
+def q_ensemble_forecast(spark, d):
+    """Average of the trend-seasonal and the seasonal-trend-fit forecasts, 4 months."""
+    return S.ensemble_forecast(_series(spark, d), K, 4)
+
+
+@query("volume_forecast_recursive")
+def q_volume_forecast_recursive(spark, d):
+    """Six-month recursive forecast of every grade and the total under the conservative
+    scenario: 0.7 x boosted trees + 0.3 x linear, fed back step by step."""
+    from ..operators import serving
+    from ..sources.domain import volume_panel
+    return serving.volume_forecast_recursive(volume_panel(Tables(spark, d)), K, 6, "conservative")

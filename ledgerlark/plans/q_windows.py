@@ -78,19 +78,25 @@ def q_ffill_bfill(spark, d):
     return W.ffill_bfill(nation_series(Tables(spark, d)), out="value_filled")
 
 
-def _sql_band(src: str) -> str:
+def band_ctes(src: str, out: str = "anom") -> str:
+    """CTEs ending in ``out``: the last 8 Spike/Dip rows per series (value rounded to 2)."""
     fr = f"({P} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)"
     return f"""
-, f AS (SELECT series_id, month_start,
+, {out}_f AS (SELECT series_id, month_start,
           coalesce(last_value(value IGNORE NULLS) OVER ({P} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
                    first_value(value IGNORE NULLS) OVER ({P} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS v FROM {src})
-, b AS (SELECT *, CASE WHEN count(v) OVER {fr} >= 3 THEN avg(v) OVER {fr} END AS m,
-               coalesce(CASE WHEN count(v) OVER {fr} >= 3 THEN stddev_samp(v) OVER {fr} END, 0.0) AS sd FROM f)
-, c AS (SELECT *, m + 1.8 * sd AS upper, m - 1.8 * sd AS lower FROM b)
-, e AS (SELECT *, CASE WHEN v > upper THEN 'Spike' WHEN v < lower THEN 'Dip' END AS direction FROM c)
-, g AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY month_start DESC) AS rn FROM e WHERE direction IS NOT NULL)
-SELECT series_id, month_start, {sql_rnd('v', 2)} AS value, {sql_rnd('lower', 4)} AS lower, {sql_rnd('upper', 4)} AS upper,
-       direction FROM g WHERE rn <= 8"""
+, {out}_b AS (SELECT *, CASE WHEN count(v) OVER {fr} >= 3 THEN avg(v) OVER {fr} END AS m,
+               coalesce(CASE WHEN count(v) OVER {fr} >= 3 THEN stddev_samp(v) OVER {fr} END, 0.0) AS sd FROM {out}_f)
+, {out}_c AS (SELECT *, m + 1.8 * sd AS upper, m - 1.8 * sd AS lower FROM {out}_b)
+, {out}_e AS (SELECT *, CASE WHEN v > upper THEN 'Spike' WHEN v < lower THEN 'Dip' END AS direction FROM {out}_c)
+, {out}_g AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY month_start DESC) AS rn FROM {out}_e WHERE direction IS NOT NULL)
+, {out} AS (SELECT series_id, month_start, {sql_rnd('v', 2)} AS value, lower, upper, direction FROM {out}_g WHERE rn <= 8)
+"""
+
+
+def _sql_band(src: str) -> str:
+    return band_ctes(src) + f"""SELECT series_id, month_start, value, {sql_rnd('lower', 4)} AS lower, {sql_rnd('upper', 4)} AS upper,
+       direction FROM anom"""
 
 
 @query("rolling_band_anomalies", V("nation_series") + _sql_band("nation_series"))

@@ -35,4 +35,4 @@ def load_all() -> None:
         importlib.import_module(f"{__package__}.{name}")
 
 
-PLAN_MODULES = ["q_clean", "q_risk", "q_series", "q_windows", "q_segment", "q_aggregate", "q_ml", "q_stream", "q_io"]
+PLAN_MODULES = ["q_clean", "q_risk", "q_series", "q_windows", "q_segment", "q_aggregate", "q_ml", "q_stream", "q_io", "q_demand"]

@@ -220,6 +220,16 @@ campaign AS (
          CASE WHEN (c.c_custkey * 7919 + coalesce(p.n_orders, 0) * 31) % 100 < 15 THEN 'yes' ELSE 'no' END AS y
   FROM customer c LEFT JOIN per_cust p ON c.c_custkey = p.o_custkey)"""
 
+# Per-region grade demand: funded amount (millions) and loan count per region x grade x month.
+VIEWS["region_grade"] = """
+region_grade AS (
+  SELECT r.r_name AS portfolio, upper(trim(c.grade)) AS grade, CAST(date_trunc('month', c.issue_d) AS DATE) AS month_start,
+         CAST(sum(CAST(c.funded_amnt AS DECIMAL(18,2))) AS DOUBLE) / 1000000.0 AS value, count(*) AS loan_count
+  FROM clean_loans c JOIN customer cu ON c.member_id = cu.c_custkey JOIN nation n ON cu.c_nationkey = n.n_nationkey
+  JOIN region r ON n.n_regionkey = r.r_regionkey
+  WHERE c.issue_d IS NOT NULL AND c.grade IS NOT NULL AND c.funded_amnt IS NOT NULL
+  GROUP BY 1, 2, 3)"""
+
 # Dependencies between views, so an oracle pulls in exactly what it needs.
 DEPS = {
     "li_order": [],
@@ -233,6 +243,7 @@ DEPS = {
     "transactions": [],
     "deposits": [],
     "campaign": [],
+    "region_grade": ["clean_loans"],
 }
 
 

@@ -210,6 +210,17 @@ def series(t: Tables) -> DataFrame:
     return g.unionByName(m)
 
 
+def volume_panel(t: Tables) -> DataFrame:
+    """Per series (grades and TOTAL) monthly funded amount in millions with the
+    covariates the volume models use: mean rate, loan count, mean loan amount."""
+    g = grade_monthly(t).select(F.col("grade").alias("series_id"), "month_start", F.col("funded_amnt_m").alias("value"),
+                                "avg_int_rate", F.col("loan_count").cast("double").alias("loan_count"),
+                                (F.col("funded_amnt") / F.col("loan_count")).alias("avg_loan_amnt"))
+    m = monthly_volume(t).select(F.lit("TOTAL").alias("series_id"), "month_start", F.col("funded_amnt_m").alias("value"),
+                                 "avg_int_rate", F.col("loan_count").cast("double").alias("loan_count"), "avg_loan_amnt")
+    return g.unionByName(m)
+
+
 def nation_series(t: Tables) -> DataFrame:
     """Sparse series with gaps: grade-A funded amount per nation over the full month spine."""
     lo = loans(t)
@@ -227,6 +238,18 @@ def nation_series(t: Tables) -> DataFrame:
         F.col("n_name").alias("series_id"), "month_start", "value")
 
 
+def region_grade(t: Tables) -> DataFrame:
+    """Funded amount (millions) and loan count per region x grade x month. Region and
+    nation are fixed-size dimensions (5 and 25 rows), so they are broadcast."""
+    c = clean_loans(t).filter(F.col("issue_d").isNotNull() & F.col("grade").isNotNull() & F.col("funded_amnt").isNotNull())
+    geo = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
+    cust = t.customer.select("c_custkey", "c_nationkey").join(F.broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey"))
+    j = c.join(cust, F.col("member_id") == F.col("c_custkey"))
+    return j.groupBy(F.col("r_name").alias("portfolio"), F.upper(F.trim("grade")).alias("grade"),
+                     F.trunc("issue_d", "MM").alias("month_start")).agg(
+        (X.exact_sum2("funded_amnt") / 1000000.0).alias("value"), F.count(F.lit(1)).alias("loan_count"))
+
+
 VIEW_BUILDERS = {
     "raw_loans": raw_loans,
     "loans": loans,
@@ -238,6 +261,7 @@ VIEW_BUILDERS = {
     "transactions": transactions,
     "deposits": deposits,
     "campaign": campaign,
+    "region_grade": region_grade,
 }
 
 
