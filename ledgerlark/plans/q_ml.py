@@ -525,3 +525,14 @@ def q_union_features(spark, d):
     """Sorted union of the features the default and churn models need (those that vary
     in the cleaned portfolio)."""
     return M.required_features(clean_loans(Tables(spark, d)), {"default": M.DEFAULT_FEATURES, "churn": M.CHURN_FEATURES})
+
+
+@query("smote")
+def q_smote(spark, d):
+    """Training split of the default model balanced 50/50 with SMOTE (k = 5, exact
+    neighbours among defaulted loans); original rows plus synthetic rows."""
+    from ..operators import resample as RS
+    c = clean_loans(Tables(spark, d))
+    f = E.prepare_features(c, M.DEFAULT_FEATURES, keep=["loan_id", "default_flag"])
+    train = M.stratified_split(f, "default_flag", "loan_id").filter("is_train").drop("is_train")
+    return RS.smote(train, "default_flag", "loan_id", M.DEFAULT_FEATURES, k=5)
