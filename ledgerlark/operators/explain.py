@@ -40,8 +40,10 @@ def driver_text(importance: DataFrame, n: int = 4) -> DataFrame:
 
 
 def local_feature_impact(df: DataFrame, id_col: str, features: list[str], importance: DataFrame, top_n: int | None = 8) -> DataFrame:
-    """(value - portfolio mean) * importance per row and feature; top_n by |impact|."""
-    means = df.agg(*[F.avg(F.col(f).cast("double")).alias(f) for f in features]).withColumn("_one", F.lit(1))
+    """(value - portfolio mean) * importance per row and feature; top_n by |impact|.
+    Means come from exact decimal sums, so they do not depend on summation order."""
+    means = df.agg(*[(F.sum(F.col(f).cast("decimal(38,10)")).cast("double") / F.count(f)).alias(f)
+                     for f in features]).withColumn("_one", F.lit(1))
     m = long_form(means, "_one", features).select("feature", F.col("value").alias("baseline"))
     lf = long_form(df, id_col, features).join(F.broadcast(m), "feature").join(F.broadcast(importance), "feature", "left")
     lf = lf.withColumn("impact", (F.coalesce(F.col("value"), F.lit(0.0)) - F.col("baseline")) * F.coalesce(F.col("importance"), F.lit(0.0)))

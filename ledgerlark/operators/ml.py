@@ -185,7 +185,9 @@ def kmeans_best(df: DataFrame, features: list[str], k: int = 4, n_init: int = 20
     """K-means keeping the lowest-cost of ``n_init`` seeded runs (k >= 2)."""
     if k < 2:
         raise ValueError("k must be >= 2 for K-Means clustering")
-    vec = assembler(features).transform(df)
+    # n_init fits read the same rows: compute them once (shared checkpoint folder)
+    from ..session import stable
+    vec = stable(assembler(features).transform(df), "kmeans_input")
     best = None
     for i in range(n_init):
         m = KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="Cluster").fit(vec)

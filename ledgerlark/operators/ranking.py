@@ -35,10 +35,11 @@ def _tag_sorted(df: DataFrame, order: list[Column], partitions: int | None) -> D
 
 
 def global_row_number(df: DataFrame, order: list[Column], out: str = "rn", partitions: int | None = None,
-                      sum_col: str | None = None, cum_out: str | None = None) -> DataFrame:
+                      sum_col: str | None = None, cum_out: str | None = None, total_out: str | None = None) -> DataFrame:
     """1-based row number over the total order ``order`` (must be a strict order: add a
     unique key as the last element). With ``sum_col`` also adds the inclusive running
-    sum of that column as ``cum_out``."""
+    sum of that column as ``cum_out``; with ``total_out`` the table's row count (taken
+    from the same per-partition counts, no extra pass)."""
     tagged = _tag_sorted(df, order, partitions)
     aggs = [F.count(F.lit(1)).alias("_rk_cnt")]
     if sum_col:
@@ -48,6 +49,7 @@ def global_row_number(df: DataFrame, order: list[Column], out: str = "rn", parti
     offsets = per_part.select(
         _PID,
         F.coalesce(F.sum("_rk_cnt").over(w), F.lit(0)).alias("_rk_off"),
+        *([F.sum("_rk_cnt").over(Window.partitionBy()).alias(total_out)] if total_out else []),
         *([F.coalesce(F.sum("_rk_sum").over(w), F.lit(0.0)).alias("_rk_soff")] if sum_col else []),
     )
     res = tagged.join(F.broadcast(offsets), _PID)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
+from ..session import stable
 from . import aggregate as A
 from . import ranking as R
 
@@ -36,19 +37,20 @@ def rfm_base(tx: DataFrame) -> DataFrame:
     ref = tx.agg(F.max("TransactionDate").alias("_ref"))
     fill = R.scalar_quantiles(med_age, "MedianAge", {"_age_fill": 0.5})
     cust = cust.crossJoin(F.broadcast(ref)).crossJoin(F.broadcast(fill))  # one-row scalars
-    return cust.select(
+    out = cust.select(
         "CustomerID", "LastTransactionDate", "Frequency", "Monetary", "AvgAccountBalance",
         F.coalesce("MedianAge", "_age_fill").alias("MedianAge"), "CustLocationNorm",
         F.datediff("_ref", "LastTransactionDate").alias("Recency"))
+    # one row per customer, read by three global rankings, the wealth layer, regional
+    # scores and personas: computed once and written to the shared checkpoint folder
+    return stable(out, "rfm_base")
 
 
 def quintile_scores(df: DataFrame, metric: str, out: str, higher_is_better: bool = True, tie: str = "CustomerID") -> DataFrame:
     """pandas ``qcut(rank(method='first'), 5)``: rank by (metric, tie key) over the whole
     table (range-partitioned, no single-task window), then the closed-form quintile."""
-    n = df.agg(F.count(F.lit(1)).alias("_qn"))
-    ranked = R.global_row_number(df, [F.col(metric), F.col(tie)], out="_qr")
-    j = ranked.crossJoin(F.broadcast(n))  # one row: the table size
-    return j.withColumn(out, R.quintile_score(F.col("_qr"), F.col("_qn"), higher_is_better)).drop("_qr", "_qn")
+    ranked = R.global_row_number(df, [F.col(metric), F.col(tie)], out="_qr", total_out="_qn")
+    return ranked.withColumn(out, R.quintile_score(F.col("_qr"), F.col("_qn"), higher_is_better)).drop("_qr", "_qn")
 
 
 def rfm_scores(cust: DataFrame) -> DataFrame:

@@ -185,20 +185,30 @@ def q_top_features(spark, d):
 
 
 _LONG_SQL = " UNION ALL ".join(f"SELECT loan_id, '{f}' AS feature, {f} AS value FROM pf" for f in M.DEFAULT_FEATURES)
-_MEANS_SQL = " UNION ALL ".join(f"SELECT '{f}' AS feature, avg({f}) AS baseline FROM pf" for f in M.DEFAULT_FEATURES)
+_MEANS_SQL = " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, CAST(sum(CAST({f} AS DECIMAL(38,10))) AS DOUBLE) / count({f}) AS baseline FROM pf"
+    for f in M.DEFAULT_FEATURES)
 _IMPACT_SQL = _FEAT_SQL + _IMP_SQL + f"""
 , lf AS ({_LONG_SQL})
 , mn AS ({_MEANS_SQL})
-, li AS (SELECT lf.loan_id, lf.feature, lf.value, mn.baseline, (coalesce(lf.value, 0.0) - mn.baseline) * coalesce(imp.importance, 0.0) AS impact
+, li AS (SELECT lf.loan_id, lf.feature, lf.value, mn.baseline,
+                (coalesce(lf.value, 0.0) - mn.baseline) * coalesce({sql_rnd('imp.importance', 12)}, 0.0) AS impact
          FROM lf JOIN mn ON lf.feature = mn.feature LEFT JOIN imp ON lf.feature = imp.feature)
 """
 
 
+def _rounded_importance(f):
+    """Importances to 12 decimals: correlation algorithms differ in the last bits across
+    engines, and impacts are compared after rounding."""
+    imp = P.correlation_importance(f, M.DEFAULT_FEATURES, "default_flag")
+    return imp.withColumn("importance", X.rnd(F.col("importance"), 12))
+
+
 @query("local_feature_impact", _IMPACT_SQL + f"""
 SELECT loan_id, feature, {sql_rnd('impact', 6)} AS impact FROM li""")
 def q_local_feature_impact(spark, d):
     f = _features(spark, d)
-    imp = P.correlation_importance(f, M.DEFAULT_FEATURES, "default_flag")
+    imp = _rounded_importance(f)
     li = P.local_feature_impact(f, "loan_id", M.DEFAULT_FEATURES, imp, top_n=None)
     return li.select("loan_id", "feature", X.rnd(F.col("impact"), 6).alias("impact"))
 
@@ -208,7 +218,7 @@ SELECT loan_id, feature, {sql_rnd('value', 4)} AS value, {sql_rnd('baseline', 4)
   SELECT *, row_number() OVER (PARTITION BY loan_id ORDER BY abs(impact) DESC, feature) AS rank FROM li) t WHERE rank <= 8""")
 def q_top_local_impacts(spark, d):
     f = _features(spark, d)
-    imp = P.correlation_importance(f, M.DEFAULT_FEATURES, "default_flag")
+    imp = _rounded_importance(f)
     li = P.local_feature_impact(f, "loan_id", M.DEFAULT_FEATURES, imp, top_n=8)
     return li.select("loan_id", "feature", X.rnd(F.col("value"), 4).alias("value"), X.rnd(F.col("baseline"), 4).alias("baseline"),
                      X.rnd(F.col("impact"), 6).alias("impact"), "rank")

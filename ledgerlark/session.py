@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,8 +67,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tables/{name}"
 
 
-def stable(df: DataFrame) -> DataFrame:
+def stable(df: DataFrame, name: str = "stable") -> DataFrame:
     """Cut lineage reliably (survives executor loss) so ids/ranks computed from
-    partition layout stay fixed when downstream stages are retried."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    partition layout stay fixed when downstream stages are retried.
+
+    The rows are written once as Parquet under the shared checkpoint folder and read
+    back: one computation (an RDD checkpoint computes its input twice), a columnar file
+    that later scans prune, and files any executor can read after a loss."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}/{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -109,7 +109,12 @@ def loans(t: Tables) -> DataFrame:
 
 
 def clean_loans(t: Tables) -> DataFrame:
-    return C.clean_loans(raw_loans(t))
+    """Cleaned loans; built once per ``Tables`` (one query) however many views use it,
+    so the filtered table is materialised and its null ratios computed only once."""
+    memo = t.__dict__.setdefault("_memo", {})
+    if "clean_loans" not in memo:
+        memo["clean_loans"] = C.clean_loans(raw_loans(t))
+    return memo["clean_loans"]
 
 
 def transactions(t: Tables) -> DataFrame:

@@ -24,10 +24,30 @@ def table_path(sf_dir: str, name: str) -> str:
     return path
 
 
+# Fixed-size dimensions (5 regions, 25 nations): never worth spreading out.
+FIXED_SIZE = {"region", "nation"}
+_SCAN_PARTITIONS: dict[str, int] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Scan one table. A table that grows with the data but arrives as fewer scan splits
+    than the cluster has cores (e.g. one file with one row group) is spread over
+    ``defaultParallelism`` partitions by a round-robin repartition, so row-wise parsing
+    and the map side of aggregations run on every core. Filters and column pruning still
+    reach the scan (both push through the repartition); on a large table stored as many
+    files the scan already has enough splits and nothing is added."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}; expected one of {TABLES}")
-    return spark.read.parquet(table_path(sf_dir, name))
+    path = table_path(sf_dir, name)
+    df = spark.read.parquet(path)
+    if name in FIXED_SIZE:
+        return df
+    if path not in _SCAN_PARTITIONS:
+        _SCAN_PARTITIONS[path] = df.rdd.getNumPartitions()
+    cores = spark.sparkContext.defaultParallelism
+    if _SCAN_PARTITIONS[path] < cores:
+        df = df.repartition(cores)
+    return df
 
 
 class Tables:
