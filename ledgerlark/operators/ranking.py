@@ -76,26 +76,39 @@ def group_row_number(df: DataFrame, group: list[str], order: list[Column], out:
 def group_quantiles(df: DataFrame, group: list[str], value: str, quantiles: dict[str, float],
                     partitions: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas/numpy default, DuckDB
-    ``quantile_cont``) per group; NULL values are ignored. Empty ``group`` = whole table."""
+    ``quantile_cont``) per group; NULL values are ignored. Empty ``group`` = whole table.
+
+    Rows are first counted per (group, value) with map-side combining, so repeated
+    values (a customer's age, a popular amount) collapse before anything is sorted; the
+    distinct pairs are then ranked globally with running counts (range-partitioned, no
+    single-task window) and each quantile reads the value whose count range covers its
+    position."""
     grp = list(group) or ["_rk_all"]
     base = df.select(*[F.col(g) for g in group], F.col(value).alias("_rk_v")).filter(F.col("_rk_v").isNotNull())
     if not group:
         base = base.withColumn("_rk_all", F.lit(0))
-    ranked = group_row_number(base, grp, [F.col("_rk_v")], out="_rk_pos", size_out="_rk_n", partitions=partitions)
+    vc = base.groupBy(*grp, "_rk_v").agg(F.count(F.lit(1)).alias("_rk_c"))
+    ranked = global_row_number(vc, [F.col(g) for g in grp] + [F.col("_rk_v")], out="_rk_r", partitions=partitions,
+                               sum_col="_rk_c", cum_out="_rk_cum")
+    ranked = ranked.withColumn("_rk_cum", F.col("_rk_cum").cast("long"))
+    starts = ranked.groupBy(*grp).agg(F.min(F.col("_rk_cum") - F.col("_rk_c")).alias("_rk_s"),
+                                      F.sum("_rk_c").alias("_rk_n"))
+    j = ranked.join(starts, grp)
+    lo_pos = F.col("_rk_cum") - F.col("_rk_c") - F.col("_rk_s")  # first 0-based position of the value
+    hi_pos = F.col("_rk_cum") - F.col("_rk_s")  # one past its last position
     aggs = [F.first("_rk_n").alias("_rk_n")]
     for name, q in quantiles.items():
         pos = (F.col("_rk_n") - 1) * q
-        aggs.append(F.max(F.when(F.col("_rk_pos") - 1 == F.floor(pos), F.col("_rk_v"))).alias(f"_lo_{name}"))
-        aggs.append(F.max(F.when(F.col("_rk_pos") - 1 == F.ceil(pos), F.col("_rk_v"))).alias(f"_hi_{name}"))
-    per = ranked.groupBy(*grp).agg(*aggs)
+        for tag, at in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
+            aggs.append(F.max(F.when((lo_pos <= at) & (at < hi_pos), F.col("_rk_v"))).alias(f"_{tag}_{name}"))
+    per = j.groupBy(*grp).agg(*aggs)
     outs = []
     for name, q in quantiles.items():
         pos = (F.col("_rk_n") - 1) * q
         frac = pos - F.floor(pos)
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         outs.append((lo + (hi - lo) * frac).alias(name))
-    res = per.select(*[F.col(g) for g in group], *outs)
-    return res
+    return per.select(*[F.col(g) for g in group], *outs)
 
 
 def scalar_quantiles(df: DataFrame, value: str, quantiles: dict[str, float]) -> DataFrame:

@@ -65,16 +65,25 @@ def rfm_scores(cust: DataFrame) -> DataFrame:
 
 def pareto_wealth(cust: DataFrame, vital_q: float = 0.8) -> DataFrame:
     """Wealth = monetary + max(balance, 0); vital few = wealth >= its 80th percentile;
-    share of total wealth and cumulative share in descending wealth order (ties by id)."""
+    share of total wealth and cumulative share in descending wealth order (ties by id).
+
+    One global ranking serves both the cumulative share and the percentile: the
+    percentile's two neighbouring order statistics are read off the ranked rows (linear
+    interpolation, as pandas), so no second sort of the table is needed."""
     w = cust.withColumn("WealthValue", F.col("Monetary") + F.greatest(F.col("AvgAccountBalance"), F.lit(0.0)))
-    thr = R.scalar_quantiles(w, "WealthValue", {"_thr": vital_q})
     tot = w.agg(F.sum("WealthValue").alias("_tot"))
-    w = w.crossJoin(F.broadcast(thr)).crossJoin(F.broadcast(tot))  # one-row scalars
-    w = w.withColumn("IsVitalFew", F.col("WealthValue") >= F.col("_thr")).withColumn(
-        "WealthSharePct", F.when(F.col("_tot") > 0, F.col("WealthValue") / F.col("_tot")).otherwise(F.lit(0.0)))
+    w = w.crossJoin(F.broadcast(tot))  # one-row scalar
+    w = w.withColumn("WealthSharePct", F.when(F.col("_tot") > 0, F.col("WealthValue") / F.col("_tot")).otherwise(F.lit(0.0)))
     ranked = R.global_row_number(w, [F.col("WealthValue").desc(), F.col("CustomerID")], out="WealthRank",
-                                 sum_col="WealthSharePct", cum_out="CumulativeWealthSharePct")
-    return ranked.drop("_thr", "_tot")
+                                 sum_col="WealthSharePct", cum_out="CumulativeWealthSharePct", total_out="_n")
+    asc = F.col("_n") - F.col("WealthRank")  # 0-based position in ascending order
+    pos = (F.col("_n") - 1) * vital_q
+    thr = ranked.agg(F.max(F.when(asc == F.floor(pos), F.col("WealthValue"))).alias("_lo"),
+                     F.max(F.when(asc == F.ceil(pos), F.col("WealthValue"))).alias("_hi"),
+                     F.max(pos - F.floor(pos)).alias("_fr"))
+    thr = thr.select((F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_fr")).alias("_thr"))
+    out = ranked.crossJoin(F.broadcast(thr))  # one-row scalar
+    return out.withColumn("IsVitalFew", F.col("WealthValue") >= F.col("_thr")).drop("_thr", "_tot", "_n")
 
 
 def rfm_wealth_layer(tx: DataFrame) -> DataFrame:

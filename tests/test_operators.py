@@ -91,3 +91,19 @@ def test_trailing_count_matches_window(spark):
     ref = ev.withColumn("f2", F.count(F.lit(1)).over(w))
     j = ours.join(ref.select("event_id", "f2"), "event_id")
     assert j.filter(F.col("f") != F.col("f2")).count() == 0 and j.count() == ev.count()
+
+
+def test_group_quantiles_match_numpy_with_duplicates(spark):
+    import numpy as np
+    rng = np.random.default_rng(5)
+    rows = [("hot", float(v)) for v in rng.integers(0, 20, 400)] + [("g%d" % (i % 7), float(rng.normal())) for i in range(90)]
+    rows += [("one", 3.5)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    qs = {"q1": 0.25, "med": 0.5, "p99": 0.99}
+    got = {r.g: r for r in R.group_quantiles(df, ["g"], "v", qs).collect()}
+    for g in {r[0] for r in rows}:
+        vals = np.array([v for k, v in rows if k == g])
+        for name, q in qs.items():
+            assert abs(getattr(got[g], name) - np.percentile(vals, q * 100)) < 1e-9, (g, name)
+    whole = R.scalar_quantiles(df, "v", {"m": 0.5}).first().m
+    assert abs(whole - np.percentile([v for _, v in rows], 50)) < 1e-9
