@@ -245,7 +245,9 @@ def q_validate_deposits(spark, d):
     return C.validate_deposits(_dep_raw(spark, d))
 
 
-@query("reject_bad_numeric")
+@query("reject_bad_numeric", V("deposits") + """
+SELECT deposit_id, amount, hour, day_of_week, frequency FROM deposits
+WHERE amount IS NOT NULL AND NOT isnan(amount) AND hour IS NOT NULL AND day_of_week IS NOT NULL AND frequency IS NOT NULL""")
 def q_reject_bad_numeric(spark, d):
     """Batch guard on the deposit rows; all rows are numeric here, so the batch passes."""
     dep = deposits(Tables(spark, d)).select("deposit_id", "amount", "hour", "day_of_week", "frequency")

@@ -84,7 +84,7 @@ def q_scan_nested_history(spark, d):
     return IO.parse_nested_history(back, keys=["series_id"])
 
 
-@query("require_columns")
+@query("require_columns", V("transactions") + "SELECT TransactionID, CustomerID FROM transactions")
 def q_require_columns(spark, d):
     """Campaign columns given to the card-transaction loader fail with a named error;
     the transactions themselves (amount under its alias) pass."""
