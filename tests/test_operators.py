@@ -107,3 +107,16 @@ def test_group_quantiles_match_numpy_with_duplicates(spark):
             assert abs(getattr(got[g], name) - np.percentile(vals, q * 100)) < 1e-9, (g, name)
     whole = R.scalar_quantiles(df, "v", {"m": 0.5}).first().m
     assert abs(whole - np.percentile([v for _, v in rows], 50)) < 1e-9
+
+
+def test_rolling_backtest_windows_equal_expanded(spark):
+    import math
+    rows = []
+    for sid, n, gaps in [("a", 40, {5, 6, 17}), ("b", 30, set()), ("c", 22, {0, 1, 2})]:
+        for i in range(n):
+            v = None if i in gaps else 100 + 3 * i + 15 * math.sin(i / 2.0)
+            rows.append((sid, dt.date(2015 + (i + (i // 7)) // 12, (i + (i // 7)) % 12 + 1, 1), v))
+    df = spark.createDataFrame(rows, "series_id string, month_start date, value double")
+    a = sorted(tuple(r) for r in S.rolling_backtest(df, ["series_id"]).collect())
+    b = sorted(tuple(r) for r in S.rolling_backtest_expanded(df, ["series_id"]).collect())
+    assert a == b and len(a) > 0
