@@ -90,11 +90,14 @@ def label_encode(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def median_impute(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Fill NULLs with the exact column median (not ``Imputer``, which is approximate)."""
-    med = None
-    for c in cols:
-        m = R.scalar_quantiles(df, c, {f"_med_{c}": 0.5})
-        med = m if med is None else med.crossJoin(m)
+    """Fill NULLs with the exact column median (not ``Imputer``, which is approximate).
+
+    All columns in one job: rows are unpivoted to (column, value) and counted per
+    distinct pair on the map side, then one ranking yields every column's median."""
+    lf = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in cols])))
+    per_col = R.group_quantiles(lf, ["_c"], "_v", {"_m": 0.5})  # one row per column
+    med = per_col.groupBy().pivot("_c", cols).agg(F.first("_m"))
+    med = med.select(*[F.col(f"`{c}`").alias(f"_med_{c}") for c in cols])
     j = df.crossJoin(F.broadcast(med))  # one row of medians
     return j.withColumns({c: F.coalesce(F.col(c), F.col(f"_med_{c}")) for c in cols}).drop(*[f"_med_{c}" for c in cols])
 
