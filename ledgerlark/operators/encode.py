@@ -80,12 +80,24 @@ def label_codes(df: DataFrame, col: str) -> DataFrame:
     return ranked.select(F.col("_lv"), (F.col("_code") - 1).cast("int").alias("_code"))
 
 
+def label_codes_all(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column, value, code) for several columns from one ranking: the distinct
+    (column, value) pairs are ranked within each column (skew-safe group ranking)."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("_c"), F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias("_lv"))
+                      for c in cols])
+    vals = df.select(F.inline(pairs)).distinct()
+    ranked = R.group_row_number(vals, ["_c"], [F.col("_lv")], out="_code")
+    return ranked.select("_c", "_lv", (F.col("_code") - 1).cast("int").alias("_code"))
+
+
 def label_encode(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Alphabetical 0-based codes refit on the data for every column in ``cols``."""
+    codes = label_codes_all(df, cols)
     out = df
     for c in cols:
-        codes = label_codes(df, c)
+        cc = codes.filter(F.col("_c") == c).drop("_c")
         out = (out.withColumn("_lv", F.coalesce(F.col(c).cast("string"), F.lit("nan")))
-               .join(codes, "_lv", "left").drop("_lv", c).withColumnRenamed("_code", c))
+               .join(cc, "_lv", "left").drop("_lv", c).withColumnRenamed("_code", c))
     return out
 
 
