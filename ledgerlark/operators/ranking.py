@@ -26,8 +26,14 @@ def _n_partitions(df: DataFrame, partitions: int | None) -> int:
 
 
 def _tag_sorted(df: DataFrame, order: list[Column], partitions: int | None) -> DataFrame:
-    n = _n_partitions(df, partitions)
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # Without an explicit count, AQE may merge neighbouring small ranges (merged ranges
+    # stay contiguous and in key order), so a small table is not cut into hundreds of
+    # tiny partitions and files; large tables keep ranges of the advisory size.
+    if partitions:
+        ranged = df.repartitionByRange(partitions, *order)
+    else:
+        ranged = df.repartitionByRange(*order)
+    ranged = ranged.sortWithinPartitions(*order)
     tagged = ranged.withColumn(_PID, F.spark_partition_id()).withColumn(
         _LOCAL, F.monotonically_increasing_id() - F.shiftleft(F.col(_PID).cast("long"), 33))
     # Partition ids and positions must not change if a later stage is retried.
