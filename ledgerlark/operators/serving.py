@@ -7,7 +7,7 @@ model ``transform``; no per-series Python and no driver loop over series.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
@@ -19,9 +19,17 @@ def history_arrays(df: DataFrame, keys: list[str] | None = None, depth: int = 12
     """(keys, last_month, hist) with ``hist`` = the last ``depth`` values, oldest first.
     ``max_by``-style top-k per series is bounded by ``depth`` elements."""
     keys = keys or ["series_id"]
+    recent = _last_rows(df.filter(F.col(V).isNotNull()), keys, depth)
     srt = F.array_sort(F.collect_list(F.struct(F.col(T).alias("t"), F.col(V).alias("v"))))
-    g = df.filter(F.col(V).isNotNull()).groupBy(*keys).agg(srt.alias("_h"), F.max(T).alias("last_month"))
-    return g.select(*keys, "last_month", F.transform(F.slice("_h", -depth, depth), lambda s: s["v"]).alias("hist"))
+    g = recent.groupBy(*keys).agg(srt.alias("_h"), F.max(T).alias("last_month"))
+    return g.select(*keys, "last_month", F.transform("_h", lambda s: s["v"]).alias("hist"))
+
+
+def _last_rows(df: DataFrame, keys: list[str], depth: int) -> DataFrame:
+    """The last ``depth`` rows of each series, so at most ``depth`` rows per series are
+    gathered into an array however long its history is."""
+    rn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(T).desc()))
+    return df.withColumn("_rn", rn).filter(F.col("_rn") <= depth).drop("_rn")
 
 
 def features_from_history(h: DataFrame) -> DataFrame:
@@ -107,8 +115,9 @@ def volume_forecast_recursive(panel: DataFrame, keys: list[str] | None = None, h
 
     w = F.array_sort(F.collect_list(F.struct(F.col(T).alias("t"), F.col(V).alias("v"), "avg_int_rate", "loan_count",
                                              "avg_loan_amnt")))
-    st = panel.filter(F.col(V).isNotNull()).groupBy(*keys).agg(w.alias("_h"), F.count(F.lit(1)).alias("_n"))
-    st = st.filter(F.col("_n") >= 12)
+    valid = panel.filter(F.col(V).isNotNull())
+    n = valid.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= 12)
+    st = _last_rows(valid, keys, 12).groupBy(*keys).agg(w.alias("_h")).join(n, keys)
     last = F.element_at("_h", -1)
     st = st.select(*keys, last["t"].alias("last_month"),
                    F.transform(F.slice("_h", -12, 12), lambda s: s["v"]).alias("hist"),
