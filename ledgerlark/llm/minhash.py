@@ -133,6 +133,25 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: int)
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
+def _partnered(texts: DataFrame, weight: DataFrame, shingle: int, threshold: int) -> DataFrame:
+    """The rows of ``weight`` whose text may have a link at all: one with a share of windows
+    that occur in no other of these texts above 100 - threshold percent has none."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = shingle_sets(b.column("text"), shingle)
+            own = np.repeat(b.column("node").to_numpy(), [len(s) for s in sets])
+            h = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+            for i in range(0, len(h), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(own[i : i + (1 << 16)]), pa.array(h[i : i + (1 << 16)])], names=["node", "h"])
+
+    each = texts.select("node", "text").mapInArrow(run, "node long, h long")
+    lone = each.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).filter("c = 1")
+    lone = lone.groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
+    size = texts.select("node", "n")
+    j = weight.join(size, "node").join(lone, "node", "left")
+    return j.filter(100 * (F.col("n") - F.coalesce("lone", F.lit(0))) >= threshold * F.col("n")).select("node", "weight")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable over
     links with 100 * intersection >= threshold * union), kept (is that document).
@@ -147,26 +166,32 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80, id_c
         node.alias("node"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")), "minhash_classes")
     keys = F.array(*[F.xxhash64(F.lit(i), F.expr(f"substring(regs, {1 + 8 * i}, 8)")) for i in range(BANDS)])
     banded = classes.select("node", F.explode(keys).alias("band"))
-    shared = banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    members = stable(banded.join(shared, "band").select("band", "node", "low").distinct(), "minhash_members")
-    involved = members.select("node").distinct().join(classes.select("node", "set_key"), "node")
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y")
+    members = stable(banded.join(shared.select("band", "size"), "band").distinct(), "minhash_members")
     labels = None
     if not members.isEmpty():
         text = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-        if not involved.filter(F.col("node") >= _HIDDEN).isEmpty():
+        weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
+        if not weight.filter(F.col("node") >= _HIDDEN).isEmpty():
             text = _named(docs, rows, classes, shingle, id_col, text_col)
-        near = members.filter("node > low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-        maybe = stable(_likely(near, classes, threshold), "minhash_pairs")
-        first = maybe.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        texts = stable(text.join(involved.select("node").distinct(), "node").dropDuplicates(["node", "text"]), "minhash_texts")
+        involved = weight.select("node").join(classes.select("node", "n"), "node")
+        texts = stable(text.join(involved, "node").dropDuplicates(["node", "text"]), "minhash_texts")
+        likely = _partnered(texts, weight, shingle, threshold)
+        members = stable(members.select("band", "node").join(likely, "node"), "minhash_members")
+        # The text that shares the largest bands is the likeliest source of a group of copies.
+        hub = members.groupBy("band").agg(F.max(F.struct("weight", F.negative("node"))).alias("hub"))
+        near = members.join(hub.select("band", F.negative("hub.col2").alias("hub"), F.col("hub.weight").alias("far")), "band").filter("node <> hub")
+        near = near.groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.max("far").alias("far"))
+        maybe = stable(_likely(near.select("a", "b"), classes, threshold).join(near, ["a", "b"]), "minhash_pairs")
+        first = maybe.groupBy("b").agg(F.max_by("a", F.struct("far", F.negative("a"))).alias("a")).select("a", "b")
         links = stable(_verified(first, texts, shingle, threshold), "minhash_links")
         labels = components(links)
-        later = maybe.join(first, ["a", "b"], "left_anti")
+        later = maybe.select("a", "b").join(first, ["a", "b"], "left_anti")
         more = stable(_verified(_apart(later, labels), texts, shingle, threshold), "minhash_links")
         if not more.isEmpty():
             links = links.union(more)
             labels = components(links)
-        left = members.filter("node > low").select("band", "node")
+        left = members.select("band", "node").join(hub.select("band", F.negative("hub.col2").alias("node")), ["band", "node"], "left_anti")
         wide = 32
         while True:
             named = left.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
