@@ -14,6 +14,9 @@ from ledgerlark.session import configure, stable
 WORD_RE = r"[^\x20\x09-\x0D]+"
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: True for every byte that is neither an ASCII letter nor part of a longer UTF-8 character.
+NOT_LETTER = np.ones(256, bool)
+NOT_LETTER[65:91] = NOT_LETTER[97:123] = NOT_LETTER[128:] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -40,6 +43,34 @@ def bucket_of(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
 
 
+def labelled_sample(labels: DataFrame, column: str, folds: int, held: int, most: int) -> DataFrame:
+    """(doc_id, y) of at most ``most`` labelled rows outside the held-out fold, those with the
+    smallest hashes of their id: a bounded sample, the same on every run."""
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("y"))
+    rows = rows.filter("doc_id is not null and y is not null").filter(bucket_of(F.col("doc_id"), folds) != held)
+    return rows.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, column: str, folds: int, held: int, most: int) -> DataFrame:
+    """(doc_id, text, y) of the sample; it has at most ``most`` rows of two numbers, so it is
+    sent to the documents and not the other way round. A repeated doc_id counts once a row."""
+    picked = labelled_sample(labels, column, folds, held, most)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.join(F.broadcast(picked), "doc_id")
+
+
+def sums_between(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Sum of flags in each [off[i], off[i+1])."""
+    total = np.zeros(len(flags) + 1, np.int64)
+    np.cumsum(flags, out=total[1:])
+    return total[off[1:]] - total[off[:-1]]
+
+
+def share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a / b, 0 where b is 0."""
+    return np.divide(a, b, out=np.zeros(len(a)), where=np.asarray(b) > 0)
+
+
 # ---------------------------------------------------------------- text buffers (numpy)
 
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -55,11 +86,12 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of all words, and the offsets of each text's words among them."""
+def word_spans(data: np.ndarray, off: np.ndarray, gap: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of all words, and the offsets of each text's words among them.
+    gap: 256 flags, true for the bytes that separate words."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    solid = ~BLANK[data]
+    solid = ~gap[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[off] = True
     before = np.empty_like(solid)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import minhash, quality_gam
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,3 +25,9 @@ def query(key: str, sql: str | None = None):
 @query("op5_minhash_dedup")
 def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=4, threshold=80)
+
+
+@query("op9_quality_gam")
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality_gam.score(docs, quality_gam.train(docs, read(spark, sf_dir, "labels")))
