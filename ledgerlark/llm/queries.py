@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, quality_gam
+from . import minhash, quality_gam, toxicity
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +31,10 @@ def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality_gam.score(docs, quality_gam.train(docs, read(spark, sf_dir, "labels")))
+
+
+@query("op3_toxic_segments")
+def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+    return out.drop("passages")
