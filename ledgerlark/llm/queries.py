@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, line_crf, minhash, mixing, quality_gam, toxicity, warc
+from . import decontaminate, language, line_crf, minhash, mixing, pii, quality_gam, toxicity, warc
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,8 @@ def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_content_warc", warc.ORACLE)
 def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(read(spark, sf_dir, "pages"))
+
+
+@query("op6_pii_bootstrap")
+def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read(spark, sf_dir, "documents"))
