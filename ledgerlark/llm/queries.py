@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, line_crf, minhash, mixing, pii, quality_gam, toxicity, warc
+from . import chat, decontaminate, language, line_crf, minhash, mixing, pii, quality_gam, toxicity, warc
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,8 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_pii_bootstrap")
 def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(read(spark, sf_dir, "documents"))
+
+
+@query("op1_chat_windows")
+def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.write_and_read(spark, chat.with_probe(read(spark, sf_dir, "conversations")))
