@@ -91,7 +91,7 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
                                                               F.concat(F.lit(START), escape_role(role), F.lit("\n")).alias("head"), escape(text).alias("body"))
     block = F.concat("head", "body", F.lit(f"{END}\n"))
     order = [F.col("conv_id"), F.col("turn").asc_nulls_last(), F.col("role"), F.col("sign")]
-    counted = _counted(rows.withColumn("block", block), tokenizer).drop("block")
+    counted = stable(_counted(rows.withColumn("block", block), tokenizer).drop("block"), "chat_counted")  # the sort samples it first
     run = stable(global_row_number(counted, order, out="rn", sum_col="tokens", cum_out="upto").withColumn("upto", F.col("upto").cast("long")), "chat_turns")
     first = run.groupBy("conv_id").agg(F.min("rn").alias("first"), F.count(F.lit(1)).alias("n"), F.min(F.col("upto") - F.col("tokens")).alias("base"), F.min_by(F.struct("role", "tokens"), "rn").alias("lead"))
     lead = F.when(F.col("lead.role") == "system", F.col("lead.tokens")).otherwise(0)

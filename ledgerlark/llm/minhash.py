@@ -8,9 +8,10 @@ pair is missed with a chance of (1 - 0.8^4)^32 < 5e-8. A proposed pair is estima
 its registers, corrected for chance collisions, and confirmed on the full sets.
 
 Groups are never expanded into all pairs. Texts with equal sets are one class from the
-start. Each round links the members of a band to a few pivots only, then drops bands whose
-members are already in one component; a pivot leaves its bands once compared. The rounds
-end when every pair that shares a band is compared or connected, so no link is lost.
+start. The members of a band are linked to its hub, the text that shares the largest bands;
+bands whose members are in one component by then are done. In the others every pair that is
+still apart is compared by finer sketches inside blocks of bounded size; only pairs near the
+threshold come out and are verified. So every pair that shares a band is compared or connected.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ _HIDDEN = 1 << 62  # nodes of classes none of whose rows has an id
 _DONORS = (keys64(96 * BUCKETS, 501) % np.uint64(BUCKETS)).astype(np.int64).reshape(96, BUCKETS)
 #: An estimate this far below the threshold (about six deviations of 128 registers) drops a pair.
 SLACK = 0.2
+#: Bytes of a fine sketch, its slack (over five deviations), and texts in a block of a large band.
+FINE, FINE_SLACK, BLOCK = 1024, 0.07, 512
 
 
 def registers(sets: list[np.ndarray]) -> np.ndarray:
@@ -133,6 +136,99 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: int)
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
+def fine_sketch(sets: list[np.ndarray]) -> list[bytes]:
+    """A byte for each of 1024 buckets: of its smallest hash, 0 where it has none. Short texts are told
+    apart almost exactly, long ones with a deviation of 0.0125."""
+    out = []
+    for s in sets:
+        row = np.zeros(FINE, np.uint8)
+        slot = (s >> np.uint64(54)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1]))) if len(s) else slot
+        row[slot[first]] = 1 + mix64(s[first]) % np.uint64(255)
+        out.append(row.tobytes())
+    return out
+
+
+def _compare(rows: dict[str, np.ndarray], threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one group of :func:`_blockwise` that may reach the threshold."""
+    one, two = np.flatnonzero(rows["block"] == rows["lo"][0]), np.flatnonzero(rows["block"] == rows["hi"][0])
+    comp, n, regs, fine = rows["component"], rows["n"], rows["regs"], rows["fine"]
+    apart = comp[one][:, None] != comp[two][None, :]
+    apart &= 100 * np.minimum(n[one][:, None], n[two][None, :]) >= threshold * np.maximum(n[one][:, None], n[two][None, :])
+    if rows["lo"][0] == rows["hi"][0]:
+        apart &= one[:, None] < two[None, :]
+    i, j = np.nonzero(apart)
+    i, j = one[i], two[j]
+    keep = []
+    for k in range(0, len(i), 4096):
+        x, y = i[k : k + 4096], j[k : k + 4096]
+        mine = (regs[x] == regs[y]).argmax(1) == rows["at"][0]  # of the bands a pair shares, the first compares it
+        x, y = x[mine], y[mine]
+        either = ((fine[x] > 0) | (fine[y] > 0)).sum(1)
+        same = ((fine[x] == fine[y]) & (fine[x] > 0)).sum(1)
+        near = (same / np.maximum(either, 1) - 1 / 255) / (1 - 1 / 255) >= threshold / 100 - FINE_SLACK
+        keep.append(np.column_stack([x[near], y[near]]))
+    found = np.concatenate([*keep, np.zeros((0, 2), np.int64)]).astype(np.int64)
+    return found[:, 0], found[:, 1]
+
+
+def _blockwise(members: DataFrame, labels: DataFrame, texts: DataFrame, classes: DataFrame, shingle: int, threshold: int) -> DataFrame:
+    """Pairs (a, b) of one band in different components whose fine sketches are near the threshold.
+    A band's members are dealt into blocks of about 512 by a hash; a group is a pair of blocks,
+    so no task holds a large band, and only near pairs come out of it."""
+    named = members.select("band", "at", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m"))
+    left = stable(named.join(split.filter("x < y").select("band", "m"), "band"), "minhash_open")
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(fine_sketch(shingle_sets(b.column("text"), shingle)), pa.binary())], names=["node", "fine"])
+
+    ask = texts.join(left.select("node").distinct(), "node", "left_semi").select("node", "text")
+    fine = ask.mapInArrow(sketched, "node long, fine binary").dropDuplicates(["node"])
+    sent = fine.join(classes.select("node", "n", "regs").dropDuplicates(["node"]), "node")
+    blocks = F.ceil(F.col("m") / BLOCK)
+    own = left.withColumn("block", F.pmod(F.xxhash64("node"), blocks))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = dealt.select("band", "at", "node", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    dealt = dealt.join(sent, "node").repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
+    names = ["band", "at", "node", "component", "block", "lo", "hi", "n", "regs", "fine"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def whole(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            rows = pa.Table.from_batches(parts).combine_chunks()
+            num = {c: rows.column(c).to_numpy() for c in names[:-2]}
+            num["regs"] = np.frombuffer(b"".join(rows.column("regs").to_pylist()), np.uint64).reshape(-1, BANDS)
+            num["fine"] = np.frombuffer(b"".join(rows.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
+            cuts = np.flatnonzero(np.concatenate(([True], (num["band"][1:] != num["band"][:-1]) | (num["lo"][1:] != num["lo"][:-1]) | (num["hi"][1:] != num["hi"][:-1]))))
+            a, b = [], []
+            for x, y in zip(cuts, np.append(cuts[1:], len(num["band"]))):
+                group = {c: v[x:y] for c, v in num.items()}
+                i, j = _compare(group, threshold)
+                a.append(group["node"][i])
+                b.append(group["node"][j])
+            a, b = np.concatenate(a), np.concatenate(b)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        key = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.column_stack([batch.column(c).to_numpy() for c in ("band", "lo", "hi")])
+            last = int(np.flatnonzero((keys != keys[-1]).any(1)).max(initial=-1)) + 1  # the last group may go on
+            if last or (key is not None and (keys[0] != key).any()):
+                done = [*held, batch.slice(0, last)] if last else held
+                yield whole(done)
+                held = []
+            held.append(batch.slice(last))
+            key = keys[-1]
+        if held:
+            yield whole(held)
+
+    return dealt.select(*names).mapInArrow(run, "a long, b long").distinct()
+
+
 def _partnered(texts: DataFrame, weight: DataFrame, shingle: int, threshold: int) -> DataFrame:
     """The rows of ``weight`` whose text may have a link at all: one with a share of windows
     that occur in no other of these texts above 100 - threshold percent has none."""
@@ -165,7 +261,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80, id_c
     classes = stable(rows.filter("set_key is not null").groupBy("set_key").agg(
         node.alias("node"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")), "minhash_classes")
     keys = F.array(*[F.xxhash64(F.lit(i), F.expr(f"substring(regs, {1 + 8 * i}, 8)")) for i in range(BANDS)])
-    banded = classes.select("node", F.explode(keys).alias("band"))
+    banded = classes.select("node", F.posexplode(keys).alias("at", "band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y")
     members = stable(banded.join(shared.select("band", "size"), "band").distinct(), "minhash_members")
     labels = None
@@ -177,7 +273,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80, id_c
         involved = weight.select("node").join(classes.select("node", "n"), "node")
         texts = stable(text.join(involved, "node").dropDuplicates(["node", "text"]), "minhash_texts")
         likely = _partnered(texts, weight, shingle, threshold)
-        members = stable(members.select("band", "node").join(likely, "node"), "minhash_members")
+        members = stable(members.select("band", "at", "node").join(likely, "node"), "minhash_members")
         # The text that shares the largest bands is the likeliest source of a group of copies.
         hub = members.groupBy("band").agg(F.max(F.struct("weight", F.negative("node"))).alias("hub"))
         near = members.join(hub.select("band", F.negative("hub.col2").alias("hub"), F.col("hub.weight").alias("far")), "band").filter("node <> hub")
@@ -191,25 +287,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80, id_c
         if not more.isEmpty():
             links = links.union(more)
             labels = components(links)
-        left = members.select("band", "node").join(hub.select("band", F.negative("hub.col2").alias("node")), ["band", "node"], "left_anti")
-        wide = 32
-        while True:
-            named = left.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            split = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("band")
-            left = stable(named.join(split, "band").select("band", "node", "component"), "minhash_left")
-            if left.isEmpty():
-                break
-            slot = F.pmod(F.xxhash64("node", F.lit(wide)), F.lit(wide))
-            pivots = left.groupBy("band", slot.alias("slot")).agg(F.min_by("node", "node").alias("a"), F.min_by("component", "node").alias("ca"))
-            pivots = stable(pivots.drop("slot"), "minhash_pivots")
-            pairs = left.join(pivots, "band").filter("ca <> component and a <> node")
-            pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-            new = stable(_verified(_likely(pairs, classes, threshold), texts, shingle, threshold), "minhash_links")
-            left = left.join(pivots.select("band", F.col("a").alias("node")), ["band", "node"], "left_anti").select("band", "node")
-            if not new.isEmpty():
-                links = links.union(new)
-                labels = components(links)
-            wide *= 8
+        # what no hub has joined: every pair of a band that is still apart is compared, in blocks
+        rest = stable(_verified(_blockwise(members, labels, texts, classes, shingle, threshold), texts, shingle, threshold), "minhash_links")
+        if not rest.isEmpty():
+            labels = components(links.union(rest))
     named = classes.select("set_key", "node")
     if labels is not None:
         named = named.join(labels, "node", "left")
