@@ -130,16 +130,12 @@ def target_flag(col: str = "y") -> Column:
     return F.when(F.col(col) == "yes", 1).otherwise(0).alias("target")
 
 
-def one_hot_columns(df: DataFrame, cat_cols: list[str], max_categories: int = 1000) -> list[tuple[str, str]]:
-    """Sorted (column, value) pairs to encode. One aggregate pass; the result size is the
-    number of categories, checked against ``max_categories``."""
-    arrays = df.agg(*[F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(c) for c in cat_cols]).first()
-    pairs = []
-    for c in cat_cols:
-        vals = arrays[c] or []
-        if len(vals) > max_categories:
-            raise ValueError(f"{c}: {len(vals)} categories exceed max_categories={max_categories}")
-        pairs += [(c, v) for v in vals]
+def one_hot_columns(df: DataFrame, cat_cols: list[str]) -> list[tuple[str, str]]:
+    """Sorted (column, value) pairs to encode: the distinct pairs, counted map-side in one pass
+    over all columns. Each becomes a column of the design, so their number is the design's width."""
+    each = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(cat_cols)])).alias("p"))
+    found = each.select("p.i", "p.v").filter("v is not null").distinct().orderBy("i", "v")
+    pairs = [(cat_cols[r.i], r.v) for r in found.toLocalIterator()]
     return pairs
 
 

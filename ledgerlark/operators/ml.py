@@ -74,11 +74,27 @@ def assembler(features: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
 
 
-def classifiers(seed: int = 42, gbt_iter: int = 300, rf_trees: int = 200, weight_col: str | None = None) -> dict:
+# The hyper-parameters of the original models.
+LR_ITER, CAMPAIGN_LR_ITER, KMEANS_ITER = 1000, 2000, 300
+FOREST = {"numTrees": 200, "maxDepth": 10, "minInstancesPerNode": 50}
+#: The campaign forest's depth is unbounded in the original; 30 is Spark's largest.
+CAMPAIGN_FOREST = {"numTrees": 220, "maxDepth": 30}
+BOOSTING = {"maxIter": 300, "stepSize": 0.05}
+
+
+def forest(seed: int = 42) -> RandomForestClassifier:
+    return RandomForestClassifier(**FOREST, seed=seed, labelCol="label")
+
+
+def campaign_forest(seed: int = 42) -> RandomForestClassifier:
+    return RandomForestClassifier(**CAMPAIGN_FOREST, seed=seed, labelCol="label")
+
+
+def classifiers(seed: int = 42, weight_col: str | None = None) -> dict:
     """The reference's three model families with its hyper-parameters."""
-    lr = LogisticRegression(maxIter=200, labelCol="label", featuresCol="features", standardization=True)
-    rf = RandomForestClassifier(numTrees=rf_trees, maxDepth=10, minInstancesPerNode=50, seed=seed, labelCol="label")
-    gbt = GBTClassifier(maxIter=gbt_iter, maxDepth=6, stepSize=0.05, subsamplingRate=0.8, seed=seed, labelCol="label")
+    lr = LogisticRegression(maxIter=LR_ITER, labelCol="label", featuresCol="features", standardization=True)
+    rf = forest(seed)
+    gbt = GBTClassifier(**BOOSTING, maxDepth=6, subsamplingRate=0.8, seed=seed, labelCol="label")
     if weight_col:
         lr.setWeightCol(weight_col)
         rf.setWeightCol(weight_col)
@@ -190,7 +206,7 @@ def kmeans_best(df: DataFrame, features: list[str], k: int = 4, n_init: int = 20
     vec = stable(assembler(features).transform(df), "kmeans_input")
     best = None
     for i in range(n_init):
-        m = KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="Cluster").fit(vec)
+        m = KMeans(k=k, maxIter=KMEANS_ITER, seed=seed + i, featuresCol="features", predictionCol="Cluster").fit(vec)
         if best is None or m.summary.trainingCost < best.summary.trainingCost:
             best = m
     return best, best.transform(vec).drop("features")
@@ -198,7 +214,7 @@ def kmeans_best(df: DataFrame, features: list[str], k: int = 4, n_init: int = 20
 
 def regressors(seed: int = 42) -> dict:
     return {"Linear Regression": LinearRegression(labelCol="label"),
-            "Gradient Boosted Trees": GBTRegressor(maxIter=100, maxDepth=4, stepSize=0.05, seed=seed, labelCol="label")}
+            "Gradient Boosted Trees": GBTRegressor(**BOOSTING, maxDepth=4, seed=seed, labelCol="label")}
 
 
 def decision_tree(seed: int = 42) -> DecisionTreeClassifier:

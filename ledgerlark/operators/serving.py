@@ -87,7 +87,7 @@ def volume_models(panel: DataFrame, keys: list[str] | None = None, seed: int = 4
     sid = keys[0]
     tf = W.training_frame(panel, sid=sid).withColumnsRenamed({"rolling_mean_3": "rolling_3", "rolling_mean_6": "rolling_6"})
     tf = tf.withColumn("label", F.col(V)).select("label", *[F.col(c).cast("double").alias(c) for c in VOLUME_FEATURES])
-    tree = M.fit(tf, VOLUME_FEATURES, GBTRegressor(maxIter=60, maxDepth=4, stepSize=0.1, seed=seed, labelCol="label",
+    tree = M.fit(tf, VOLUME_FEATURES, GBTRegressor(**M.BOOSTING, maxDepth=4, subsamplingRate=0.8, seed=seed, labelCol="label",
                                                    predictionCol="_tree"))
     lin = M.fit(tf, VOLUME_FEATURES, LinearRegression(labelCol="label", predictionCol="_lin", regParam=0.01))
     return tree, lin

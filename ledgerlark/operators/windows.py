@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
+from ..session import stable
+from .ranking import global_row_number
 
 SID, T, V = "series_id", "month_start", "value"
 
@@ -22,20 +24,24 @@ def trailing_count(df: DataFrame, key: str, ts: str, seconds: int, id_col: str,
     """Rows of the same ``key`` with time in ``[ts - seconds, ts]`` (inclusive, ties
     counted), like ``count(*) OVER (PARTITION BY key ORDER BY ts RANGE ... PRECEDING)``.
 
-    Skew-safe: instead of one window partition per key (a hot key would be one task),
-    rows are bucketed by ``floor(ts / seconds)``; each row is also copied into the next
-    bucket as context, so a window over ``(key, bucket)`` sees everything it needs. The
-    largest partition is two buckets of one key.
+    Linear and skew-safe: the answer is the number of the key's rows up to ``ts`` less the
+    number before ``ts - seconds``. Both are read off one running count over all distinct
+    (key, time) points, which range partitions spread whatever the key; rows are counted per
+    point first. Rows without a time count the key's rows without a time.
     """
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
     span = seconds * 1_000_000
-    base = df.withColumn("_tc_us", us).withColumn("_tc_b", F.floor(F.col("_tc_us") / span))
-    own = base.withColumn("_tc_own", F.lit(True))
-    ctx = base.select(key, "_tc_us", (F.col("_tc_b") + 1).alias("_tc_b"), F.lit(False).alias("_tc_own"))
-    both = own.unionByName(ctx, allowMissingColumns=True)
-    w = Window.partitionBy(key, "_tc_b").orderBy("_tc_us").rangeBetween(-span, 0)
-    counted = both.withColumn(out, F.count(F.lit(1)).over(w).cast("int"))
-    return counted.filter("_tc_own").drop("_tc_us", "_tc_b", "_tc_own")
+    base = df.withColumn("_tc_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    rows = base.select(F.col(key).alias("_tc_key"), F.col("_tc_us").alias("_tc_p"), F.lit(1).alias("_tc_c"))
+    probes = rows.select("_tc_key", (F.col("_tc_p") - span - 1).alias("_tc_p"), F.lit(0).alias("_tc_c")).filter("_tc_p is not null")
+    points = rows.union(probes).groupBy("_tc_key", "_tc_p").agg(F.sum("_tc_c").alias("_tc_c"))
+    run = global_row_number(points, [F.col("_tc_key"), F.col("_tc_p")], out="_tc_n", sum_col="_tc_c", cum_out="_tc_upto")
+    run = stable(run.select("_tc_key", "_tc_p", "_tc_c", "_tc_upto"), "trailing_count")
+    now = run.filter("_tc_c > 0").select(F.col("_tc_key").alias("_tc_k1"), F.col("_tc_p").alias("_tc_p1"), "_tc_c", "_tc_upto")
+    past = run.select(F.col("_tc_key").alias("_tc_k2"), F.col("_tc_p").alias("_tc_p2"), F.col("_tc_upto").alias("_tc_before"))
+    seen = now.join(past, F.col("_tc_k1").eqNullSafe(F.col("_tc_k2")) & (F.col("_tc_p1") - span - 1 == F.col("_tc_p2")), "left")
+    seen = seen.select("_tc_k1", "_tc_p1", F.coalesce(F.col("_tc_upto") - F.col("_tc_before"), F.col("_tc_c")).cast("int").alias(out))
+    hit = base[key].eqNullSafe(seen["_tc_k1"]) & base["_tc_us"].eqNullSafe(seen["_tc_p1"])
+    return base.join(seen, hit).drop("_tc_us", "_tc_k1", "_tc_p1")
 
 
 def ffill_bfill(df: DataFrame, value: str = V, sid: str = SID, t: str = T, out: str | None = None) -> DataFrame:

@@ -138,7 +138,7 @@ def q_model_store(spark, d):
     store = _tmp(spark, "model_store")
     f = E.prepare_features(clean_loans(Tables(spark, d)), M.DEFAULT_FEATURES, keep=["loan_id", "default_flag"]).withColumn(
         "label", F.col("default_flag").cast("double"))
-    build = lambda: M.fit(f, M.DEFAULT_FEATURES, M.LogisticRegression(maxIter=50))
+    build = lambda: M.fit(f, M.DEFAULT_FEATURES, M.LogisticRegression(maxIter=M.LR_ITER))
     IO.cached_artifact(spark, src, store, build)
     model = IO.cached_artifact(spark, src, store, lambda: (_ for _ in ()).throw(AssertionError("cache miss")))
     return M.positive_probability(model.transform(f)).select("loan_id", "probability_1")

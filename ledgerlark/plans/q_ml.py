@@ -181,7 +181,7 @@ def q_top_features(spark, d):
     t = P.top_features(imp, 6)
     return t.select("feature", X.rnd(F.col("importance"), 8).alias("importance"),
                     F.concat(F.upper(F.substring(F.regexp_replace("feature", "_", " "), 1, 1)),
-                             F.substring(F.regexp_replace("feature", "_", " "), 2, 1000)).alias("label"))
+                             F.expr("substring(replace(feature, '_', ' '), 2)")).alias("label"))
 
 
 _LONG_SQL = " UNION ALL ".join(f"SELECT loan_id, '{f}' AS feature, {f} AS value FROM pf" for f in M.DEFAULT_FEATURES)
@@ -323,10 +323,9 @@ def q_flagged_share(spark, d):
 @query("train_default_models")
 def q_train_default_models(spark, d):
     """LR, random forest (200 trees, depth 10, leaf 50) and boosted trees (depth 6, step
-    .05, subsample .8) on the stratified 80/20 split; metrics of each on the test part.
-    The registered query runs 60 boosting rounds (the function default is 300)."""
+    .05, subsample .8) on the stratified 80/20 split; metrics of each on the test part."""
     f = _features(spark, d)
-    return M.train_and_evaluate(f, M.DEFAULT_FEATURES, "default_flag", "loan_id", M.classifiers(gbt_iter=60))
+    return M.train_and_evaluate(f, M.DEFAULT_FEATURES, "default_flag", "loan_id", M.classifiers())
 
 
 @query("train_churn_models")
@@ -334,7 +333,7 @@ def q_train_churn_models(spark, d):
     """Same families with balanced class weights on the churn label of fully paid loans."""
     c = clean_loans(Tables(spark, d))
     f = E.prepare_features(c, M.CHURN_FEATURES, keep=["loan_id"]).join(K.churn_label(c).select("loan_id", "churn_flag"), "loan_id")
-    return M.train_and_evaluate(f, M.CHURN_FEATURES, "churn_flag", "loan_id", M.classifiers(gbt_iter=60, weight_col="weight"),
+    return M.train_and_evaluate(f, M.CHURN_FEATURES, "churn_flag", "loan_id", M.classifiers(weight_col="weight"),
                                 weight_col="weight")
 
 
@@ -349,8 +348,8 @@ def q_train_deposit_models(spark, d):
     """LR, decision tree (depth 8), random forest (220 trees) on the one-hot campaign
     design; leaderboard by F1 then accuracy."""
     design, feats = _campaign_xy(spark, d)
-    models = {"Logistic Regression": M.classifiers()["Logistic Regression"], "Decision Tree": M.decision_tree(),
-              "Random Forest": M.RandomForestClassifier(numTrees=220, seed=42, labelCol="label")}
+    models = {"Logistic Regression": M.LogisticRegression(maxIter=M.CAMPAIGN_LR_ITER, labelCol="label"), "Decision Tree": M.decision_tree(),
+              "Random Forest": M.campaign_forest()}
     return M.leaderboard(M.train_and_evaluate(design, feats, "target", "client_id", models))
 
 
@@ -401,8 +400,8 @@ def q_score_portfolio(spark, d):
     f = E.prepare_features(c, M.DEFAULT_FEATURES, keep=["loan_id", "default_flag"]).withColumn("label", F.col("default_flag").cast("double"))
     ch = K.churn_label(c).select("loan_id", F.col("churn_flag").cast("double").alias("label"))
     fc = E.prepare_features(c, M.CHURN_FEATURES, keep=["loan_id"]).join(ch, "loan_id")
-    m1 = M.fit(f, M.DEFAULT_FEATURES, M.LogisticRegression(maxIter=100))
-    m2 = M.fit(fc, M.CHURN_FEATURES, M.LogisticRegression(maxIter=100))
+    m1 = M.fit(f, M.DEFAULT_FEATURES, M.LogisticRegression(maxIter=M.LR_ITER))
+    m2 = M.fit(fc, M.CHURN_FEATURES, M.LogisticRegression(maxIter=M.LR_ITER))
     p1 = M.positive_probability(m1.transform(f)).select("loan_id", F.col("probability_1").alias("default_probability"))
     all_c = E.prepare_features(c, M.CHURN_FEATURES, keep=["loan_id"])
     p2 = M.positive_probability(m2.transform(all_c)).select("loan_id", F.col("probability_1").alias("churn_probability"))
@@ -417,7 +416,7 @@ def q_score_default(spark, d):
     tier label, and the model's top-8 importance as an array per row."""
     c = clean_loans(Tables(spark, d)).filter(F.col("issue_month").between(1, 12))
     f = E.prepare_features(c, M.DEFAULT_FEATURES, keep=["loan_id", "default_flag"]).withColumn("label", F.col("default_flag").cast("double"))
-    m = M.fit(f, M.DEFAULT_FEATURES, M.RandomForestClassifier(numTrees=50, maxDepth=8, seed=42))
+    m = M.fit(f, M.DEFAULT_FEATURES, M.forest())
     imp = sorted(M.model_importance(m, M.DEFAULT_FEATURES), key=lambda t: -t[1])[:8]  # len(features) numbers
     s = M.positive_probability(m.transform(f)).select("loan_id", F.col("probability_1").alias("probability"))
     return s.withColumns({"label": X.threshold_label(F.col("probability"), *K.BRIDGE_LABELS),
@@ -430,7 +429,7 @@ def q_score_churn(spark, d):
     c = clean_loans(Tables(spark, d))
     ch = K.churn_label(c).select("loan_id", F.col("churn_flag").cast("double").alias("label"))
     f = E.prepare_features(c, M.CHURN_FEATURES, keep=["loan_id"]).join(ch, "loan_id")
-    m = M.fit(M.with_weights(f, "label", "w"), M.CHURN_FEATURES, M.LogisticRegression(maxIter=100, weightCol="w"))
+    m = M.fit(M.with_weights(f, "label", "w"), M.CHURN_FEATURES, M.LogisticRegression(maxIter=M.LR_ITER, weightCol="w"))
     s = M.positive_probability(m.transform(f)).select("loan_id", F.col("probability_1").alias("churn_probability"))
     return K.retention_actions(s).withColumn("suggestions", F.array_join("suggestions", " | "))
 
@@ -441,7 +440,7 @@ def q_score_deposit(spark, d):
     probability and ``Likely Subscribe`` at .6, with the campaign advice text."""
     design, feats = _campaign_xy(spark, d)
     data = design.withColumn("label", F.col("target").cast("double"))
-    m = M.fit(data, feats, M.RandomForestClassifier(numTrees=60, seed=42))
+    m = M.fit(data, feats, M.campaign_forest())
     imp = sorted(M.model_importance(m, feats), key=lambda t: -t[1])[:3]
     s = M.positive_probability(m.transform(data)).select("client_id", F.col("prediction").cast("int").alias("prediction"),
                                                          F.col("probability_1").alias("probability"))
@@ -454,7 +453,7 @@ def q_deposit_leaderboard(spark, d):
     """Leaderboard of the deposit models plus the champion's top-8 features."""
     design, feats = _campaign_xy(spark, d)
     data = design.withColumn("label", F.col("target").cast("double"))
-    m = M.fit(data, feats, M.RandomForestClassifier(numTrees=60, seed=42))
+    m = M.fit(data, feats, M.campaign_forest())
     imp = sorted(M.model_importance(m, feats), key=lambda t: -t[1])[:8]
     return spark.createDataFrame([(n, float(v)) for n, v in imp], "feature string, importance double")
 
@@ -463,7 +462,7 @@ def q_deposit_leaderboard(spark, d):
 def q_feature_importance(spark, d):
     """Importance of a fitted forest, normalised and sorted (one row per feature)."""
     f = _features(spark, d).withColumn("label", F.col("default_flag").cast("double"))
-    m = M.fit(f, M.DEFAULT_FEATURES, M.RandomForestClassifier(numTrees=50, maxDepth=8, seed=42))
+    m = M.fit(f, M.DEFAULT_FEATURES, M.forest())
     rows = M.model_importance(m, M.DEFAULT_FEATURES)
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"))
 
