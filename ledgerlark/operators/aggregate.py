@@ -145,7 +145,7 @@ def distinct_values(df: DataFrame, cols: list[str]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out.orderBy("column_name", "value")
 
 
 def column_profile(df: DataFrame, cols: list[str], mean_scale: int | None = None) -> DataFrame:

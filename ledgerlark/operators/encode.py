@@ -86,7 +86,7 @@ def label_codes_all(df: DataFrame, cols: list[str]) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(c).alias("_c"), F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias("_lv"))
                       for c in cols])
     vals = df.select(F.inline(pairs)).distinct()
-    ranked = R.group_row_number(vals, ["_c"], [F.col("_lv")], out="_code")
+    ranked = R.group_row_number(vals, ["_c"], [F.col("_lv")], out="_code", few=True)
     return ranked.select("_c", "_lv", (F.col("_code") - 1).cast("int").alias("_code"))
 
 
@@ -107,7 +107,7 @@ def median_impute(df: DataFrame, cols: list[str]) -> DataFrame:
     All columns in one job: rows are unpivoted to (column, value) and counted per
     distinct pair on the map side, then one ranking yields every column's median."""
     lf = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in cols])))
-    per_col = R.group_quantiles(lf, ["_c"], "_v", {"_m": 0.5})  # one row per column
+    per_col = R.group_quantiles(lf, ["_c"], "_v", {"_m": 0.5}, few=True)  # one row per column
     med = per_col.groupBy().pivot("_c", cols).agg(F.first("_m"))
     med = med.select(*[F.col(f"`{c}`").alias(f"_med_{c}") for c in cols])
     j = df.crossJoin(F.broadcast(med))  # one row of medians

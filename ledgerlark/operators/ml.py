@@ -19,7 +19,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
+from ..session import stable
 from . import ranking as R
+from .resample import smote
 
 # The model feature lists.
 DEFAULT_FEATURES = ["loan_amnt", "int_rate", "installment", "annual_inc", "dti", "delinq_2yrs", "inq_last_6mths", "open_acc",
@@ -38,7 +40,7 @@ def stratified_split(df: DataFrame, label: str, id_col: str, train_frac: float =
     ceil(frac * class size) are train, so both parts keep the class ratio. The per-class
     order uses the skew-safe ranking (a class is a third or more of all rows)."""
     keyed = df.withColumn("_h", split_hash(id_col, seed))
-    ranked = R.group_row_number(keyed, [label], [F.col("_h"), F.col(id_col)], out="_rn", size_out="_n")
+    ranked = R.group_row_number(keyed, [label], [F.col("_h"), F.col(id_col)], out="_rn", size_out="_n", few=True)
     return ranked.withColumn("is_train", F.col("_rn") <= F.ceil(F.col("_n") * train_frac)).drop("_h", "_rn", "_n")
 
 
@@ -111,12 +113,15 @@ def positive_probability(scored: DataFrame, out: str = "probability_1") -> DataF
 
 
 def auc(scored: DataFrame, label: str, score: str) -> DataFrame:
-    """ROC AUC = (sum of positive ranks - P(P+1)/2) / (P N), ties given average ranks."""
-    ranks = R.average_rank_table(scored, score)
-    j = scored.select(label, score).join(ranks, score)
-    return j.agg(
-        ((F.sum(F.when(F.col(label) == 1, F.col("_avg_rank"))) - F.sum(F.col(label)) * (F.sum(F.col(label)) + 1) / 2.0)
-         / (F.sum(F.col(label)) * F.sum(1 - F.col(label)))).alias("auc"))
+    """ROC AUC = (sum of positive ranks - P(P+1)/2) / (P N), ties given average ranks; from the
+    positives and rows of each distinct score, so no row is joined to its rank."""
+    per = scored.filter(F.col(score).isNotNull()).groupBy(score).agg(
+        F.count(F.lit(1)).alias("_c"), F.coalesce(F.sum(label), F.lit(0)).alias("_pos"),
+        F.coalesce(F.sum(1 - F.col(label)), F.lit(0)).alias("_neg"))
+    cum = R.global_row_number(per, [F.col(score)], out="_r", sum_col="_c", cum_out="_hi")
+    rank = (2 * F.col("_hi") - F.col("_c") + 1) / 2.0
+    p, n = F.sum("_pos"), F.sum("_neg")
+    return cum.agg(((F.sum(F.col("_pos") * rank) - p * (p + 1) / 2.0) / F.nullif(p * n, F.lit(0))).alias("auc"))
 
 
 def classification_metrics(scored: DataFrame, label: str, score: str, threshold: float | Column = 0.5,
@@ -146,9 +151,8 @@ def roc_points(scored: DataFrame, label: str, score: str) -> DataFrame:
     """One point per distinct score (descending): cumulative TPR and FPR."""
     per = scored.groupBy(score).agg(F.sum(F.col(label)).alias("_pos"), F.sum(1 - F.col(label)).alias("_neg"))
     tot = per.agg(F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
-    cum_p = R.global_row_number(per, [F.col(score).desc()], out="_r", sum_col="_pos", cum_out="_cp")
-    cum_n = R.global_row_number(per, [F.col(score).desc()], out="_r", sum_col="_neg", cum_out="_cn").select(score, "_cn")
-    j = cum_p.join(cum_n, score).crossJoin(F.broadcast(tot))
+    cum = R.global_row_number(per, [F.col(score).desc()], out="_r", sums={"_pos": "_cp", "_neg": "_cn"})
+    j = cum.crossJoin(F.broadcast(tot))
     return j.select(F.col(score).alias("threshold"), (F.col("_cp") / F.col("_P")).alias("tpr"),
                     (F.col("_cn") / F.col("_N")).alias("fpr"))
 
@@ -175,12 +179,16 @@ def model_importance(model: PipelineModel, features: list[str]) -> list[tuple[st
 
 
 def train_and_evaluate(data: DataFrame, features: list[str], label: str, id_col: str, models: dict,
-                       weight_col: str | None = None, threshold: float = 0.5) -> DataFrame:
-    """Stratified 80/20 split, fit every model on train, score test, one metrics row per model."""
+                       weight_col: str | None = None, threshold: float = 0.5, balance: bool = False) -> DataFrame:
+    """Stratified 80/20 split, fit every model on train, score test, one metrics row per model.
+    With ``balance`` the training part, and it alone, is filled up to equal classes by SMOTE."""
     split = stratified_split(data.withColumn("label", F.col(label).cast("double")), label, id_col)
     if weight_col:
         split = with_weights(split, label, weight_col)
     train, test = split.filter("is_train"), split.filter("NOT is_train")
+    if balance:
+        train = smote(train, label, id_col, features).withColumn("label", F.col(label).cast("double"))
+    train, test = stable(train, "train"), stable(test, "test")  # every model reads both
     rows = None
     for name, est in models.items():
         model = fit(train, features, est)
@@ -202,7 +210,6 @@ def kmeans_best(df: DataFrame, features: list[str], k: int = 4, n_init: int = 20
     if k < 2:
         raise ValueError("k must be >= 2 for K-Means clustering")
     # n_init fits read the same rows: compute them once (shared checkpoint folder)
-    from ..session import stable
     vec = stable(assembler(features).transform(df), "kmeans_input")
     best = None
     for i in range(n_init):

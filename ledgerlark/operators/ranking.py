@@ -19,12 +19,6 @@ from ..session import stable
 _PID, _LOCAL = "_rk_pid", "_rk_local"
 
 
-def _n_partitions(df: DataFrame, partitions: int | None) -> int:
-    if partitions:
-        return partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def _tag_sorted(df: DataFrame, order: list[Column], partitions: int | None) -> DataFrame:
     # Without an explicit count, AQE may merge neighbouring small ranges (merged ranges
     # stay contiguous and in key order), so a small table is not cut into hundreds of
@@ -41,73 +35,86 @@ def _tag_sorted(df: DataFrame, order: list[Column], partitions: int | None) -> D
 
 
 def global_row_number(df: DataFrame, order: list[Column], out: str = "rn", partitions: int | None = None,
-                      sum_col: str | None = None, cum_out: str | None = None, total_out: str | None = None) -> DataFrame:
+                      sum_col: str | None = None, cum_out: str | None = None, total_out: str | None = None,
+                      sums: dict[str, str] | None = None) -> DataFrame:
     """1-based row number over the total order ``order`` (must be a strict order: add a
     unique key as the last element). With ``sum_col`` also adds the inclusive running
-    sum of that column as ``cum_out``; with ``total_out`` the table's row count (taken
+    sum of that column as ``cum_out``, and with ``sums`` (column -> output) those of
+    several columns in the same pass; with ``total_out`` the table's row count (taken
     from the same per-partition counts, no extra pass)."""
-    tagged = _tag_sorted(df, order, partitions)
-    aggs = [F.count(F.lit(1)).alias("_rk_cnt")]
+    sums = dict(sums or {})
     if sum_col:
-        aggs.append(F.sum(sum_col).alias("_rk_sum"))
-    per_part = tagged.groupBy(_PID).agg(*aggs)
+        sums[sum_col] = cum_out or f"cum_{sum_col}"
+    tagged = _tag_sorted(df, order, partitions)
+    per_part = tagged.groupBy(_PID).agg(F.count(F.lit(1)).alias("_rk_cnt"),
+                                        *[F.sum(c).alias(f"_rk_sum{i}") for i, c in enumerate(sums)])
     w = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)  # <= #partitions rows
     offsets = per_part.select(
         _PID,
         F.coalesce(F.sum("_rk_cnt").over(w), F.lit(0)).alias("_rk_off"),
         *([F.sum("_rk_cnt").over(Window.partitionBy()).alias(total_out)] if total_out else []),
-        *([F.coalesce(F.sum("_rk_sum").over(w), F.lit(0.0)).alias("_rk_soff")] if sum_col else []),
+        *[F.coalesce(F.sum(f"_rk_sum{i}").over(w), F.lit(0.0)).alias(f"_rk_soff{i}") for i in range(len(sums))],
     )
     res = tagged.join(F.broadcast(offsets), _PID)
     res = res.withColumn(out, F.col(_LOCAL) + F.col("_rk_off") + 1)
-    if sum_col:
-        wl = Window.partitionBy(_PID).orderBy(_LOCAL).rowsBetween(Window.unboundedPreceding, 0)
-        res = res.withColumn(cum_out or f"cum_{sum_col}", F.sum(sum_col).over(wl) + F.col("_rk_soff"))
-    return res.drop(_PID, _LOCAL, "_rk_off", "_rk_soff")
+    wl = Window.partitionBy(_PID).orderBy(_LOCAL).rowsBetween(Window.unboundedPreceding, 0)
+    if sums:
+        res = res.withColumns({o: F.sum(c).over(wl) + F.col(f"_rk_soff{i}") for i, (c, o) in enumerate(sums.items())})
+    return res.drop(_PID, _LOCAL, "_rk_off", *[f"_rk_soff{i}" for i in range(len(sums))])
+
+
+def _pieces(tagged: DataFrame, group: list[str], what: Column, few: bool) -> DataFrame:
+    """One row per (partition, group) of the written order: the group's first position in the
+    partition, its sum of ``what`` in earlier partitions and its sum over the whole table.
+    A group is cut only at partition borders, so there is one row per group and at most one
+    more per partition: with ``few`` groups (a fixed small set) a proven bound to broadcast."""
+    per = tagged.groupBy(_PID, *group).agg(F.min(_LOCAL).alias("_rk_first"), F.sum(what).alias("_rk_part"))
+    w = Window.partitionBy(*group)
+    before = w.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    out = per.select(_PID, *group, "_rk_first", F.coalesce(F.sum("_rk_part").over(before), F.lit(0)).alias("_rk_off"),
+                     F.sum("_rk_part").over(w).alias("_rk_n"))
+    return F.broadcast(out) if few else out
 
 
 def group_row_number(df: DataFrame, group: list[str], order: list[Column], out: str = "rn",
-                     size_out: str | None = None, partitions: int | None = None) -> DataFrame:
+                     size_out: str | None = None, partitions: int | None = None, few: bool = False) -> DataFrame:
     """1-based row number within each group (skew-safe version of
-    ``row_number().over(Window.partitionBy(group).orderBy(order))``)."""
-    ranked = global_row_number(df, [F.col(g) for g in group] + order, out="_rk_g", partitions=partitions)
-    starts = ranked.groupBy(*group).agg(F.min("_rk_g").alias("_rk_start"), F.count(F.lit(1)).alias("_rk_n"))
-    res = ranked.join(starts, group).withColumn(out, F.col("_rk_g") - F.col("_rk_start") + 1)
-    res = res.drop("_rk_g", "_rk_start")
+    ``row_number().over(Window.partitionBy(group).orderBy(order))``). ``few`` says that the
+    groups are a fixed small set (classes, column names)."""
+    tagged = _tag_sorted(df, [F.col(g) for g in group] + order, partitions)
+    res = tagged.join(_pieces(tagged, group, F.lit(1), few), [_PID, *group])
+    res = res.withColumn(out, F.col(_LOCAL) - F.col("_rk_first") + F.col("_rk_off") + 1)
+    res = res.drop(_PID, _LOCAL, "_rk_first", "_rk_off")
     if size_out:
         return res.withColumnRenamed("_rk_n", size_out) if size_out != "_rk_n" else res
     return res.drop("_rk_n")
 
 
 def group_quantiles(df: DataFrame, group: list[str], value: str, quantiles: dict[str, float],
-                    partitions: int | None = None) -> DataFrame:
+                    partitions: int | None = None, few: bool = False) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas/numpy default, DuckDB
-    ``quantile_cont``) per group; NULL values are ignored. Empty ``group`` = whole table.
+    ``quantile_cont``) per group; NULL values are ignored. Empty ``group`` = whole table
+    (one row, NULL without values). ``few`` as in :func:`group_row_number`.
 
     Rows are first counted per (group, value) with map-side combining, so repeated
     values (a customer's age, a popular amount) collapse before anything is sorted; the
-    distinct pairs are then ranked globally with running counts (range-partitioned, no
-    single-task window) and each quantile reads the value whose count range covers its
-    position."""
-    grp = list(group) or ["_rk_all"]
+    distinct pairs are then ordered globally and written once (range-partitioned, no
+    single-task window), and each quantile reads the value whose running count in the
+    group covers its position. A running count spans one group of one partition; the
+    counts of earlier partitions are added to it."""
     base = df.select(*[F.col(g) for g in group], F.col(value).alias("_rk_v")).filter(F.col("_rk_v").isNotNull())
-    if not group:
-        base = base.withColumn("_rk_all", F.lit(0))
-    vc = base.groupBy(*grp, "_rk_v").agg(F.count(F.lit(1)).alias("_rk_c"))
-    ranked = global_row_number(vc, [F.col(g) for g in grp] + [F.col("_rk_v")], out="_rk_r", partitions=partitions,
-                               sum_col="_rk_c", cum_out="_rk_cum")
-    ranked = ranked.withColumn("_rk_cum", F.col("_rk_cum").cast("long"))
-    starts = ranked.groupBy(*grp).agg(F.min(F.col("_rk_cum") - F.col("_rk_c")).alias("_rk_s"),
-                                      F.sum("_rk_c").alias("_rk_n"))
-    j = ranked.join(starts, grp)
-    lo_pos = F.col("_rk_cum") - F.col("_rk_c") - F.col("_rk_s")  # first 0-based position of the value
-    hi_pos = F.col("_rk_cum") - F.col("_rk_s")  # one past its last position
-    aggs = [F.first("_rk_n").alias("_rk_n")]
+    vc = base.groupBy(*group, "_rk_v").agg(F.count(F.lit(1)).alias("_rk_c"))
+    tagged = _tag_sorted(vc, [F.col(g) for g in group] + [F.col("_rk_v")], partitions)
+    j = tagged.join(_pieces(tagged, group, F.col("_rk_c"), few or not group), [_PID, *group])
+    run = Window.partitionBy(_PID, *group).orderBy(_LOCAL).rowsBetween(Window.unboundedPreceding, 0)
+    j = j.withColumn("_rk_cum", F.sum("_rk_c").over(run) + F.col("_rk_off"))
+    lo_pos, hi_pos = F.col("_rk_cum") - F.col("_rk_c"), F.col("_rk_cum")  # first 0-based position of the value, one past its last
+    aggs = [F.max("_rk_n").alias("_rk_n")]
     for name, q in quantiles.items():
         pos = (F.col("_rk_n") - 1) * q
         for tag, at in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
             aggs.append(F.max(F.when((lo_pos <= at) & (at < hi_pos), F.col("_rk_v"))).alias(f"_{tag}_{name}"))
-    per = j.groupBy(*grp).agg(*aggs)
+    per = j.groupBy(*group).agg(*aggs)
     outs = []
     for name, q in quantiles.items():
         pos = (F.col("_rk_n") - 1) * q

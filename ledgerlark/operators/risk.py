@@ -204,4 +204,5 @@ def drift_report(current: DataFrame, baseline: DataFrame, cols: list[str]) -> Da
         "feature", F.round("cur_mean", 4).alias("current_mean"), F.round("base_mean", 4).alias("baseline_mean"),
         F.round(z, 4).alias("mean_shift_sigma"), F.round(miss, 4).alias("missing_delta"),
         F.round(score, 4).alias("drift_score"),
-        F.when(score >= 0.5, "High").when(score >= 0.25, "Moderate").otherwise("Low").alias("status"))
+        F.when(score >= 0.5, "High").when(score >= 0.25, "Moderate").otherwise("Low").alias("status")).orderBy(
+        F.col("drift_score").desc(), "feature")

@@ -46,17 +46,37 @@ def rfm_base(tx: DataFrame) -> DataFrame:
     return stable(out, "rfm_base")
 
 
+def _quintiles(df: DataFrame, scores: dict[str, tuple[str, bool]], tie: str) -> DataFrame:
+    """Adds a quintile 1..5 per entry ``output -> (metric, higher is better)``, equal to pandas
+    ``qcut(rank(method='first'), 5)`` over (metric, tie key).
+
+    One ranking of narrow (metric, value, tie) rows finds the last row of each of the first
+    four quintiles; the table itself is only compared with these cuts, one broadcast row.
+    Rank r has score <= s where 5 * (r - 1) <= s * (n - 1); one row alone scores 5."""
+    key = lambda m: F.struct(F.col(m).cast("double").alias("v"), F.col(tie).alias("t"))
+    names = sorted({m for m, _ in scores.values()})
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(m).alias("_m"), key(m).alias("_k")) for m in names])))
+    ranked = R.group_row_number(long, ["_m"], [F.col("_k")], out="_r", size_out="_n", few=True)
+    cut = lambda s: F.expr(f"(_n - 1) * {s} DIV 5 + 1")
+    row = ranked.agg(F.max("_n").alias("_q_n"), *[
+        F.max(F.when((F.col("_m") == m) & (F.col("_r") == cut(s)), F.col("_k"))).alias(f"_q_{i}_{s}")
+        for i, m in enumerate(names) for s in (1, 2, 3, 4)])
+    out = df.crossJoin(F.broadcast(row))  # one row of cuts
+    for name, (metric, higher) in scores.items():
+        i = names.index(metric)
+        s = 1 + sum((key(metric) > F.col(f"_q_{i}_{c}")).cast("int") for c in (1, 2, 3, 4))
+        s = F.when(F.col("_q_n") <= 1, F.lit(5)).otherwise(s)
+        out = out.withColumn(name, (s if higher else F.lit(6) - s).cast("int"))
+    return out.drop(*row.columns)
+
+
 def quintile_scores(df: DataFrame, metric: str, out: str, higher_is_better: bool = True, tie: str = "CustomerID") -> DataFrame:
-    """pandas ``qcut(rank(method='first'), 5)``: rank by (metric, tie key) over the whole
-    table (range-partitioned, no single-task window), then the closed-form quintile."""
-    ranked = R.global_row_number(df, [F.col(metric), F.col(tie)], out="_qr", total_out="_qn")
-    return ranked.withColumn(out, R.quintile_score(F.col("_qr"), F.col("_qn"), higher_is_better)).drop("_qr", "_qn")
+    """Quintile 1..5 of ``metric`` with ties in the order of ``tie``."""
+    return _quintiles(df, {out: (metric, higher_is_better)}, tie)
 
 
 def rfm_scores(cust: DataFrame) -> DataFrame:
-    s = quintile_scores(cust, "Recency", "R_Score", higher_is_better=False)
-    s = quintile_scores(s, "Frequency", "F_Score")
-    s = quintile_scores(s, "Monetary", "M_Score")
+    s = _quintiles(cust, {"R_Score": ("Recency", False), "F_Score": ("Frequency", True), "M_Score": ("Monetary", True)}, "CustomerID")
     return s.withColumns({
         "RFM_Consolidated": F.col("R_Score") + F.col("F_Score") + F.col("M_Score"),
         "RFM_Score": F.concat(F.col("R_Score").cast("string"), F.col("F_Score").cast("string"), F.col("M_Score").cast("string")),

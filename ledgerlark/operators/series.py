@@ -168,7 +168,7 @@ def baseline_backtest(df: DataFrame, keys: list[str], holdout: int = 4) -> DataF
     long = parts[0]
     for p in parts[1:]:
         long = long.unionByName(p)
-    return long.groupBy(*keys, "model").agg(X.rnd(F.avg("_ape"), 2).alias("mape"))
+    return long.groupBy(*keys, "model").agg(X.rnd(F.avg("_ape"), 2).alias("mape")).orderBy(*keys, "mape", "model")
 
 
 def rolling_backtest_expanded(df: DataFrame, keys: list[str], max_horizon: int = 6, min_rows: int = 14) -> DataFrame:

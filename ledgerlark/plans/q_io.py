@@ -115,10 +115,11 @@ def q_sink_table(spark, d):
     return spark.read.parquet(path)
 
 
-@query("sink_json_records")
+@query("sink_json_records", V("series") + "SELECT series_id, month_start, value FROM series")
 def q_sink_json_records(spark, d):
-    s = series(Tables(spark, d))
-    return IO.json_records(s, ["series_id", "month_start", "value"])
+    """The series written as JSON lines and read back."""
+    path = IO.sink_json(series(Tables(spark, d)), ["series_id", "month_start", "value"], _tmp(spark, "series_json"))
+    return spark.read.schema("series_id string, month_start date, value double").json(path)
 
 
 @query("sink_scored_export", V("scored_loans") + """
@@ -133,12 +134,13 @@ def q_sink_scored_export(spark, d):
 
 @query("model_store")
 def q_model_store(spark, d):
-    """Train once, cache the model keyed by the source's version, reload and score."""
-    src = table_path(d, "orders")
+    """Train once, cache the model keyed by its sources' versions and its parameters, reload and score."""
+    src = [table_path(d, name) for name in ("orders", "lineitem", "customer")]
+    params = {"model": "logistic regression", "maxIter": M.LR_ITER, "features": M.DEFAULT_FEATURES}
     store = _tmp(spark, "model_store")
     f = E.prepare_features(clean_loans(Tables(spark, d)), M.DEFAULT_FEATURES, keep=["loan_id", "default_flag"]).withColumn(
         "label", F.col("default_flag").cast("double"))
     build = lambda: M.fit(f, M.DEFAULT_FEATURES, M.LogisticRegression(maxIter=M.LR_ITER))
-    IO.cached_artifact(spark, src, store, build)
-    model = IO.cached_artifact(spark, src, store, lambda: (_ for _ in ()).throw(AssertionError("cache miss")))
+    IO.cached_artifact(spark, src, store, build, params)
+    model = IO.cached_artifact(spark, src, store, lambda: (_ for _ in ()).throw(AssertionError("cache miss")), params)
     return M.positive_probability(model.transform(f)).select("loan_id", "probability_1")

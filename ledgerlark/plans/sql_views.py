@@ -141,16 +141,16 @@ nation_series AS (
   WITH spine AS (
     SELECT CAST(unnest(generate_series(min(date_trunc('month', issue_d)), max(date_trunc('month', issue_d)), INTERVAL 1 MONTH)) AS DATE) AS month_start
     FROM loans),
-  nations AS (SELECT n_nationkey, n_name FROM nation),
   agg AS (
-    SELECT c.c_nationkey AS n_nationkey, CAST(date_trunc('month', l.issue_d) AS DATE) AS month_start,
+    SELECT c.c_nationkey AS n_nationkey, l.grade, CAST(date_trunc('month', l.issue_d) AS DATE) AS month_start,
            CAST(sum(CAST(l.funded_amnt AS DECIMAL(18,2))) AS DOUBLE) / 1000.0 AS value
     FROM loans l JOIN customer c ON l.member_id = c.c_custkey
-    WHERE l.grade = 'A'
-    GROUP BY 1, 2)
-  SELECT n.n_name AS series_id, s.month_start, a.value
-  FROM spine s CROSS JOIN nations n
-  LEFT JOIN agg a ON a.n_nationkey = n.n_nationkey AND a.month_start = s.month_start)"""
+    WHERE l.grade IS NOT NULL
+    GROUP BY 1, 2, 3),
+  pairs AS (SELECT DISTINCT a.n_nationkey, n.n_name, a.grade FROM agg a JOIN nation n ON a.n_nationkey = n.n_nationkey)
+  SELECT p.n_name || '/' || p.grade AS series_id, s.month_start, a.value
+  FROM spine s CROSS JOIN pairs p
+  LEFT JOIN agg a ON a.n_nationkey = p.n_nationkey AND a.grade = p.grade AND a.month_start = s.month_start)"""
 
 _DOB_Y = "(1940 + c.c_custkey % 60)"
 _DOB_M = "(1 + (c.c_custkey // 28) % 12)"

@@ -227,20 +227,21 @@ def volume_panel(t: Tables) -> DataFrame:
 
 
 def nation_series(t: Tables) -> DataFrame:
-    """Sparse series with gaps: grade-A funded amount per nation over the full month spine."""
+    """Sparse series with gaps: funded amount per nation and grade over the full month spine,
+    for every pair of them that has a loan."""
     lo = loans(t)
     month = F.trunc("issue_d", "MM")
     spine = lo.agg(F.min(month).alias("lo"), F.max(month).alias("hi")).select(
         F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 MONTH"))).alias("month_start"))
-    nations = t.nation.select("n_nationkey", "n_name")
     cust = t.customer.select("c_custkey", "c_nationkey")
-    agg = (lo.filter(F.col("grade") == "A").join(cust, F.col("member_id") == F.col("c_custkey"))
-           .groupBy(F.col("c_nationkey").alias("n_nationkey"), month.alias("month_start"))
+    agg = (lo.filter(F.col("grade").isNotNull()).join(cust, F.col("member_id") == F.col("c_custkey"))
+           .groupBy(F.col("c_nationkey").alias("n_nationkey"), "grade", month.alias("month_start"))
            .agg((X.exact_sum2("funded_amnt") / 1000.0).alias("value")))
-    # spine (months) x nations are both small and bounded by calendar/nation counts.
-    grid = F.broadcast(spine).crossJoin(F.broadcast(nations))
-    return grid.join(agg, ["n_nationkey", "month_start"], "left").select(
-        F.col("n_name").alias("series_id"), "month_start", "value")
+    # months, and pairs of a nation and a grade, are both small and bounded by calendar and dimensions
+    pairs = agg.select("n_nationkey", "grade").distinct().join(F.broadcast(t.nation.select("n_nationkey", "n_name")), "n_nationkey")
+    grid = F.broadcast(spine).crossJoin(F.broadcast(pairs))
+    return grid.join(agg, ["n_nationkey", "grade", "month_start"], "left").select(
+        F.concat_ws("/", "n_name", "grade").alias("series_id"), "month_start", "value")
 
 
 def region_grade(t: Tables) -> DataFrame:

@@ -5,6 +5,7 @@ models. Paths for intermediate tables come from the session's shared checkpoint
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
@@ -90,9 +91,9 @@ def parse_nested_history(df: DataFrame, col: str = "history", keys: list[str] |
 
 
 def ensure_materialized(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Read the table at ``path`` if it exists, else build it, write it there and read it
-    back (a written table also cuts the lineage of the build)."""
-    if not path_exists(spark, path):
+    """Read the table at ``path`` if it is there as a whole (its write was committed), else build
+    it, write it there and read it back (a written table also cuts the lineage of the build)."""
+    if not path_exists(spark, f"{path}/_SUCCESS"):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
@@ -120,6 +121,12 @@ def json_records(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(F.to_json(F.struct(*sel), {"ignoreNullFields": "false"}).alias("record"))
 
 
+def sink_json(df: DataFrame, cols: list[str], path: str) -> str:
+    """The rows of ``df`` as JSON lines over ``cols``; returns the folder."""
+    json_records(df, cols).write.mode("overwrite").text(path)
+    return path
+
+
 def save_model(model: PipelineModel, path: str) -> str:
     model.write().overwrite().save(path)
     return path
@@ -136,11 +143,14 @@ def source_version(spark: SparkSession, path: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"), F.max("modificationTime").alias("modified"))
 
 
-def cached_artifact(spark: SparkSession, source: str, store: str, build: Callable[[], PipelineModel]) -> PipelineModel:
-    """Load the model under ``store`` if it was built from the same version of
-    ``source``; otherwise rebuild and save it with the new version stamp."""
-    ver = source_version(spark, source).first()
-    stamp = f"{ver['files']}-{ver['bytes']}-{ver['modified']}"
+def cached_artifact(spark: SparkSession, sources: str | list[str], store: str, build: Callable[[], PipelineModel],
+                    params: dict | None = None) -> PipelineModel:
+    """Load the model under ``store`` if it was built from the same version of every table
+    of ``sources`` with the same ``params``; otherwise rebuild and save it with the new stamp."""
+    key: dict = {"params": params or {}}
+    for source in [sources] if isinstance(sources, str) else sources:
+        key[source] = [str(v) for v in source_version(spark, source).first()]
+    stamp = json.dumps(key, sort_keys=True, default=str)
     meta = f"{store}/_version"
     if path_exists(spark, meta) and path_exists(spark, f"{store}/model"):
         if spark.read.text(meta).first()[0] == stamp:

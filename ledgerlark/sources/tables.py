@@ -26,27 +26,23 @@ def table_path(sf_dir: str, name: str) -> str:
 
 # Fixed-size dimensions (5 regions, 25 nations): never worth spreading out.
 FIXED_SIZE = {"region", "nation"}
-_SCAN_PARTITIONS: dict[str, int] = {}
+#: A scan of at most this many splits (1 GB at Spark's default split size) is spread over more tasks.
+SMALL_SPLITS = 8
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan one table. A table that grows with the data but arrives as fewer scan splits
-    than the cluster has cores (e.g. one file with one row group) is spread by a
-    round-robin repartition to min(cores, 16 x splits) partitions, so row-wise parsing
-    and the map side of aggregations use the cores without cutting a mid-size table
-    into thousands of tiny tasks. Filters and column pruning still reach the scan (both
-    push through the repartition); a large table stored as many files already has
-    enough splits and gets no extra exchange."""
+    """Scan one table. One that arrives as a few splits (one file, one row group) is spread by
+    a round-robin repartition to min(cores, 16 x splits) partitions, so that row-wise parsing
+    and the map side of aggregations use the cores; filters and column pruning still reach
+    the scan. At most ``SMALL_SPLITS`` splits are moved so, whatever the cluster's size:
+    larger tables are read as they are stored, without an exchange."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}; expected one of {TABLES}")
-    path = table_path(sf_dir, name)
-    df = spark.read.parquet(path)
+    df = spark.read.parquet(table_path(sf_dir, name))
     if name in FIXED_SIZE:
         return df
-    if path not in _SCAN_PARTITIONS:
-        _SCAN_PARTITIONS[path] = df.rdd.getNumPartitions()
-    splits, cores = _SCAN_PARTITIONS[path], spark.sparkContext.defaultParallelism
-    if splits < cores:
+    splits, cores = df.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism
+    if splits <= SMALL_SPLITS and splits < cores:
         df = df.repartition(min(cores, 16 * max(splits, 1)))
     return df
 
