@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import expr as X
+from ..session import stable
 from . import ml as M
 from . import ranking as R
 
@@ -36,6 +37,11 @@ def thresholds(deposits: DataFrame) -> DataFrame:
     return a.crossJoin(f)
 
 
+def reconstruction_threshold(scored: DataFrame, out: str = "reconstruction_high") -> DataFrame:
+    """One row: 97th percentile of the reconstruction error."""
+    return R.scalar_quantiles(scored, "reconstruction_error", {out: 0.97})
+
+
 def rule_flags(deposits: DataFrame, thr: DataFrame) -> DataFrame:
     """Model-free reasons: unusual amount, unusual hour (< 6 or > 20), high frequency."""
     j = deposits.crossJoin(F.broadcast(thr))
@@ -174,14 +180,15 @@ def score_deposits(deposits: DataFrame, id_col: str = "deposit_id", contaminatio
     """Hybrid anomaly score: .6 x 1/(1+e^(6 d)) from the forest decision d plus .4 x
     min(1, error / q97 error); flagged if the forest calls it an outlier, the error reaches
     its threshold, or the score reaches .6; reasons include the rule flags."""
+    deposits = stable(deposits, "deposits")  # thresholds, scales, tree samples and scores read it
     thr = thresholds(deposits)
     scaled = M.standard_scale(deposits, FEATURES, suffix="_z")
     zf = [f"{f}_z" for f in FEATURES]
     forest, psi = fit_isolation_forest(scaled, id_col, zf, n_trees, seed=seed)
     s = isolation_scores(scaled, zf, forest, psi)
-    s = pca_reconstruction_error(s, zf)
+    s = stable(pca_reconstruction_error(s, zf), "deposit_scores")  # two quantiles and the rows themselves
     offs = R.scalar_quantiles(s, "iso_score", {"_offset": contamination}).crossJoin(
-        R.scalar_quantiles(s, "reconstruction_error", {"_rthr": 0.97}))
+        reconstruction_threshold(s, "_rthr"))
     s = s.crossJoin(F.broadcast(offs)).withColumn("iso_decision", F.col("iso_score") - F.col("_offset"))
     s = rule_flags(s, thr)
     iso_risk = 1.0 / (1.0 + F.exp(6.0 * F.col("iso_decision")))

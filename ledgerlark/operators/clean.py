@@ -111,6 +111,13 @@ def null_profile(df: DataFrame) -> DataFrame:
         F.round(F.col("null_count") * 100.0 / F.nullif(F.col("__n"), F.lit(0)), 4).alias("null_pct"))
 
 
+def class_profile(df: DataFrame, label: str) -> DataFrame:
+    """(class, class_count, class_pct) of a label; a null label is a class of its own."""
+    c = df.groupBy(F.col(label).cast("string").alias("class")).agg(F.count(F.lit(1)).alias("class_count"))
+    total = c.agg(F.sum("class_count").alias("_n"))
+    return c.crossJoin(F.broadcast(total)).select("class", "class_count", F.round(F.col("class_count") * 100.0 / F.col("_n"), 4).alias("class_pct"))
+
+
 BANK_NUMERIC = ["age", "balance", "day", "duration", "campaign", "pdays", "previous"]
 BANK_CATEGORICAL = ["job", "marital", "education", "default", "housing", "loan", "contact", "month", "poutcome", "y"]
 

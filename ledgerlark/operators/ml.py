@@ -8,13 +8,17 @@ executors and nothing but small metric rows reaches the driver.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cached_property
+from multiprocessing.pool import ThreadPool
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,6 +86,10 @@ FOREST = {"numTrees": 200, "maxDepth": 10, "minInstancesPerNode": 50}
 #: The campaign forest's depth is unbounded in the original; 30 is Spark's largest.
 CAMPAIGN_FOREST = {"numTrees": 220, "maxDepth": 30}
 BOOSTING = {"maxIter": 300, "stepSize": 0.05}
+#: Name of the family whose stored model scores new rows.
+BOOSTED = "Gradient Boosted Trees"
+GRADE_FOREST = {"numTrees": 200, "maxDepth": 6, "minInstancesPerNode": 3}
+GRADE_BOOSTING = {"maxIter": 200, "maxDepth": 4, "stepSize": 0.05, "subsamplingRate": 0.8}
 
 
 def forest(seed: int = 42) -> RandomForestClassifier:
@@ -101,7 +109,13 @@ def classifiers(seed: int = 42, weight_col: str | None = None) -> dict:
         lr.setWeightCol(weight_col)
         rf.setWeightCol(weight_col)
         gbt.setWeightCol(weight_col)
-    return {"Logistic Regression": lr, "Random Forest": rf, "Gradient Boosted Trees": gbt}
+    return {"Logistic Regression": lr, "Random Forest": rf, BOOSTED: gbt}
+
+
+def campaign_classifiers(seed: int = 42) -> dict:
+    """The three model families of the deposit campaign."""
+    return {"Logistic Regression": LogisticRegression(maxIter=CAMPAIGN_LR_ITER, labelCol="label"),
+            "Decision Tree": decision_tree(seed), "Random Forest": campaign_forest(seed)}
 
 
 def fit(train: DataFrame, features: list[str], estimator) -> PipelineModel:
@@ -178,22 +192,50 @@ def model_importance(model: PipelineModel, features: list[str]) -> list[tuple[st
     return [(f, v / s) for f, v in zip(features, vals)]
 
 
-def train_and_evaluate(data: DataFrame, features: list[str], label: str, id_col: str, models: dict,
-                       weight_col: str | None = None, threshold: float = 0.5, balance: bool = False) -> DataFrame:
-    """Stratified 80/20 split, fit every model on train, score test, one metrics row per model.
-    With ``balance`` the training part, and it alone, is filled up to equal classes by SMOTE."""
-    split = stratified_split(data.withColumn("label", F.col(label).cast("double")), label, id_col)
-    if weight_col:
-        split = with_weights(split, label, weight_col)
-    train, test = split.filter("is_train"), split.filter("NOT is_train")
-    if balance:
-        train = smote(train, label, id_col, features).withColumn("label", F.col(label).cast("double"))
-    train, test = stable(train, "train"), stable(test, "test")  # every model reads both
+class Split:
+    """The parts of a task's stratified 80/20 split. Each is written when it is first read, so
+    a task whose models are all stored computes no training rows. With ``balance`` the training
+    part, and it alone, is filled up to equal classes by SMOTE."""
+
+    def __init__(self, data: DataFrame, features: list[str], label: str, id_col: str, weight_col: str | None = None,
+                 balance: bool = False):
+        self.data, self.features, self.label, self.id_col = data, features, label, id_col
+        self.weight_col, self.balance = weight_col, balance
+
+    @cached_property
+    def _parts(self) -> DataFrame:
+        split = stratified_split(self.data.withColumn("label", F.col(self.label).cast("double")), self.label, self.id_col)
+        return with_weights(split, self.label, self.weight_col) if self.weight_col else split
+
+    @cached_property
+    def train(self) -> DataFrame:
+        rows = self._parts.filter("is_train")
+        if self.balance:
+            rows = smote(rows, self.label, self.id_col, self.features).withColumn("label", F.col(self.label).cast("double"))
+        return stable(rows, "train")
+
+    @cached_property
+    def test(self) -> DataFrame:
+        return stable(self._parts.filter("NOT is_train"), "test")
+
+    def fit(self, estimator) -> PipelineModel:
+        return fit(self.train, self.features, estimator)
+
+    def params(self, estimator) -> dict:
+        """What a stored model of this split depends on besides its source tables."""
+        own = {p.name: v for p, v in estimator.extractParamMap().items()}
+        return {"estimator": type(estimator).__name__, "settings": own, "features": self.features, "label": self.label,
+                "weight": self.weight_col, "balance": self.balance}
+
+
+def train_and_evaluate(split: Split, models: dict, threshold: float = 0.5, keep: Callable | None = None) -> DataFrame:
+    """Every model fitted on the training part and scored on the test part; a metrics row each.
+    ``keep(split, estimator)`` may return a stored model instead of fitting one."""
+    keep = keep or (lambda split, est: split.fit(est))
     rows = None
     for name, est in models.items():
-        model = fit(train, features, est)
-        scored = positive_probability(model.transform(test))
-        m = classification_metrics(scored, label, "probability_1", threshold).crossJoin(auc(scored, label, "probability_1"))
+        scored = positive_probability(keep(split, est).transform(split.test))
+        m = classification_metrics(scored, split.label, "probability_1", threshold).crossJoin(auc(scored, split.label, "probability_1"))
         m = m.select(F.lit(name).alias("model"), "auc", "precision", "recall", "f1", "accuracy")
         rows = m if rows is None else rows.unionByName(m)
     return rows
@@ -224,6 +266,37 @@ def regressors(seed: int = 42) -> dict:
             "Gradient Boosted Trees": GBTRegressor(**BOOSTING, maxDepth=4, seed=seed, labelCol="label")}
 
 
+def grade_regressors(seed: int = 42) -> dict:
+    return {"Linear Regression": LinearRegression(labelCol="label"),
+            "Random Forest": RandomForestRegressor(**GRADE_FOREST, seed=seed, labelCol="label"),
+            BOOSTED: GBTRegressor(**GRADE_BOOSTING, seed=seed, labelCol="label")}
+
+
+def evaluate_regressors(train: DataFrame, test: DataFrame, features: list[str], models: dict) -> DataFrame:
+    """A row per model: error percentage and root mean square error on ``test``."""
+    out = None
+    for name, est in models.items():
+        r = regression_metrics(fit(train, features, est).transform(test)).select(F.lit(name).alias("model"), "mape", "rmse")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+def evaluate_by_group(train: DataFrame, test: DataFrame, group: str, values: list[str], features: list[str],
+                      models: Callable[[], dict]) -> DataFrame:
+    """:func:`evaluate_regressors` for each of the few ``values`` of ``group``, whose fits run at
+    the same time: each is a row of short jobs over one group's months."""
+    def one(v: str) -> DataFrame:
+        of = lambda df: df.filter(F.col(group) == v)
+        return evaluate_regressors(of(train), of(test), features, models()).select(F.lit(v).alias(group), "model", "mape", "rmse")
+
+    with ThreadPool(len(values)) as pool:
+        parts = pool.map(one, values)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def decision_tree(seed: int = 42) -> DecisionTreeClassifier:
     return DecisionTreeClassifier(maxDepth=8, seed=seed, labelCol="label")
 

@@ -50,7 +50,7 @@ def features_from_history(h: DataFrame) -> DataFrame:
         T: nxt, "month": F.month(nxt), "quarter": F.quarter(nxt), "year": F.year(nxt),
         "lag_1": lag1, "lag_2": F.coalesce(lag2, lag1), "lag_3": F.coalesce(back(3), lag1),
         "lag_6": F.coalesce(back(6), lag1), "lag_12": F.coalesce(back(12), lag1),
-        "rolling_3": mean_last(3), "rolling_6": mean_last(6),
+        "rolling_3": mean_last(3), "rolling_6": mean_last(6), "rolling_12": mean_last(12),
         "mom_growth": F.when(lag2.isNull() | (lag2 == 0), F.lit(0.0)).otherwise((lag1 - lag2) / F.abs(lag2)),
     })
 
@@ -59,7 +59,25 @@ def next_month_features(df: DataFrame, keys: list[str] | None = None) -> DataFra
     keys = keys or ["series_id"]
     f = features_from_history(history_arrays(df, keys))
     return f.select(*keys, T, "month", "quarter", "year", "lag_1", "lag_2", "lag_3", "lag_6", "lag_12", "rolling_3",
-                    "rolling_6", "mom_growth")
+                    "rolling_6", "rolling_12", "mom_growth")
+
+
+COVARIATES = ["avg_int_rate", "avg_loan_amnt", "loan_count"]
+
+
+def last_covariates(panel: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, covariates): each covariate's last known value of a series."""
+    known = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(T))).alias(c) for c in COVARIATES]
+    return panel.groupBy(*(keys or ["series_id"])).agg(*known)
+
+
+def scaled_loan_count(panel: DataFrame, total_hint: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, loan_count): a series' mean count (1 at least) scaled by the expected total of the
+    month over the series' mean value (1 at least); 1 at least. ``total_hint``: one row, ``total_hint``."""
+    means = panel.filter(F.col(V).isNotNull()).groupBy(*(keys or ["series_id"])).agg(F.avg("loan_count").alias("_c"), F.avg(V).alias("_v"))
+    one = F.lit(1.0)
+    count = F.greatest(one, F.col("_c")) * (F.greatest(F.col("total_hint"), one) / F.greatest(F.col("_v"), one))
+    return means.crossJoin(F.broadcast(total_hint)).select(*(keys or ["series_id"]), F.greatest(one, count).alias("loan_count"))
 
 
 # The loan-volume scenario presets (growth %, rate shock bps, loan count %,
@@ -71,8 +89,17 @@ VOLUME_SCENARIOS = {
     "stress": (-12.0, 75.0, -15.0, -4.0),
 }
 VOLUME_RISK_MULTIPLIER = {"baseline": 1.0, "optimistic": 0.9, "conservative": 1.15, "stress": 1.35}
+GRADE_FEATURES = ["month", "quarter", "year", "lag_1", "lag_2", "lag_3", "lag_6", "lag_12", "rolling_3", "rolling_6",
+                  "avg_int_rate", "loan_count", "mom_growth"]
 VOLUME_FEATURES = ["month", "quarter", "year", "lag_1", "lag_2", "lag_3", "lag_6", "lag_12", "rolling_3", "rolling_6",
-                   "avg_int_rate", "loan_count", "mom_growth"]
+                   "rolling_12", "avg_int_rate", "avg_loan_amnt", "loan_count", "mom_growth"]
+
+
+def model_frame(panel: DataFrame, sid: str = "series_id") -> DataFrame:
+    """(series, month, label, features) rows of a panel on which volume models are trained."""
+    from . import windows as W
+    tf = W.training_frame(panel, sid=sid).withColumnsRenamed({f"rolling_mean_{k}": f"rolling_{k}" for k in (3, 6, 12)})
+    return tf.select(sid, T, F.col(V).cast("double").alias("label"), *[F.col(c).cast("double").alias(c) for c in VOLUME_FEATURES])
 
 
 def volume_models(panel: DataFrame, keys: list[str] | None = None, seed: int = 42):
@@ -81,12 +108,9 @@ def volume_models(panel: DataFrame, keys: list[str] | None = None, seed: int = 4
     avg_int_rate, loan_count, avg_loan_amnt)."""
     from pyspark.ml.regression import GBTRegressor, LinearRegression
 
+    from ..session import stable
     from . import ml as M
-    from . import windows as W
-    keys = keys or ["series_id"]
-    sid = keys[0]
-    tf = W.training_frame(panel, sid=sid).withColumnsRenamed({"rolling_mean_3": "rolling_3", "rolling_mean_6": "rolling_6"})
-    tf = tf.withColumn("label", F.col(V)).select("label", *[F.col(c).cast("double").alias(c) for c in VOLUME_FEATURES])
+    tf = stable(model_frame(panel, (keys or ["series_id"])[0]), "volume_frame")  # both fits read it
     tree = M.fit(tf, VOLUME_FEATURES, GBTRegressor(**M.BOOSTING, maxDepth=4, subsamplingRate=0.8, seed=seed, labelCol="label",
                                                    predictionCol="_tree"))
     lin = M.fit(tf, VOLUME_FEATURES, LinearRegression(labelCol="label", predictionCol="_lin", regParam=0.01))
@@ -129,7 +153,7 @@ def volume_forecast_recursive(panel: DataFrame, keys: list[str] | None = None, h
         f = features_from_history(st).withColumns({
             "avg_int_rate": F.greatest(F.lit(0.0), F.col("_rate") + bps / 100.0),
             "loan_count": F.greatest(F.lit(1.0), F.col("_count") * (1 + cnt_pct / 100.0)),
-            "_amnt": F.greatest(F.lit(500.0), F.col("_amnt") * (1 + amt_pct / 100.0)),
+            "avg_loan_amnt": F.greatest(F.lit(500.0), F.col("_amnt") * (1 + amt_pct / 100.0)),
         }).withColumns({c: F.col(c).cast("double") for c in VOLUME_FEATURES})
         p = lin.transform(tree.transform(f).drop("features")).drop("features")
         central = F.greatest(F.lit(0.0), F.greatest(F.lit(0.0), 0.7 * F.col("_tree") + 0.3 * F.col("_lin")) * (1 + g_pct / 100.0))
@@ -146,7 +170,7 @@ def volume_forecast_recursive(panel: DataFrame, keys: list[str] | None = None, h
         rec = F.struct(F.lit(step).alias("step"), F.col(T).alias("month_start"), X.rnd(F.col("_c"), 2).alias("forecast_central"),
                        X.rnd(F.col("_lo"), 2).alias("forecast_lower"),
                        X.rnd(F.greatest(F.col("_lo"), F.col("_c") + 1.28 * F.col("_sp")), 2).alias("forecast_upper"))
-        amnt = F.when(F.col("_amnt") <= 0, F.lit(1.0)).otherwise(F.col("_amnt"))
+        amnt = F.when(F.col("avg_loan_amnt") <= 0, F.lit(1.0)).otherwise(F.col("avg_loan_amnt"))
         inferred = F.greatest(F.lit(1.0), F.col("_c") * 1_000_000.0 / amnt)
         st = p.select(*keys, F.col(T).alias("last_month"), F.slice(F.concat("hist", F.array("_c")), -12, 12).alias("hist"),
                       F.col("avg_int_rate").alias("_rate"), F.greatest(inferred, F.col("loan_count")).alias("_count"),

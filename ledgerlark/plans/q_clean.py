@@ -121,6 +121,14 @@ def q_null_profile(spark, d):
     return C.null_profile(raw_loans(Tables(spark, d)))
 
 
+@query("class_profile", V("raw_loans") + """
+, c AS (SELECT loan_status AS class, count(*) AS class_count FROM raw_loans GROUP BY 1)
+SELECT class, class_count, round(class_count * 100.0 / (SELECT sum(class_count) FROM c), 4) AS class_pct FROM c""")
+def q_class_profile(spark, d):
+    """Loans per status and their share, the second half of the null profile."""
+    return C.class_profile(raw_loans(Tables(spark, d)), "loan_status")
+
+
 @query("safe_numeric", V("raw_loans") + """
 SELECT loan_id, coalesce(TRY_CAST(trim(CAST(loan_amnt AS VARCHAR)) AS DOUBLE), 0.0) AS loan_amnt,
        coalesce(TRY_CAST(trim(int_rate) AS DOUBLE), 0.0) AS int_rate_as_number,

@@ -6,6 +6,9 @@ or correlation-based importances; queries that train models are checked by rows
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -17,7 +20,12 @@ from ..operators import explain as P
 from ..operators import ml as M
 from ..operators import risk as K
 from ..operators import series as S
-from ..sources.domain import Tables, clean_loans, deposits, series
+from ..operators import serving as SV
+from ..operators.demand import GRADES
+from ..session import scratch_path, stable
+from ..sources import io as IO
+from ..sources.domain import Tables, clean_loans, deposits, series, volume_panel
+from ..sources.tables import table_path
 from . import sql_series as Q
 from .q_clean import _sql_prepare_features
 from .registry import query
@@ -321,92 +329,105 @@ def q_flagged_share(spark, d):
 
 # ---- model-backed queries (rows-only check) -------------------------------------------
 
+def _default_split(spark, d):
+    return M.Split(_features(spark, d), M.DEFAULT_FEATURES, "default_flag", "loan_id", balance=True)
+
+
+def _churn_split(spark, d):
+    c = clean_loans(Tables(spark, d))
+    f = E.prepare_features(c, M.CHURN_FEATURES, keep=["loan_id"]).join(K.churn_label(c).select("loan_id", "churn_flag"), "loan_id")
+    return M.Split(f, M.CHURN_FEATURES, "churn_flag", "loan_id", weight_col="weight")
+
+
+def _campaign_split(spark, d):
+    from ..sources.domain import campaign
+    design, feats = E.campaign_design(campaign(Tables(spark, d)))
+    return M.Split(design, feats, "target", "client_id", balance=True)
+
+
+def _keeper(spark, d, tables=("orders", "lineitem", "customer")):
+    """Models are trained once: a fitted model is stored under the shared folder and read back as
+    long as its source tables, its features and all its parameters are the same."""
+    def keep(split, est):
+        params = split.params(est)
+        name = hashlib.sha256(json.dumps([d, params], sort_keys=True, default=str).encode()).hexdigest()
+        return IO.cached_artifact(spark, [table_path(d, t) for t in tables], scratch_path(spark, f"models/{name}"),
+                                  lambda: split.fit(est), params)
+    return keep
+
+
+def _default_model(spark, d):
+    return _keeper(spark, d)(_default_split(spark, d), M.classifiers()[M.BOOSTED])
+
+
+def _churn_model(spark, d):
+    return _keeper(spark, d)(_churn_split(spark, d), M.classifiers(weight_col="weight")[M.BOOSTED])
+
+
+def _probability(model, frame, out):
+    return M.positive_probability(model.transform(frame)).select("loan_id", F.col("probability_1").alias(out))
+
+
 @query("train_default_models")
 def q_train_default_models(spark, d):
     """LR, random forest (200 trees, depth 10, leaf 50) and boosted trees (depth 6, step
     .05, subsample .8) on the training part of the stratified 80/20 split, balanced by SMOTE;
-    metrics of each on the untouched test part."""
-    f = _features(spark, d)
-    return M.train_and_evaluate(f, M.DEFAULT_FEATURES, "default_flag", "loan_id", M.classifiers(), balance=True)
+    metrics of each on the untouched test part. The models are stored for scoring."""
+    return M.train_and_evaluate(_default_split(spark, d), M.classifiers(), keep=_keeper(spark, d))
 
 
 @query("train_churn_models")
 def q_train_churn_models(spark, d):
     """Same families with balanced class weights on the churn label of fully paid loans."""
-    c = clean_loans(Tables(spark, d))
-    f = E.prepare_features(c, M.CHURN_FEATURES, keep=["loan_id"]).join(K.churn_label(c).select("loan_id", "churn_flag"), "loan_id")
-    return M.train_and_evaluate(f, M.CHURN_FEATURES, "churn_flag", "loan_id", M.classifiers(weight_col="weight"),
-                                weight_col="weight")
+    return M.train_and_evaluate(_churn_split(spark, d), M.classifiers(weight_col="weight"), keep=_keeper(spark, d))
 
 
-def _campaign_xy(spark, d):
-    from ..sources.domain import campaign
-    design, feats = E.campaign_design(campaign(Tables(spark, d)))
-    return design, feats
+def _campaign_board(spark, d):
+    """(split, leaderboard, stored models by name) of the deposit campaign."""
+    split, keep = _campaign_split(spark, d), _keeper(spark, d)
+    board = M.leaderboard(M.train_and_evaluate(split, M.campaign_classifiers(), keep=keep))
+    return split, stable(board, "leaderboard"), lambda name: keep(split, M.campaign_classifiers()[name])
 
 
 @query("train_deposit_models")
 def q_train_deposit_models(spark, d):
     """LR, decision tree (depth 8), random forest (220 trees) on the one-hot campaign
-    design; leaderboard by F1 then accuracy."""
-    design, feats = _campaign_xy(spark, d)
-    models = {"Logistic Regression": M.LogisticRegression(maxIter=M.CAMPAIGN_LR_ITER, labelCol="label"), "Decision Tree": M.decision_tree(),
-              "Random Forest": M.campaign_forest()}
-    return M.leaderboard(M.train_and_evaluate(design, feats, "target", "client_id", models, balance=True))
+    design, trained on the balanced training part; leaderboard by F1 then accuracy."""
+    return _campaign_board(spark, d)[1]
+
+
+#: First and last month of the chronological test; training ends before it.
+TEST_FROM, TEST_TO = "2000-01-01", "2000-12-01"
+
+
+def _chronological(frame):
+    frame = stable(frame, "volume_frame")
+    return frame.filter(F.col("month_start") < TEST_FROM), frame.filter(F.col("month_start").between(TEST_FROM, TEST_TO))
 
 
 @query("train_volume_models")
 def q_train_volume_models(spark, d):
-    """Linear and boosted regressors on the lag/rolling training frame of every series;
-    trained before 2000, tested from 2000 (MAPE %, RMSE)."""
-    from ..operators import windows as Wn
-    t = Wn.training_frame(series(Tables(spark, d))).withColumn("label", F.col("value"))
-    feats = ["month", "quarter", "year", "lag_1", "lag_2", "lag_3", "lag_6", "lag_12", "rolling_mean_3", "rolling_mean_6",
-             "rolling_mean_12", "mom_growth"]
-    train, test = t.filter(F.col("month_start") < "2000-01-01"), t.filter(F.col("month_start") >= "2000-01-01")
-    out = None
-    for name, est in M.regressors().items():
-        m = M.fit(train, feats, est)
-        r = M.regression_metrics(m.transform(test)).select(F.lit(name).alias("model"), "mape", "rmse")
-        out = r if out is None else out.unionByName(r)
-    return out
+    """Linear and boosted regressors of the monthly total on calendar, lag, rolling, rate, amount
+    and count features; trained before 2000, tested on the 12 months of 2000 (MAPE %, RMSE)."""
+    panel = volume_panel(Tables(spark, d)).filter(F.col("series_id") == "TOTAL")
+    return M.evaluate_regressors(*_chronological(SV.model_frame(panel)), SV.VOLUME_FEATURES, M.regressors())
 
 
 @query("train_grade_models")
 def q_train_grade_models(spark, d):
-    """Per-grade closed-form least squares (value on lag_1, lag_2, rolling_mean_3) fitted
-    for every grade at once with ``applyInPandas`` (one small group per grade)."""
-    import numpy as np
-    import pandas as pd
-    from ..operators import windows as Wn
-    t = Wn.training_frame(series(Tables(spark, d))).filter(F.col("series_id") != "TOTAL")
-    cols = ["lag_1", "lag_2", "rolling_mean_3"]
-
-    def fit_one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.column_stack([np.ones(len(pdf))] + [pdf[c].to_numpy(float) for c in cols])
-        y = pdf["value"].to_numpy(float)
-        beta, *_ = np.linalg.lstsq(x, y, rcond=None)
-        pred = x @ beta
-        mape = float(np.mean(np.abs((y - pred) / np.maximum(np.abs(y), 1e-6))) * 100)
-        return pd.DataFrame([{"series_id": pdf["series_id"].iloc[0], "intercept": beta[0], "b_lag_1": beta[1], "b_lag_2": beta[2],
-                              "b_rolling_3": beta[3], "train_mape": mape, "rows": len(pdf)}])
-
-    schema = "series_id string, intercept double, b_lag_1 double, b_lag_2 double, b_rolling_3 double, train_mape double, rows long"
-    return t.select("series_id", "value", *cols).groupBy("series_id").applyInPandas(fit_one, schema)
+    """Linear, forest (200 trees, depth 6, leaf 3) and boosted (200 rounds, depth 4) regressors
+    for every grade, trained before 2000 and tested on the 12 months of 2000 (MAPE %, RMSE)."""
+    panel = volume_panel(Tables(spark, d)).filter(F.col("series_id").isin(GRADES))
+    train, test = _chronological(SV.model_frame(panel))
+    return M.evaluate_by_group(train, test, "series_id", GRADES, SV.GRADE_FEATURES, M.grade_regressors)
 
 
 @query("score_portfolio")
 def q_score_portfolio(spark, d):
-    """Fit default and churn logistic models, score every loan with both, blend and band."""
+    """Every loan scored with the stored default and churn models, blended and banded."""
     c = clean_loans(Tables(spark, d))
-    f = E.prepare_features(c, M.DEFAULT_FEATURES, keep=["loan_id", "default_flag"]).withColumn("label", F.col("default_flag").cast("double"))
-    ch = K.churn_label(c).select("loan_id", F.col("churn_flag").cast("double").alias("label"))
-    fc = E.prepare_features(c, M.CHURN_FEATURES, keep=["loan_id"]).join(ch, "loan_id")
-    m1 = M.fit(f, M.DEFAULT_FEATURES, M.LogisticRegression(maxIter=M.LR_ITER))
-    m2 = M.fit(fc, M.CHURN_FEATURES, M.LogisticRegression(maxIter=M.LR_ITER))
-    p1 = M.positive_probability(m1.transform(f)).select("loan_id", F.col("probability_1").alias("default_probability"))
-    all_c = E.prepare_features(c, M.CHURN_FEATURES, keep=["loan_id"])
-    p2 = M.positive_probability(m2.transform(all_c)).select("loan_id", F.col("probability_1").alias("churn_probability"))
+    p1 = _probability(_default_model(spark, d), E.prepare_features(c, M.DEFAULT_FEATURES, keep=["loan_id"]), "default_probability")
+    p2 = _probability(_churn_model(spark, d), E.prepare_features(c, M.CHURN_FEATURES, keep=["loan_id"]), "churn_probability")
     s = K.risk_score_band(p1.join(p2, "loan_id"))
     return s.withColumns({"record_id": F.concat(F.lit("L-"), (F.col("loan_id") + 2000).cast("string")),
                           "borrower": F.concat(F.lit("Borrower-"), F.col("loan_id").cast("string"))})
@@ -414,58 +435,81 @@ def q_score_portfolio(spark, d):
 
 @query("score_default")
 def q_score_default(spark, d):
-    """Batch default scoring: issue month validated 1..12, features prepared, probability,
-    tier label, and the model's top-8 importance as an array per row."""
+    """Batch default scoring with the stored model: issue month validated 1..12, features
+    prepared, probability, tier label, and the model's top-8 importance as an array per row."""
     c = clean_loans(Tables(spark, d)).filter(F.col("issue_month").between(1, 12))
-    f = E.prepare_features(c, M.DEFAULT_FEATURES, keep=["loan_id", "default_flag"]).withColumn("label", F.col("default_flag").cast("double"))
-    m = M.fit(f, M.DEFAULT_FEATURES, M.forest())
+    m = _default_model(spark, d)
     imp = sorted(M.model_importance(m, M.DEFAULT_FEATURES), key=lambda t: -t[1])[:8]  # len(features) numbers
-    s = M.positive_probability(m.transform(f)).select("loan_id", F.col("probability_1").alias("probability"))
+    s = _probability(m, E.prepare_features(c, M.DEFAULT_FEATURES, keep=["loan_id"]), "probability")
     return s.withColumns({"label": X.threshold_label(F.col("probability"), *K.BRIDGE_LABELS),
                           "top_drivers": F.array(*[F.lit(n) for n, _ in imp])})
 
 
 @query("score_churn")
 def q_score_churn(spark, d):
-    """Batch churn scoring with tier label and the three retention actions."""
-    c = clean_loans(Tables(spark, d))
-    ch = K.churn_label(c).select("loan_id", F.col("churn_flag").cast("double").alias("label"))
-    f = E.prepare_features(c, M.CHURN_FEATURES, keep=["loan_id"]).join(ch, "loan_id")
-    m = M.fit(M.with_weights(f, "label", "w"), M.CHURN_FEATURES, M.LogisticRegression(maxIter=M.LR_ITER, weightCol="w"))
-    s = M.positive_probability(m.transform(f)).select("loan_id", F.col("probability_1").alias("churn_probability"))
+    """Batch churn scoring with the stored model: every loan with a valid issue month, tier label
+    and the three retention actions."""
+    c = clean_loans(Tables(spark, d)).filter(F.col("issue_month").between(1, 12))
+    s = _probability(_churn_model(spark, d), E.prepare_features(c, M.CHURN_FEATURES, keep=["loan_id"]), "churn_probability")
     return K.retention_actions(s).withColumn("suggestions", F.array_join("suggestions", " | "))
 
 
+@query("stress_compare_model")
+def q_stress_compare_model(spark, d):
+    """Base vs stressed (+150 bps, -10 % income, +4 dti) probability per loan by the stored
+    default model."""
+    c, m = clean_loans(Tables(spark, d)), _default_model(spark, d)
+    score = lambda df, out: _probability(m, E.prepare_features(df, M.DEFAULT_FEATURES, keep=["loan_id"]), out)
+    j = score(c, "base_probability").join(score(K.stress_scenario(c, 150, 10, 4), "stressed_probability"), "loan_id")
+    return j.withColumn("delta", F.col("stressed_probability") - F.col("base_probability"))
+
+
+@query("contribution_waterfall_model")
+def q_contribution_waterfall_model(spark, d):
+    """Contributions coefficient x (value - mean) to the log-odds of the stored logistic default
+    model, over all its features, as a per-loan waterfall."""
+    f = _features(spark, d)
+    lr = _keeper(spark, d)(_default_split(spark, d), M.classifiers()["Logistic Regression"]).stages[-1]
+    coef = spark.createDataFrame(list(zip(M.DEFAULT_FEATURES, map(float, lr.coefficients.toArray()))), "feature string, beta double")
+    w = P.contribution_waterfall(f, "loan_id", M.DEFAULT_FEATURES, coef)
+    return w.select("loan_id", "feature", "step", "contribution", "start", "end")
+
+
+def score_campaign(spark, d, model: str | None = None):
+    """Batch propensity of every client by the named stored model (the leaderboard's champion if
+    none is named): class, probability, ``Likely Subscribe`` at .6 and the campaign advice text."""
+    split, board, stored = _campaign_board(spark, d)
+    names = sorted(M.campaign_classifiers())
+    if model is not None and model not in names:
+        raise ValueError(f"Unknown model '{model}'. Valid models: {', '.join(names)}")
+    name = model or board.filter("champion").first()["model"]  # one row per model
+    m = stored(name)
+    imp = sorted(M.model_importance(m, split.features), key=lambda t: -t[1])[:3]
+    s = M.positive_probability(m.transform(split.data)).select(
+        "client_id", F.col("prediction").cast("int").alias("prediction"), F.col("probability_1").alias("probability"))
+    s = s.withColumn("label", F.when(F.col("probability") >= 0.6, "Likely Subscribe").otherwise("Low Intent"))
+    return K.campaign_advice(s, "probability", F.lit(name), F.array(*[F.lit(n) for n, _ in imp]))
+
+
 @query("score_deposit")
 def q_score_deposit(spark, d):
-    """Champion-less batch propensity: random forest on the campaign design, class,
-    probability and ``Likely Subscribe`` at .6, with the campaign advice text."""
-    design, feats = _campaign_xy(spark, d)
-    data = design.withColumn("label", F.col("target").cast("double"))
-    m = M.fit(data, feats, M.campaign_forest())
-    imp = sorted(M.model_importance(m, feats), key=lambda t: -t[1])[:3]
-    s = M.positive_probability(m.transform(data)).select("client_id", F.col("prediction").cast("int").alias("prediction"),
-                                                         F.col("probability_1").alias("probability"))
-    s = s.withColumn("label", F.when(F.col("probability") >= 0.6, "Likely Subscribe").otherwise("Low Intent"))
-    return K.campaign_advice(s, "probability", F.lit("Random Forest"), F.array(*[F.lit(n) for n, _ in imp]))
+    return score_campaign(spark, d)
 
 
 @query("deposit_leaderboard")
 def q_deposit_leaderboard(spark, d):
-    """Leaderboard of the deposit models plus the champion's top-8 features."""
-    design, feats = _campaign_xy(spark, d)
-    data = design.withColumn("label", F.col("target").cast("double"))
-    m = M.fit(data, feats, M.campaign_forest())
-    imp = sorted(M.model_importance(m, feats), key=lambda t: -t[1])[:8]
-    return spark.createDataFrame([(n, float(v)) for n, v in imp], "feature string, importance double")
+    """Metrics of the deposit models by rank; the champion's row names its top-8 features."""
+    split, board, stored = _campaign_board(spark, d)
+    champion = board.filter("champion").first()["model"]  # one row per model
+    imp = sorted(M.model_importance(stored(champion), split.features), key=lambda t: -t[1])[:8]
+    top = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(float(v)).alias("importance")) for n, v in imp])
+    return board.withColumn("top_features", F.when(F.col("champion"), top)).orderBy("rank")
 
 
 @query("feature_importance")
 def q_feature_importance(spark, d):
-    """Importance of a fitted forest, normalised and sorted (one row per feature)."""
-    f = _features(spark, d).withColumn("label", F.col("default_flag").cast("double"))
-    m = M.fit(f, M.DEFAULT_FEATURES, M.forest())
-    rows = M.model_importance(m, M.DEFAULT_FEATURES)
+    """Importance of the stored default model, normalised and sorted (one row per feature)."""
+    rows = M.model_importance(_default_model(spark, d), M.DEFAULT_FEATURES)
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"))
 
 
@@ -498,6 +542,17 @@ def q_reconstruction_error(spark, d):
     return N.pca_reconstruction_error(z, N.FEATURES).select("deposit_id", "reconstruction_error")
 
 
+@query("reconstruction_threshold")
+def q_reconstruction_threshold(spark, d):
+    """The error from which a deposit counts as badly reconstructed (97 % quantile), and how many reach it."""
+    dep = deposits(Tables(spark, d))
+    e = stable(N.pca_reconstruction_error(M.standard_scale(dep.select(*[F.col(c).cast("double") for c in N.FEATURES]), N.FEATURES), N.FEATURES)
+               .select("reconstruction_error"), "reconstruction")
+    thr = N.reconstruction_threshold(e)
+    return e.crossJoin(F.broadcast(thr)).groupBy("reconstruction_high").agg(
+        F.count(F.lit(1)).alias("records"), F.sum((F.col("reconstruction_error") >= F.col("reconstruction_high")).cast("long")).alias("high"))
+
+
 @query("score_deposits")
 def q_score_deposits(spark, d):
     s = N.score_deposits(deposits(Tables(spark, d)))

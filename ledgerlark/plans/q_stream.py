@@ -45,3 +45,16 @@ def q_stream_frequency_24h(spark, d):
     landing = J.land(ev, "events24", files=8, order="ts")
     out = J.frequency_24h(spark, landing, spark.read.parquet(landing).schema)
     return J.closed_before(out, ev)
+
+
+@query("stream_hourly_score", _THR_SQL + """
+SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, count(*) AS events,
+       sum(CAST(flag_amount AS INTEGER) + CAST(flag_hour AS INTEGER) + CAST(flag_frequency AS INTEGER)) / (3.0 * count(*)) AS avg_score
+FROM rs GROUP BY 1, 2 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM deposits)""")
+def q_stream_hourly_score(spark, d):
+    """Mean rule score by event hour of the arriving deposits."""
+    dep = deposits(Tables(spark, d))
+    landing = J.land(dep, "deposits_hourly", files=8, order="ts")
+    landed = spark.read.parquet(landing)
+    out = J.hourly_score(spark, landing, landed.schema, N.thresholds(landed))
+    return J.closed_before(out, landed)

@@ -145,20 +145,32 @@ def q_minmax_normalize(spark, d):
           max(CASE WHEN rd = 1 THEN value END) AS lag_1, max(CASE WHEN rd = 2 THEN value END) AS lag_2,
           max(CASE WHEN rd = 3 THEN value END) AS lag_3, max(CASE WHEN rd = 6 THEN value END) AS lag_6,
           max(CASE WHEN rd = 12 THEN value END) AS lag_12,
-          avg(CASE WHEN rd <= 3 THEN value END) AS r3, avg(CASE WHEN rd <= 6 THEN value END) AS r6
+          avg(CASE WHEN rd <= 3 THEN value END) AS r3, avg(CASE WHEN rd <= 6 THEN value END) AS r6,
+          avg(CASE WHEN rd <= 12 THEN value END) AS r12
         FROM t GROUP BY series_id)
+, cov AS (SELECT grade AS series_id, month_start, avg_int_rate, loan_count, funded_amnt / loan_count AS avg_loan_amnt, funded_amnt_m AS v FROM grade_monthly
+          UNION ALL SELECT 'TOTAL', month_start, avg_int_rate, loan_count, avg_loan_amnt, funded_amnt_m FROM monthly_volume)
+, lc AS (SELECT series_id, arg_max(avg_int_rate, month_start) AS avg_int_rate, arg_max(avg_loan_amnt, month_start) AS avg_loan_amnt,
+                greatest(1.0, greatest(1.0, avg(loan_count)) * (greatest((SELECT arg_max(v, month_start) FROM cov WHERE series_id = 'TOTAL'), 1.0)
+                         / greatest(avg(v), 1.0))) AS loan_count FROM cov GROUP BY series_id)
 SELECT series_id, CAST(last_month + INTERVAL 1 MONTH AS DATE) AS month_start,
        CAST(month(last_month + INTERVAL 1 MONTH) AS INTEGER) AS month,
        CAST(quarter(last_month + INTERVAL 1 MONTH) AS INTEGER) AS quarter,
        CAST(year(last_month + INTERVAL 1 MONTH) AS INTEGER) AS year,
        lag_1, coalesce(lag_2, lag_1) AS lag_2, coalesce(lag_3, lag_1) AS lag_3, coalesce(lag_6, lag_1) AS lag_6,
-       coalesce(lag_12, lag_1) AS lag_12, {sql_rnd('r3', 6)} AS rolling_3, {sql_rnd('r6', 6)} AS rolling_6,
-       {sql_rnd('CASE WHEN lag_2 IS NULL OR lag_2 = 0 THEN 0.0 ELSE (lag_1 - lag_2) / abs(lag_2) END', 6)} AS mom_growth
-FROM a""")
+       coalesce(lag_12, lag_1) AS lag_12, {sql_rnd('r3', 6)} AS rolling_3, {sql_rnd('r6', 6)} AS rolling_6, {sql_rnd('r12', 6)} AS rolling_12,
+       {sql_rnd('CASE WHEN lag_2 IS NULL OR lag_2 = 0 THEN 0.0 ELSE (lag_1 - lag_2) / abs(lag_2) END', 6)} AS mom_growth,
+       {sql_rnd('avg_int_rate', 6)} AS avg_int_rate, {sql_rnd('avg_loan_amnt', 4)} AS avg_loan_amnt, {sql_rnd('loan_count', 6)} AS loan_count
+FROM a JOIN lc USING (series_id)""")
 def q_serve_features(spark, d):
     """Feature row for the next (unseen) month of every series: lags (missing -> lag 1),
-    rolling means over the available last 3/6 values, growth over |previous|."""
+    rolling means over the available last 3/6/12 values, growth over |previous|; rate and amount
+    last known, loan count scaled by the last total."""
     from ..operators import serving
+    from ..sources.domain import volume_panel
+    panel = volume_panel(Tables(spark, d))
+    hint = panel.filter("series_id = 'TOTAL'").agg(F.max_by("value", "month_start").alias("total_hint"))
     f = serving.next_month_features(_s(spark, d))
-    return f.withColumns({"rolling_3": X.rnd(F.col("rolling_3"), 6), "rolling_6": X.rnd(F.col("rolling_6"), 6),
-                          "mom_growth": X.rnd(F.col("mom_growth"), 6)})
+    f = f.join(serving.last_covariates(panel).drop("loan_count"), "series_id").join(serving.scaled_loan_count(panel, hint), "series_id")
+    digits = {"rolling_3": 6, "rolling_6": 6, "rolling_12": 6, "mom_growth": 6, "avg_int_rate": 6, "avg_loan_amnt": 4, "loan_count": 6}
+    return f.withColumns({c: X.rnd(F.col(c), n) for c, n in digits.items()})

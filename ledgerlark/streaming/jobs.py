@@ -64,6 +64,22 @@ def hourly_trend(spark: SparkSession, landing: str, schema, delay: str = "2 hour
                     (F.col("_sum").cast("double") / F.col("events")).alias("avg_value"))
 
 
+def hourly_score(spark: SparkSession, landing: str, schema, thresholds: DataFrame, delay: str = "2 hours") -> DataFrame:
+    """Mean rule score of arriving deposits per event hour; rows later than the watermark are
+    dropped. Flags are summed as whole numbers, so the mean does not depend on the order."""
+    src = spark.readStream.schema(schema).parquet(landing)
+    ev = src.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    raised = sum(F.col(c).cast("long") for c in ("flag_amount", "flag_hour", "flag_frequency"))
+    agg = N.rule_flags(ev, thresholds).groupBy(F.window("ts", "1 hour")).agg(
+        F.count(F.lit(1)).alias("events"), F.sum(F.coalesce(raised, F.lit(0))).alias("_raised"))
+    out = _run(agg.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "events", "_raised"),
+               "hourly_score")
+    r = spark.read.parquet(out)
+    return r.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                    F.col("window_end").cast("timestamp_ntz").alias("window_end"), "events",
+                    (F.col("_raised") / (3.0 * F.col("events"))).alias("avg_score"))
+
+
 def frequency_24h(spark: SparkSession, landing: str, schema, delay: str = "2 hours") -> DataFrame:
     """Deposits per user in sliding 24 h windows every hour (the model's ``frequency``
     input), with a watermark so state for closed windows is dropped."""

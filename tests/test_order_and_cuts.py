@@ -102,5 +102,5 @@ def test_balanced_training_learns_a_rare_class(spark):
     rng = random.Random(3)
     rows = [(i, rng.gauss(2.0 * (i % 10 == 0), 1), rng.gauss(0, 1), int(i % 10 == 0)) for i in range(600)]
     df = spark.createDataFrame(rows, "id long, x double, z double, y int")
-    plain, even = (M.train_and_evaluate(df, ["x", "z"], "y", "id", {"lr": M.LogisticRegression(maxIter=50)}, balance=b).first() for b in (False, True))
+    plain, even = (M.train_and_evaluate(M.Split(df, ["x", "z"], "y", "id", balance=b), {"lr": M.LogisticRegression(maxIter=50)}).first() for b in (False, True))
     assert even.auc > 0.8 and even.recall > plain.recall
