@@ -151,7 +151,7 @@ def cached_artifact(spark: SparkSession, sources: str | list[str], store: str, b
     for source in [sources] if isinstance(sources, str) else sources:
         key[source] = [str(v) for v in source_version(spark, source).first()]
     stamp = json.dumps(key, sort_keys=True, default=str)
-    meta = f"{store}/_version"
+    meta = f"{store}/version"  # no leading underscore: readers skip such names
     if path_exists(spark, meta) and path_exists(spark, f"{store}/model"):
         if spark.read.text(meta).first()[0] == stamp:
             return load_model(f"{store}/model")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlark.operators import aggregate as A
+from ledgerlark.operators import clean as C
 from ledgerlark.operators import ml as M
 from ledgerlark.operators import ranking as R
 from ledgerlark.operators import risk as K
@@ -104,3 +105,66 @@ def test_balanced_training_learns_a_rare_class(spark):
     df = spark.createDataFrame(rows, "id long, x double, z double, y int")
     plain, even = (M.train_and_evaluate(M.Split(df, ["x", "z"], "y", "id", balance=b), {"lr": M.LogisticRegression(maxIter=50)}).first() for b in (False, True))
     assert even.auc > 0.8 and even.recall > plain.recall
+
+
+def test_explanations_order_features_inside_a_row(spark):
+    from ledgerlark.operators import explain as P
+    df = spark.createDataFrame([(1, 1.0, 10.0, None), (2, 3.0, 10.0, None), (3, None, 16.0, None)], "id long, a double, b double, c double")
+    coef = spark.createDataFrame([("a", 2.0), ("b", -0.5)], "feature string, beta double")
+    w = P.contribution_waterfall(df, "id", ["a", "b", "c"], coef)
+    got = [(r.id, r.step, r.feature, r.contribution, r.start, r.end) for r in w.orderBy("id", "step").collect()]
+    assert got == [(1, 1, "a", -2.0, 0.0, -2.0), (1, 2, "b", 1.0, -2.0, -1.0), (2, 1, "a", 2.0, 0.0, 2.0), (2, 2, "b", 1.0, 2.0, 3.0),
+                   (3, 1, "b", -2.0, 0.0, -2.0), (3, 2, "a", 0.0, -2.0, -2.0)]
+    imp = spark.createDataFrame([("a", 0.5), ("b", 0.5)], "feature string, importance double")
+    top = P.local_feature_impact(df, "id", ["a", "b", "c"], imp, top_n=2)
+    got = [(r.id, r["rank"], r.feature, r.impact) for r in top.orderBy("id", "rank").collect()]
+    assert got == [(1, 1, "b", -1.0), (1, 2, "a", -0.5), (2, 1, "b", -1.0), (2, 2, "a", 0.5), (3, 1, "b", 2.0), (3, 2, "a", -1.0)]
+    assert "hashpartitioning(id" not in w._jdf.queryExecution().toString() + top._jdf.queryExecution().toString()
+
+
+def test_class_profile_counts_null_as_a_class(spark):
+    df = spark.createDataFrame([("a",), ("a",), (None,), ("b",)], "y string")
+    assert {(r["class"], r.class_count, r.class_pct) for r in C.class_profile(df, "y").collect()} == {("a", 2, 50.0), (None, 1, 25.0), ("b", 1, 25.0)}
+    assert C.class_profile(df.limit(0), "y").count() == 0
+
+
+def test_serving_covariates_and_scaled_counts(spark):
+    from ledgerlark.operators import serving as SV
+    months = [m.date() for m in pd.date_range("2001-01-01", periods=3, freq="MS")]
+    rows = [("s", m, v, r, float(n), 9.0) for m, v, r, n in zip(months, (2.0, 4.0, 6.0), (5.0, 6.0, None), (10, 20, 30))]
+    panel = spark.createDataFrame(rows, "series_id string, month_start date, value double, avg_int_rate double, loan_count double, avg_loan_amnt double")
+    last = SV.last_covariates(panel).first()
+    assert (last.avg_int_rate, last.avg_loan_amnt, last.loan_count) == (6.0, 9.0, 30.0)
+    hint = spark.createDataFrame([(8.0,)], "total_hint double")
+    assert SV.scaled_loan_count(panel, hint).first().loan_count == 40.0  # mean 20, twice the mean total
+    assert SV.next_month_features(panel.select("series_id", "month_start", "value")).first().rolling_12 == 4.0
+
+
+def test_stored_models_are_fitted_once_and_score_every_row(spark, tmp_path):
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i, rng.gauss(2.0 * (i % 4 == 0), 1), int(i % 4 == 0)) for i in range(300)], "id long, x double, y int")
+    split, built, stored = M.Split(df, ["x"], "y", "id"), [], {}
+
+    def keep(s, est):
+        key = str(s.params(est))
+        if key not in stored:
+            built.append(1)
+            stored[key] = s.fit(est)
+        return stored[key]
+
+    est = {"lr": M.LogisticRegression(maxIter=20), "other": M.LogisticRegression(maxIter=21)}
+    first = M.train_and_evaluate(split, est, keep=keep).orderBy("model").collect()
+    assert M.train_and_evaluate(split, est, keep=keep).orderBy("model").collect() == first and len(built) == 2
+    assert split.train.count() + split.test.count() == 300 and split.test.count() > 0
+    assert keep(split, est["lr"]).transform(df).count() == 300
+    board = M.leaderboard(M.train_and_evaluate(split, est, keep=keep)).collect()
+    assert [r["rank"] for r in board if r.champion] == [1]
+
+
+def test_models_by_group_are_tested_on_later_months(spark):
+    from pyspark.ml.regression import LinearRegression
+    rows = [(g, k, float(k), float(k) * (2 if g == "A" else 3)) for g in "AB" for k in range(20)]
+    df = spark.createDataFrame(rows, "grade string, k int, x double, label double")
+    out = M.evaluate_by_group(df.filter("k < 15"), df.filter("k >= 15"), "grade", ["A", "B"], ["x"], lambda: {"lin": LinearRegression(labelCol="label")})
+    got = {(r.grade, r.model): r.mape for r in out.collect()}
+    assert set(got) == {("A", "lin"), ("B", "lin")} and max(got.values()) < 1e-3
