@@ -333,5 +333,9 @@ def keep_one(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> DataFram
     gone = done.filter("doc_id is not null and not kept").select(F.col("doc_id").alias("_gone")).distinct()
     left = docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
     blank = ~F.coalesce(docs["text"].rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
+    # rows without an id are spread by their content: they need no turn, and may be very many
+    names = [c.lower() for c in docs.columns]
+    plain = [F.col("`" + c.replace("`", "``") + "`") for c, t in docs.dtypes if names.count(c.lower()) == 1 and "map<" not in t and "variant" not in t]
+    spread = F.when(F.col("doc_id").isNull(), F.xxhash64(*plain))
+    turn = F.row_number().over(Window.partitionBy("doc_id", spread).orderBy(F.col("text").asc_nulls_last()))
     return left.withColumn("_turn", turn).filter((F.col("_turn") == 1) | F.col("doc_id").isNull() | blank).drop("_turn")

@@ -96,3 +96,13 @@ def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, x) for x in range(8, 60)] + [(3, 2), (2, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got[140] == 100 and got[59] == 7 and got[3] == 2 and len(got) == 41 + 53 + 2
+
+
+def test_rows_without_id_stay_whatever_columns_they_have(spark):
+    prepare(spark)
+    rows = [(None, "same words in this text", {"a": 1}, 1, "x"), (None, "same words in this text", None, None, None), (None, None, None, None, None),
+            (None, None, None, None, None), (5, "same words in this text", None, 2, "y"), (5, "same words in this text", None, 2, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, `a.b` int, `q``s` string")
+    kept = minhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 0, 0, 0, 5]
