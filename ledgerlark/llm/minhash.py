@@ -17,11 +17,11 @@ threshold come out and are verified. So every pair that shares a band is compare
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, keys64, mix64, shingle_sets, stable
@@ -85,8 +85,10 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, chanc
     return np.maximum(0, (share - c) / (1 - c))
 
 
-def signatures(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, set_key, regs) of every row."""
+def signatures(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, n_shingles, set_key, regs) of every row, and the binary columns ``keep`` as they are."""
+    keep = keep or []
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = shingle_sets(b.column(1), shingle)
@@ -96,10 +98,11 @@ def signatures(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col:
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                 pa.array([r.tobytes() if len(s) else None for r, s in zip(regs, sets)], pa.binary()),
-            ], names=["doc_id", "n_shingles", "set_key", "regs"])
+                *(b.column(c) for c in keep),
+            ], names=["doc_id", "n_shingles", "set_key", "regs", *keep])
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, regs binary")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep)
+    return src.mapInArrow(run, ", ".join(["doc_id long, n_shingles long, set_key binary, regs binary", *(f"{c} binary" for c in keep)]))
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
@@ -248,6 +251,40 @@ def _partnered(texts: DataFrame, weight: DataFrame, shingle: int, threshold: int
     return j.filter(100 * (F.col("n") - F.coalesce("lone", F.lit(0))) >= threshold * F.col("n")).select("node", "weight")
 
 
+def _components(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingle: int, threshold: int) -> DataFrame:
+    """``classes`` (node, n, regs, ...) with the component of each node. texts_of gives (node, text, n)
+    of the (node, n) that it gets."""
+    keys = F.array(*[F.xxhash64(F.lit(i), F.expr(f"substring(regs, {1 + 8 * i}, 8)")) for i in range(BANDS)])
+    banded = classes.select("node", F.posexplode(keys).alias("at", "band"))
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y")
+    members = stable(banded.join(shared.select("band", "size"), "band").distinct(), "minhash_members")
+    if members.isEmpty():
+        return classes.withColumn("component", F.col("node"))
+    weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    involved = weight.select("node").join(classes.select("node", "n"), "node")
+    texts = stable(texts_of(involved).dropDuplicates(["node", "text"]), "minhash_texts")
+    likely = _partnered(texts, weight, shingle, threshold)
+    members = stable(members.select("band", "at", "node").join(likely, "node"), "minhash_members")
+    # The text that shares the largest bands is the likeliest source of a group of copies.
+    hub = members.groupBy("band").agg(F.max(F.struct("weight", F.negative("node"))).alias("hub"))
+    near = members.join(hub.select("band", F.negative("hub.col2").alias("hub"), F.col("hub.weight").alias("far")), "band").filter("node <> hub")
+    near = near.groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.max("far").alias("far"))
+    maybe = stable(_likely(near.select("a", "b"), classes, threshold).join(near, ["a", "b"]), "minhash_pairs")
+    first = maybe.groupBy("b").agg(F.max_by("a", F.struct("far", F.negative("a"))).alias("a")).select("a", "b")
+    links = stable(_verified(first, texts, shingle, threshold), "minhash_links")
+    labels = components(links)
+    later = maybe.select("a", "b").join(first, ["a", "b"], "left_anti")
+    more = stable(_verified(_apart(later, labels), texts, shingle, threshold), "minhash_links")
+    if not more.isEmpty():
+        links = links.union(more)
+        labels = components(links)
+    # what no hub has joined: every pair of a band that is still apart is compared, in blocks
+    rest = stable(_verified(_blockwise(members, labels, texts, classes, shingle, threshold), texts, shingle, threshold), "minhash_links")
+    if not rest.isEmpty():
+        labels = components(links.union(rest))
+    return classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable over
     links with 100 * intersection >= threshold * union), kept (is that document).
@@ -260,43 +297,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80, id_c
     node = F.coalesce(F.min("doc_id"), F.lit(_HIDDEN) + F.shiftright(F.abs(F.xxhash64("set_key")), 2))
     classes = stable(rows.filter("set_key is not null").groupBy("set_key").agg(
         node.alias("node"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")), "minhash_classes")
-    keys = F.array(*[F.xxhash64(F.lit(i), F.expr(f"substring(regs, {1 + 8 * i}, 8)")) for i in range(BANDS)])
-    banded = classes.select("node", F.posexplode(keys).alias("at", "band"))
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y")
-    members = stable(banded.join(shared.select("band", "size"), "band").distinct(), "minhash_members")
-    labels = None
-    if not members.isEmpty():
+
+    def texts_of(involved: DataFrame) -> DataFrame:
         text = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-        weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
-        if not weight.filter(F.col("node") >= _HIDDEN).isEmpty():
-            text = _named(docs, rows, classes, shingle, id_col, text_col)
-        involved = weight.select("node").join(classes.select("node", "n"), "node")
-        texts = stable(text.join(involved, "node").dropDuplicates(["node", "text"]), "minhash_texts")
-        likely = _partnered(texts, weight, shingle, threshold)
-        members = stable(members.select("band", "at", "node").join(likely, "node"), "minhash_members")
-        # The text that shares the largest bands is the likeliest source of a group of copies.
-        hub = members.groupBy("band").agg(F.max(F.struct("weight", F.negative("node"))).alias("hub"))
-        near = members.join(hub.select("band", F.negative("hub.col2").alias("hub"), F.col("hub.weight").alias("far")), "band").filter("node <> hub")
-        near = near.groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.max("far").alias("far"))
-        maybe = stable(_likely(near.select("a", "b"), classes, threshold).join(near, ["a", "b"]), "minhash_pairs")
-        first = maybe.groupBy("b").agg(F.max_by("a", F.struct("far", F.negative("a"))).alias("a")).select("a", "b")
-        links = stable(_verified(first, texts, shingle, threshold), "minhash_links")
-        labels = components(links)
-        later = maybe.select("a", "b").join(first, ["a", "b"], "left_anti")
-        more = stable(_verified(_apart(later, labels), texts, shingle, threshold), "minhash_links")
-        if not more.isEmpty():
-            links = links.union(more)
-            labels = components(links)
-        # what no hub has joined: every pair of a band that is still apart is compared, in blocks
-        rest = stable(_verified(_blockwise(members, labels, texts, classes, shingle, threshold), texts, shingle, threshold), "minhash_links")
-        if not rest.isEmpty():
-            labels = components(links.union(rest))
-    named = classes.select("set_key", "node")
-    if labels is not None:
-        named = named.join(labels, "node", "left")
-    else:
-        named = named.withColumn("component", F.col("node"))
-    named = named.select("set_key", "node", F.coalesce("component", "node").alias("component"))
+        if not involved.filter(F.col("node") >= _HIDDEN).isEmpty():
+            text = _named(docs, classes, shingle, id_col, text_col)
+        return text.join(involved, "node")
+
+    named = _components(classes, texts_of, shingle, threshold).select("set_key", "node", "component")
     out = rows.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     own = F.coalesce("doc_id", "node", F.lit(_HIDDEN))
     comp = F.coalesce("component", "doc_id", F.lit(_HIDDEN))
@@ -310,7 +318,7 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return j.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def _named(docs: DataFrame, rows: DataFrame, classes: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+def _named(docs: DataFrame, classes: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
     """(node, text) where some classes have no row with an id: their texts are found by their set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -325,13 +333,40 @@ def _named(docs: DataFrame, rows: DataFrame, classes: DataFrame, shingle: int, i
     return own.union(hidden)
 
 
+def _text_key(text: str) -> Column:
+    return F.unhex(F.md5(F.col(text).cast("string")))
+
+
+def _standing(docs: DataFrame, shingle: int, threshold: int) -> DataFrame:
+    """(doc_id, text_key) of the row that stands for each component with an id: the smallest id, and
+    of its texts in the component the one with the smallest digest. Here every distinct set is a
+    node of its own, whatever ids its rows have, so unlike texts under one id do not link."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_key("text").alias("text_key"))
+    rows = signatures(keyed, shingle, keep=["text_key"]).filter("set_key is not null")
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key")))
+    classes = rows.groupBy("set_key").agg(first.alias("first"), F.min("text_key").alias("text_key"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"))
+    # numbered as they are written, so no number comes twice; what is linked does not depend on them
+    classes = stable(classes.withColumn("node", F.monotonically_increasing_id()), "minhash_classes")
+
+    def texts_of(involved: DataFrame) -> DataFrame:
+        asked = classes.select("node", "first", "text_key").join(involved, "node")
+        own = asked.filter("first is not null").select("first.doc_id", "first.text_key", "node", "n")
+        bare = asked.filter("first is null").select("text_key", "node", "n")
+        found = keyed.join(own, ["doc_id", "text_key"]).select("node", "text", "n")
+        return found.union(keyed.filter("doc_id is null").dropDuplicates(["text_key"]).join(bare, "text_key").select("node", "text", "n"))
+
+    named = _components(classes, texts_of, shingle, threshold)
+    return named.filter("first is not null").groupBy("component").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_key")
+
+
 def keep_one(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> DataFrame:
     """The documents without near-duplicates: of each component the row with the smallest
-    doc_id stays, once if that row is repeated; all columns stay. Rows without a doc_id and
+    doc_id stays, once if that row is repeated; all columns stay. Texts are told apart by id and
+    words: unlike texts under one id are judged each for itself. Rows without a doc_id and
     rows without words stay."""
-    done = near_duplicates(docs, shingle, threshold)
-    gone = done.filter("doc_id is not null and not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
-    blank = ~F.coalesce(docs["text"].rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
-    return left.withColumn("_turn", turn).filter((F.col("_turn") == 1) | F.col("doc_id").isNull() | blank).drop("_turn")
+    stay = _standing(docs, shingle, threshold).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    aside = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    left = docs.filter(~aside).withColumn("_text_key", _text_key("text"))
+    left = left.join(stay, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi")
+    turn = F.row_number().over(Window.partitionBy("doc_id", "_text_key").orderBy("_text_key"))
+    return left.withColumn("_turn", turn).filter("_turn = 1").drop("_turn", "_text_key").union(docs.filter(aside))

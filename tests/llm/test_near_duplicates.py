@@ -106,3 +106,17 @@ def test_rows_without_id_stay_whatever_columns_they_have(spark):
     kept = minhash.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 0, 0, 0, 5]
+
+
+def test_unlike_texts_under_one_id_all_stay(spark):
+    prepare(spark)
+    rng = random.Random(6)
+    a, b, c, d, e, f = (" ".join(rng.choice("abcdefghijklmnopq") * 3 + str(rng.randrange(99)) for _ in range(60)) for _ in range(6))
+    rows = [(3, a), (7, b), (7, a + " more"), (7, a), (8, c), (8, d), (8, d), (8, d.upper()), (9, ""), (9, e), (9, None), (9, " "),
+            (10, f + " x"), (10, f), (12, f + " y"), (12, c + " z"), (None, b), (None, f)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in minhash.keep_one(docs).collect()]
+    fold = sorted((i or 0, (t or "").strip().lower()) for i, t in got)
+    ten = [t for i, t in fold if i == 10]
+    assert len(ten) == 1 and ten[0] in (f, f + " x")  # one of the near copies under one id
+    assert [x for x in fold if x[0] != 10] == sorted([(3, a), (7, b), (8, c), (8, d), (9, ""), (9, ""), (9, ""), (9, e), (0, b), (0, f)])
