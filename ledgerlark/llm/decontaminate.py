@@ -37,6 +37,18 @@ def budget(length: int) -> int:
     return EDITS if length >= WINDOW else length * EDITS // WINDOW
 
 
+def needed(window: int) -> int:
+    """Q-grams that a window of that many characters shares at least with a place where it occurs."""
+    return max(1, window + 1 - Q - budget(window) * Q)
+
+
+def stretches(windows: set[int]) -> list[tuple[int, int]]:
+    """(need, span) of the windows: as many hits in a stretch of so many q-grams. Neither grows
+    steadily with the window, since the budget steps; a pair that another one implies is left out."""
+    pairs = {(needed(w), w + budget(w) - Q + 1) for w in windows}
+    return sorted((n, s) for n, s in pairs if not any(a <= n and b >= s and (a, b) != (n, s) for a, b in pairs))
+
+
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts, each followed by Q zeros, and their starts."""
     gap = "\0" * Q
@@ -69,9 +81,8 @@ class Index:
         self.first = np.append(first, len(h)).astype(np.int64)
         self.mask = np.zeros(1 << _MASK_BITS, bool)
         self.mask[(self.hash >> np.uint64(64 - _MASK_BITS)).astype(np.int64)] = True
-        self.need = np.array([max(1, min(len(t), WINDOW) + 1 - Q - budget(min(len(t), WINDOW)) * Q) for t in self.texts], np.int64)
-        shortest = min((len(t) for t in self.texts if len(t) >= Q), default=WINDOW)
-        self.least_window = min(shortest, WINDOW)
+        self.need = np.array([needed(min(len(t), WINDOW)) for t in self.texts], np.int64)
+        self.stretches = stretches({min(len(t), WINDOW) for t in self.texts if len(t) >= Q})
 
     def find(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
         """(text's place, item's place, start in the normal text, edits): the best window of each item found."""
@@ -81,15 +92,16 @@ class Index:
         if not len(self.hash) or not len(h):
             return []
         hit = self.mask[(h >> np.uint64(64 - _MASK_BITS)).astype(np.int64)]
-        # only stretches with as many hits as the lemma asks of the smallest window
-        w, need = self.least_window, max(1, self.least_window + 1 - Q - budget(self.least_window) * Q)
-        span = w + budget(w) - Q + 1
-        total = np.zeros(len(h) + span + 1, np.int32)
-        np.cumsum(hit, out=total[1 : len(h) + 1])
-        total[len(h) + 1 :] = total[len(h)]
-        starts = np.zeros(len(h) + span + 1, np.int32)  # a hit counts if a dense stretch began less than a span before it
-        np.cumsum(total[span : span + len(h)] - total[: len(h)] >= need, out=starts[span + 1 :])
-        p = np.flatnonzero(hit & (starts[span + 1 :] > starts[1 : len(h) + 1]))
+        # only stretches with as many hits as the lemma asks of one of the slice's windows
+        dense = np.zeros(len(h), bool)
+        for need, span in self.stretches:
+            total = np.zeros(len(h) + span + 1, np.int32)
+            np.cumsum(hit, out=total[1 : len(h) + 1])
+            total[len(h) + 1 :] = total[len(h)]
+            starts = np.zeros(len(h) + span + 1, np.int32)  # a hit counts if a dense stretch began less than a span before it
+            np.cumsum(total[span : span + len(h)] - total[: len(h)] >= need, out=starts[span + 1 :])
+            dense |= starts[span + 1 :] > starts[1 : len(h) + 1]
+        p = np.flatnonzero(hit & dense)
         if not len(p):
             return []
         k = np.minimum(np.searchsorted(self.hash, h[p]), len(self.hash) - 1)
@@ -115,7 +127,7 @@ class Index:
             size = len(self.texts[i])
             w = min(size, WINDOW)
             edits = budget(w)
-            need = max(1, w + 1 - Q - edits * Q)
+            need = needed(w)
             if best.get((d, i), (0, 1))[1] == 0:
                 continue
             run = np.unique(pos[x:y])

@@ -47,6 +47,29 @@ def test_patterns_find_unseen_identifiers(spark):
     assert got[30] == "id:15:28" and got[31] == ""
 
 
+def test_benchmark_items_do_not_hide_one_another():
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    long, shorts = letters(120), {n: letters(n) for n in (13, 26, 38, 53, 62, 79)}
+    edited = list(long[20:100])
+    for p in (10, 21, 32, 44, 55, 66):  # leaves the 25 q-grams that the lemma asks for
+        edited[p] = "#"
+    docs = [letters(60) + "".join(edited) + letters(60)]
+    for n, t in shorts.items():
+        part = list(t)
+        for k in range(decontaminate.budget(n)):
+            part[(k + 1) * n // (decontaminate.budget(n) + 1)] = "#"
+        docs.append(letters(60) + "".join(part) + letters(60))
+    items = [(0, long), *shorts.items()]
+    alone = {(d, i) for i, t in items for d, *_ in decontaminate.Index([(i, t)]).find(docs)}
+    assert alone == {(0, 0), *((k + 1, n) for k, n in enumerate(shorts))}
+    for some in ([items[0], *items[k : k + 1]] for k in range(1, len(items))):
+        index = decontaminate.Index(some)
+        assert {(d, index.ids[i]) for d, i, *_ in index.find(docs)} == {x for x in alone if x[1] in index.ids}, index.ids
+    index = decontaminate.Index(items)
+    assert {(d, index.ids[i]) for d, i, *_ in index.find(docs)} == alone
+
+
 def test_benchmark_passages(spark, sf, odd_docs, no_docs):
     bench = prepare(spark).read.parquet(f"{sf}/benchmark.parquet")
     items, rng = [(r.item_id, decontaminate.normal(r.text)) for r in bench.collect()], random.Random(5)
