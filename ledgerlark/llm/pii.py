@@ -36,7 +36,7 @@ HINTS = {
     "phone": r"\+[0-9]",
 }
 #: An identifier-like token after a word and the signs that lead up to it.
-TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,40}[0-9])[A-Za-z0-9+/_-]{8,}+"
+TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{8,}+"
 LEAD = r"([^\x20\x09-\x0D]{1,40}+[\x20\x09]*+[=:]?[\x20\x09]*+[\"']?)$"
 #: Letters before a token that its pattern may reach into.
 REACH = 48
@@ -97,8 +97,7 @@ def _tokens(text: Column) -> Column:
     found = F.transform(_places(text, TOKEN), lambda s: F.struct(
         s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), s["value"].alias("value"),
         F.lower(F.regexp_replace(F.regexp_extract(lead(s), LEAD, 1), r"[\x20\x09]+", " ")).alias("pattern")))
-    some = text.rlike(r"[0-9][A-Za-z0-9+/_-]{7}|[A-Za-z0-9+/_-]{7}[0-9]|[A-Za-z0-9+/_-]{2,}[0-9][A-Za-z0-9+/_-]{2,}")
-    return F.when(some, found).otherwise(F.array().cast("array<struct<start:int,end:int,value:string,pattern:string>>"))
+    return F.when(text.rlike(TOKEN), found).otherwise(F.array().cast("array<struct<start:int,end:int,value:string,pattern:string>>"))
 
 
 def _joined(spans: Column) -> Column:

@@ -47,6 +47,19 @@ def test_patterns_find_unseen_identifiers(spark):
     assert got[30] == "id:15:28" and got[31] == ""
 
 
+def test_identifiers_whatever_the_place_of_their_digit(spark):
+    prepare(spark)
+    cards = ("4111111111111111", "5500005555555559", "4012888888881881", "4222222222222", "378282246310005", "6011111111111117", "5105105105105100", "30569309025904")
+    rows = [(i, f"some words account = {card} more") for i, card in enumerate(cards)]
+    tokens = ["A1bcdefg", "abcdef1h", "Abcdefg1", "x" * 41 + "7", "y" * 3000 + "7z"]
+    rows += [(10 + i, f"here account = {t} ends") for i, t in enumerate(tokens)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.report(docs).collect()}
+    masked = {r.doc_id: r.text for r in pii.mask(docs).collect()}
+    for i, t in enumerate(tokens):
+        assert got[10 + i] == f"id:15:{15 + len(t)}" and masked[10 + i] == "here account = [ID] ends", t
+
+
 def test_benchmark_items_do_not_hide_one_another():
     rng = random.Random(8)
     letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
