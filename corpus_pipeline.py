@@ -32,9 +32,10 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words each document gives to the mix and the training positions at which it starts."""
+    """The words each document gives to the mix and the training positions at which it starts; the
+    training order is written to the shared folder."""
     prepare(spark)
-    return mixing.mix(docs)
+    return mixing.deal(docs)
 
 
 STAGES = [

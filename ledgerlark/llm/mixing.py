@@ -13,6 +13,7 @@ all words is spread over many tasks.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.operators.ranking import global_row_number
+from ledgerlark.session import scratch_path
 
 from .common import stable, text_buffer, word_spans
 
@@ -77,8 +79,8 @@ def moment(offset: Column, target: Column, lean: Column) -> Column:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target (of its source),
-    taken (words the mix takes, repeats counted) and positions (where each pass over the
-    document starts, in words from the start of the training).
+    taken (words the mix takes, repeats counted), positions (where each pass over the
+    document starts, in words from the start of the training) and place (the row's number).
 
     The order within a source is by a hash of the id; a null source is a source, last by name;
     null texts have no words and are never taken. Equal rows share their source's words in
@@ -106,10 +108,24 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
     taken = takes[0]
     for t in takes[1:]:
         taken = taken + t
-    return run.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), F.array_compact(F.array(*places)).alias("positions"))
+    return run.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), F.array_compact(F.array(*places)).alias("positions"), "place")
 
 
 def schedule(mixed: DataFrame) -> DataFrame:
     """The training order: a row for each pass over each document, range-sorted by position."""
-    each = mixed.select("doc_id", "source", F.posexplode("positions").alias("pass", "position"))
+    each = mixed.select("doc_id", "source", "place", F.posexplode("positions").alias("pass", "position"))
     return each.repartitionByRange("position", "doc_id", "pass").sortWithinPartitions("position", "doc_id", "pass")
+
+
+def deal(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """Writes the mix and its training order under ``path`` (a new shared folder by default): ``order``
+    has its files, by name, and their rows in training order. Returns the rows of :func:`mix`, with
+    positions as they stand in that order. Ids may repeat or be null, so a row is known by its place."""
+    spark = docs.sparkSession
+    path = path or scratch_path(spark, f"mixing/{uuid.uuid4().hex}")
+    mix(docs).write.parquet(f"{path}/rows")
+    rows = spark.read.parquet(f"{path}/rows")
+    schedule(rows).write.parquet(f"{path}/order")
+    dealt = spark.read.parquet(f"{path}/order").groupBy("place").agg(F.array_sort(F.collect_list(F.struct("pass", "position"))).alias("dealt"))
+    out = rows.drop("positions").join(dealt, "place", "left")
+    return out.select("doc_id", "source", "size", "source_size", "target", "taken", F.coalesce("dealt.position", F.array().cast("array<double>")).alias("positions"))

@@ -61,8 +61,8 @@ def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_curriculum_mix")
 def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix(read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("first_position"))
+    out = mixing.deal(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("first_position"), "positions")
 
 
 @query("op7_content_warc", warc.ORACLE)

@@ -1,12 +1,14 @@
+import glob
 import hashlib
 import random
 import re
 from collections import defaultdict
 
 import duckdb
+import pyarrow.parquet as pq
 import pytest
 
-from ledgerlark.llm import chat, decontaminate, mixing, pii, warc
+from ledgerlark.llm import chat, decontaminate, mixing, pii, queries, warc
 from ledgerlark.llm.common import prepare
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -137,6 +139,20 @@ def test_mix_meets_targets(odd_docs, no_docs):
     assert mixing.mix(no_docs).count() == 0
 
 
+def test_training_order_is_written_and_rows_follow_it(spark, sf, odd_docs, no_docs):
+    prepare(spark)
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/mixing-test-{random.random()}"
+    rows = mixing.deal(odd_docs, path).collect()
+    want = mixing.mix(odd_docs).drop("place").collect()
+    assert sorted(map(str, rows)) == sorted(map(str, want)) and max(len(r.positions) for r in rows) > 1
+    order = [r for f in sorted(glob.glob(f"{path}/order/part-*.parquet")) for r in pq.read_table(f).to_pylist()]
+    assert [r["position"] for r in order] == sorted(p for r in rows for p in r.positions)
+    assert sorted((r["doc_id"] or 0, r["position"]) for r in order) == sorted((r.doc_id or 0, p) for r in rows for p in r.positions)
+    assert mixing.deal(no_docs).count() == 0
+    got = queries.QUERIES["op2_curriculum_mix"](spark, sf).collect()
+    assert max(len(r.positions) for r in got) > 1 and all(r.first_position == (r.positions or [None])[0] for r in got)
+
+
 def test_archive_round_trip(spark, sf):
     pages = prepare(spark).read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html")
     big = "x" * 1500
