@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, line_crf, minhash, mixing, pii, quality_gam, toxicity, warc
+from . import chat, decontaminate, language, line_crf, minhash, mixing, periodic_runs, pii, prefix_trie, quality_gam, toxicity, vantage, warc
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,18 @@ def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_chat_windows")
 def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.write_and_read(spark, chat.with_probe(read(spark, sf_dir, "conversations")))
+
+
+@query("op11_vantage_simhash")
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vantage.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query("op12_prefix_trie", prefix_trie.ORACLE)
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"), rebuild=True)
+
+
+@query("op13_periodic_runs")
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.runs(read(spark, sf_dir, "documents"), rewrite=True))
