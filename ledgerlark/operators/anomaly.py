@@ -5,8 +5,8 @@
   sample chosen by a seeded hash, trees are grown in parallel by
   ``groupBy("tree_id").applyInPandas`` and the forest (bounded by trees x 2 x sample
   nodes, independent of the data size) is broadcast to an Arrow-batched scorer;
-* the reconstruction error of the reference's tiny autoencoder is re-aimed as the
-  error of a rank-2 PCA projection of the standardised features.
+* the reconstruction error comes from a 2-2 autoencoder of the standardised features
+  (:mod:`ledgerlark.operators.autoencoder`).
 """
 
 from __future__ import annotations
@@ -15,14 +15,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import expr as X
 from ..session import stable
+from . import autoencoder as AE
 from . import ml as M
 from . import ranking as R
 
@@ -125,54 +124,56 @@ def fit_isolation_forest(scaled: DataFrame, id_col: str, feats: list[str], n_tre
     return forest.toPandas(), psi
 
 
-def _path_lengths(x: np.ndarray, forest: pd.DataFrame) -> np.ndarray:
-    total = np.zeros(len(x))
-    trees = 0
-    for _, t in forest.groupby("tree_id"):
-        t = t.sort_values("node")
-        feat, thr = t["feat"].to_numpy(), t["thr"].to_numpy()
-        left, right, size = t["left"].to_numpy(), t["right"].to_numpy(), t["size"].to_numpy()
-        cadj = np.array([_c(s) for s in size])
-        node = np.zeros(len(x), dtype=int)
-        depth = np.zeros(len(x))
-        active = feat[node] >= 0
-        while active.any():
-            f = feat[node[active]]
-            go_left = x[active, f] < thr[node[active]]
-            node[active] = np.where(go_left, left[node[active]], right[node[active]])
-            depth[active] += 1
-            active = feat[node] >= 0
-        total += depth + cadj[node]
-        trees += 1
-    return total / max(trees, 1)
+class Forest:
+    """The trees of a node table as arrays, one node after the other, made once before they are sent to tasks."""
+
+    def __init__(self, nodes: pd.DataFrame):
+        nodes = nodes.sort_values(["tree_id", "node"], ignore_index=True)
+        tree = nodes["tree_id"].to_numpy()
+        self.roots = np.flatnonzero(np.concatenate(([True], tree[1:] != tree[:-1]))) if len(nodes) else np.zeros(0, np.int64)
+        first = np.repeat(self.roots, np.diff(np.append(self.roots, len(nodes))))
+        self.feature, self.cut = nodes["feat"].to_numpy(), nodes["thr"].to_numpy()
+        self.left, self.right = nodes["left"].to_numpy() + first, nodes["right"].to_numpy() + first
+        self.rest = np.array([_c(s) for s in nodes["size"]])
+
+    def path_lengths(self, x: np.ndarray) -> np.ndarray:
+        """Mean path length of every row over the trees; rows go down all trees at once, a level at a time."""
+        node = np.tile(self.roots, (len(x), 1))
+        depth = np.zeros(node.shape)
+        row, tree = (c.ravel() for c in np.indices(node.shape))
+        while len(row):
+            at = node[row, tree]
+            inner = self.feature[at] >= 0
+            row, tree, at = row[inner], tree[inner], at[inner]
+            node[row, tree] = np.where(x[row, self.feature[at]] < self.cut[at], self.left[at], self.right[at])
+            depth[row, tree] += 1
+        return (depth + self.rest[node]).sum(axis=1) / max(len(self.roots), 1)
 
 
 def isolation_scores(scaled: DataFrame, feats: list[str], forest: pd.DataFrame, psi: int) -> DataFrame:
     """``score_samples`` (= -2^(-E[h]/c(psi))) for every row, in Arrow batches."""
-    bc = scaled.sparkSession.sparkContext.broadcast(forest)
+    bc = scaled.sparkSession.sparkContext.broadcast(Forest(forest))
     cpsi = _c(psi)
 
     @F.pandas_udf(T.DoubleType())
     def score(*cols: pd.Series) -> pd.Series:
         x = np.column_stack([c.to_numpy(dtype=float) for c in cols])
-        h = _path_lengths(x, bc.value)
-        return pd.Series(-np.power(2.0, -h / cpsi))
+        h = [bc.value.path_lengths(x[i : i + 2048]) for i in range(0, len(x), 2048)]
+        return pd.Series(-np.power(2.0, -np.concatenate([*h, np.zeros(0)]) / cpsi))
 
     return scaled.withColumn("iso_score", score(*[F.col(f) for f in feats]))
 
 
-def pca_reconstruction_error(scaled: DataFrame, feats: list[str], k: int = 2) -> DataFrame:
-    """Mean squared error between the standardised features and their rank-k PCA
-    reconstruction (stand-in for the reference's 2-2 autoencoder)."""
-    vec = M.assembler(feats).transform(scaled)
-    model = PCA(k=k, inputCol="features", outputCol="_pc").fit(vec)
-    pcm = model.pc.toArray()  # len(feats) x k, a small constant matrix
-    out = model.transform(vec).withColumn("_pca", vector_to_array("_pc"))
-    sq = []
-    for j, f in enumerate(feats):
-        recon = sum(F.col("_pca")[i] * float(pcm[j, i]) for i in range(k))
-        sq.append((F.col(f) - recon) * (F.col(f) - recon))
-    return out.withColumn("reconstruction_error", sum(sq) / float(len(feats))).drop("features", "_pc", "_pca")
+def outliers(deposits: DataFrame, id_col: str = "deposit_id", contamination: float = 0.03, n_trees: int = 200, seed: int = 42) -> DataFrame:
+    """Every deposit's forest score, its decision (score less the ``contamination`` quantile of all scores) and
+    whether it is an outlier (decision below 0)."""
+    zf = [f"{f}_z" for f in FEATURES]
+    scaled = stable(M.standard_scale(deposits, FEATURES, suffix="_z"), "deposits_scaled")
+    forest, psi = fit_isolation_forest(scaled, id_col, zf, n_trees, seed=seed)
+    s = stable(isolation_scores(scaled, zf, forest, psi), "isolation_scores")  # the quantile and the rows
+    s = s.crossJoin(F.broadcast(R.scalar_quantiles(s, "iso_score", {"_offset": contamination})))
+    s = s.withColumn("iso_decision", F.col("iso_score") - F.col("_offset"))
+    return s.withColumn("is_outlier", F.col("iso_decision") < 0).drop("_offset", *zf)
 
 
 def score_deposits(deposits: DataFrame, id_col: str = "deposit_id", contamination: float = 0.03, n_trees: int = 200,
@@ -182,11 +183,11 @@ def score_deposits(deposits: DataFrame, id_col: str = "deposit_id", contaminatio
     its threshold, or the score reaches .6; reasons include the rule flags."""
     deposits = stable(deposits, "deposits")  # thresholds, scales, tree samples and scores read it
     thr = thresholds(deposits)
-    scaled = M.standard_scale(deposits, FEATURES, suffix="_z")
+    scaled = stable(M.standard_scale(deposits, FEATURES, suffix="_z"), "deposits_scaled")
     zf = [f"{f}_z" for f in FEATURES]
     forest, psi = fit_isolation_forest(scaled, id_col, zf, n_trees, seed=seed)
     s = isolation_scores(scaled, zf, forest, psi)
-    s = stable(pca_reconstruction_error(s, zf), "deposit_scores")  # two quantiles and the rows themselves
+    s = stable(AE.reconstruction_error(s, zf, AE.fit(scaled, zf)), "deposit_scores")  # two quantiles and the rows themselves
     offs = R.scalar_quantiles(s, "iso_score", {"_offset": contamination}).crossJoin(
         reconstruction_threshold(s, "_rthr"))
     s = s.crossJoin(F.broadcast(offs)).withColumn("iso_decision", F.col("iso_score") - F.col("_offset"))

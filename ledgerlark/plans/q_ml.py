@@ -15,14 +15,16 @@ from pyspark.sql import functions as F
 from ..functions import expr as X
 from ..functions.expr import sql_rnd
 from ..operators import anomaly as N
+from ..operators import autoencoder as AE
 from ..operators import encode as E
 from ..operators import explain as P
 from ..operators import ml as M
 from ..operators import risk as K
 from ..operators import series as S
 from ..operators import serving as SV
+from ..operators import trees as TR
 from ..operators.demand import GRADES
-from ..session import scratch_path, stable
+from ..session import models_path, stable
 from ..sources import io as IO
 from ..sources.domain import Tables, clean_loans, deposits, series, volume_panel
 from ..sources.tables import table_path
@@ -329,13 +331,14 @@ def q_flagged_share(spark, d):
 
 # ---- model-backed queries (rows-only check) -------------------------------------------
 
-def _default_split(spark, d):
-    return M.Split(_features(spark, d), M.DEFAULT_FEATURES, "default_flag", "loan_id", balance=True)
+def _default_split(spark, d, tables=None):
+    c = clean_loans(tables or Tables(spark, d))
+    return M.Split(E.prepare_features(c, M.DEFAULT_FEATURES, keep=["loan_id", "default_flag"]), M.DEFAULT_FEATURES, "default_flag", "loan_id", balance=True)
 
 
-def _churn_split(spark, d):
-    c = clean_loans(Tables(spark, d))
-    f = E.prepare_features(c, M.CHURN_FEATURES, keep=["loan_id"]).join(K.churn_label(c).select("loan_id", "churn_flag"), "loan_id")
+def _churn_split(spark, d, tables=None):
+    labelled = K.churn_label(clean_loans(tables or Tables(spark, d)))
+    f = E.prepare_features(labelled, M.CHURN_FEATURES, keep=["loan_id", "churn_flag"])
     return M.Split(f, M.CHURN_FEATURES, "churn_flag", "loan_id", weight_col="weight")
 
 
@@ -346,28 +349,37 @@ def _campaign_split(spark, d):
 
 
 def _keeper(spark, d, tables=("orders", "lineitem", "customer")):
-    """Models are trained once: a fitted model is stored under the shared folder and read back as
+    """Models are trained once: a fitted model is stored in the models folder and read back as
     long as its source tables, its features and all its parameters are the same."""
     def keep(split, est):
         params = split.params(est)
         name = hashlib.sha256(json.dumps([d, params], sort_keys=True, default=str).encode()).hexdigest()
-        return IO.cached_artifact(spark, [table_path(d, t) for t in tables], scratch_path(spark, f"models/{name}"),
+        return IO.cached_artifact(spark, [table_path(d, t) for t in tables], f"{models_path(spark)}/{name}",
                                   lambda: split.fit(est), params)
     return keep
 
 
-def _default_model(spark, d):
-    return _keeper(spark, d)(_default_split(spark, d), M.classifiers()[M.BOOSTED])
+def _default_model(spark, d, tables=None):
+    return _keeper(spark, d)(_default_split(spark, d, tables), M.classifiers()[M.BOOSTED])
 
 
-def _churn_model(spark, d):
-    return _keeper(spark, d)(_churn_split(spark, d), M.classifiers(weight_col="weight")[M.BOOSTED])
+def _churn_model(spark, d, tables=None):
+    return _keeper(spark, d)(_churn_split(spark, d, tables), M.classifiers(weight_col="weight")[M.BOOSTED])
 
 
 def _probability(model, frame, out):
     return M.positive_probability(model.transform(frame)).select("loan_id", F.col("probability_1").alias(out))
 
 
+def score_loans(loans, models):
+    """Every loan's probabilities, an output column for each of ``models``, in one pass over the loans: one frame
+    with the features of all models, to which they are applied in turn. Features are prepared alike for all."""
+    frame = E.prepare_features(loans, M.DEFAULT_FEATURES, keep=["loan_id"])
+    for out, model in models.items():
+        frame = M.positive_probability(model.transform(frame), out).drop("features", "rawPrediction", "probability", "prediction")
+    return frame.select("loan_id", *models)
+
+
 @query("train_default_models")
 def q_train_default_models(spark, d):
     """LR, random forest (200 trees, depth 10, leaf 50) and boosted trees (depth 6, step
@@ -424,11 +436,12 @@ def q_train_grade_models(spark, d):
 
 @query("score_portfolio")
 def q_score_portfolio(spark, d):
-    """Every loan scored with the stored default and churn models, blended and banded."""
-    c = clean_loans(Tables(spark, d))
-    p1 = _probability(_default_model(spark, d), E.prepare_features(c, M.DEFAULT_FEATURES, keep=["loan_id"]), "default_probability")
-    p2 = _probability(_churn_model(spark, d), E.prepare_features(c, M.CHURN_FEATURES, keep=["loan_id"]), "churn_probability")
-    s = K.risk_score_band(p1.join(p2, "loan_id"))
+    """Every loan scored with the stored default and churn models, blended and banded. Models that are not stored
+    yet are fitted side by side."""
+    t = Tables(spark, d)
+    loans = clean_loans(t)
+    default, churn = M.side_by_side([lambda: _default_model(spark, d, t), lambda: _churn_model(spark, d, t)])
+    s = K.risk_score_band(score_loans(loans, {"default_probability": default, "churn_probability": churn}))
     return s.withColumns({"record_id": F.concat(F.lit("L-"), (F.col("loan_id") + 2000).cast("string")),
                           "borrower": F.concat(F.lit("Borrower-"), F.col("loan_id").cast("string"))})
 
@@ -467,7 +480,7 @@ def q_stress_compare_model(spark, d):
 @query("contribution_waterfall_model")
 def q_contribution_waterfall_model(spark, d):
     """Contributions coefficient x (value - mean) to the log-odds of the stored logistic default
-    model, over all its features, as a per-loan waterfall."""
+    model, as a per-loan waterfall of the 12 largest."""
     f = _features(spark, d)
     lr = _keeper(spark, d)(_default_split(spark, d), M.classifiers()["Logistic Regression"]).stages[-1]
     coef = spark.createDataFrame(list(zip(M.DEFAULT_FEATURES, map(float, lr.coefficients.toArray()))), "feature string, beta double")
@@ -475,6 +488,16 @@ def q_contribution_waterfall_model(spark, d):
     return w.select("loan_id", "feature", "step", "contribution", "start", "end")
 
 
+@query("contribution_waterfall_tree")
+def q_contribution_waterfall_tree(spark, d):
+    """Exact contributions of the features to the log-odds of the stored boosted default model: for every loan a
+    waterfall from the model's base to the loan's score, of the 12 largest and one step for the rest."""
+    t = Tables(spark, d)
+    model = _default_model(spark, d, t)
+    f = E.prepare_features(clean_loans(t), M.DEFAULT_FEATURES, keep=["loan_id"])
+    return TR.tree_waterfall(f, "loan_id", M.DEFAULT_FEATURES, TR.Ensemble(TR.node_table(model, spark)))
+
+
 def score_campaign(spark, d, model: str | None = None):
     """Batch propensity of every client by the named stored model (the leaderboard's champion if
     none is named): class, probability, ``Likely Subscribe`` at .6 and the campaign advice text."""
@@ -531,23 +554,25 @@ def q_persona_kmeans(spark, d):
 def q_isolation_forest(spark, d):
     """Forest of 200 isolation trees on standardised deposit features; outlier when the
     decision (score - 3 % quantile) is negative."""
-    s = N.score_deposits(deposits(Tables(spark, d)))
+    s = N.outliers(deposits(Tables(spark, d)))
     return s.select("deposit_id", "iso_score", "iso_decision", "is_outlier")
 
 
 @query("reconstruction_error")
 def q_reconstruction_error(spark, d):
+    """Mean squared error of every deposit's standardised features under a 2-2 autoencoder fitted on all of them."""
     dep = deposits(Tables(spark, d))
     z = M.standard_scale(dep.select("deposit_id", *[F.col(c).cast("double") for c in N.FEATURES]), N.FEATURES)
-    return N.pca_reconstruction_error(z, N.FEATURES).select("deposit_id", "reconstruction_error")
+    z = stable(z, "deposits_scaled")
+    return AE.reconstruction_error(z, N.FEATURES, AE.fit(z, N.FEATURES)).select("deposit_id", "reconstruction_error")
 
 
 @query("reconstruction_threshold")
 def q_reconstruction_threshold(spark, d):
     """The error from which a deposit counts as badly reconstructed (97 % quantile), and how many reach it."""
     dep = deposits(Tables(spark, d))
-    e = stable(N.pca_reconstruction_error(M.standard_scale(dep.select(*[F.col(c).cast("double") for c in N.FEATURES]), N.FEATURES), N.FEATURES)
-               .select("reconstruction_error"), "reconstruction")
+    z = stable(M.standard_scale(dep.select(*[F.col(c).cast("double") for c in N.FEATURES]), N.FEATURES), "deposits_scaled")
+    e = stable(AE.reconstruction_error(z, N.FEATURES, AE.fit(z, N.FEATURES)).select("reconstruction_error"), "reconstruction")
     thr = N.reconstruction_threshold(e)
     return e.crossJoin(F.broadcast(thr)).groupBy("reconstruction_high").agg(
         F.count(F.lit(1)).alias("records"), F.sum((F.col("reconstruction_error") >= F.col("reconstruction_high")).cast("long")).alias("high"))

@@ -58,3 +58,17 @@ def q_stream_hourly_score(spark, d):
     landed = spark.read.parquet(landing)
     out = J.hourly_score(spark, landing, landed.schema, N.thresholds(landed))
     return J.closed_before(out, landed)
+
+
+@query("stream_trailing_frequency", """
+WITH f AS (SELECT event_id AS deposit_id, ts, CAST(count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW) AS INTEGER) AS frequency
+           FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)
+SELECT deposit_id, frequency FROM f WHERE ts < (SELECT max(ts) - INTERVAL 2 HOUR FROM events)""")
+def q_stream_trailing_frequency(spark, d):
+    """The 24 h deposit count of every arriving deposit, kept up by state and timers; equals the batch ``frequency``
+    of the deposits that the stream's last watermark has passed."""
+    ev = Tables(spark, d).events.select(F.col("event_id").alias("deposit_id"), "user_id", "ts")
+    landing = J.land(ev, "trailing", files=8, order="ts")
+    out = J.trailing_frequency(spark, landing, spark.read.parquet(landing).schema)
+    closed = ev.crossJoin(F.broadcast(ev.agg((F.max("ts") - F.expr("INTERVAL 2 HOURS")).alias("_wm")))).filter("ts < _wm")
+    return out.join(closed.select("deposit_id"), "deposit_id")

@@ -70,6 +70,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tables/{name}"
 
 
+def models_path(spark: SparkSession) -> str:
+    """The folder of fitted models: ``spark.ledgerlark.models.dir`` where it is set, else a folder of the
+    warehouse if the session names one, so models outlast the session; else under the checkpoint dir."""
+    named = spark.conf.get("spark.ledgerlark.models.dir", None)
+    if named:
+        return named.rstrip("/")
+    if spark.sparkContext.getConf().contains("spark.sql.warehouse.dir"):
+        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/ledgerlark_models"
+    return scratch_path(spark, "models")
+
+
 def stable(df: DataFrame, name: str = "stable") -> DataFrame:
     """Cut lineage reliably (survives executor loss) so ids/ranks computed from
     partition layout stay fixed when downstream stages are retried.

@@ -2,57 +2,114 @@
 
 Each job reads a landing folder of Parquet files with ``readStream`` (a file source
 needs a folder; the queries land the shared tables there first), writes to a Parquet
-sink with its own
-checkpoint location under the shared checkpoint folder, and runs with
-``trigger(availableNow=True)`` so a run processes everything present and stops.
-Restarting from the same checkpoint resumes exactly where the last run stopped.
+sink with its own checkpoint location under the shared checkpoint folder, and runs with
+``trigger(availableNow=True)``: everything present is processed in micro-batches of a few
+files, then the run stops. Restarting from the same checkpoint resumes exactly where the last
+run stopped. Files are landed in event-time order, so a watermark that an earlier batch sets makes
+no row of a later batch late. State is kept in RocksDB, on the executors' disks and in the
+checkpoint, and is bounded by what the watermark has not yet closed.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import anomaly as N
 from ..session import scratch_path
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Landed files that a micro-batch takes.
+FILES_PER_TRIGGER = 2
+
 
 def land(df: DataFrame, name: str, files: int = 8, order: str | None = None) -> str:
-    """Write ``df`` as ``files`` Parquet files in a fresh landing folder; returns it."""
-    path = scratch_path(df.sparkSession, f"landing/{name}-{uuid.uuid4().hex}")
+    """Write ``df`` as ``files`` Parquet files in a fresh landing folder; returns it. With ``order`` the
+    files are ranges of that column, and their times make the stream read them in its order."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"landing/{name}-{uuid.uuid4().hex}")
     out = df.repartitionByRange(files, order) if order else df.repartition(files)
     out.write.mode("overwrite").parquet(path)
+    if order:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        parts = sorted((f for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")), key=lambda f: f.getPath().getName())
+        for k, f in enumerate(parts):  # part numbers follow the ranges
+            fs.setTimes(f.getPath(), f.getModificationTime() - 1000 * (len(parts) - k), -1)
     return path
 
 
-def _run(query_df: DataFrame, name: str, mode: str = "append", files_per_trigger: int | None = None) -> str:
-    spark = query_df.sparkSession
-    base = scratch_path(spark, f"streams/{name}-{uuid.uuid4().hex}")
-    w = (query_df.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out")
-         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True))
-    q = w.start()
-    q.awaitTermination()
+def read_landing(spark: SparkSession, landing: str, schema, files_per_trigger: int | None) -> DataFrame:  # noqa: ANN001
+    """The landed files as a stream; None takes all that are present in one micro-batch."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(landing)
+
+
+def stream_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for a job's sink and checkpoint."""
+    return scratch_path(spark, f"streams/{name}-{uuid.uuid4().hex}")
+
+
+def _finish(writer, base: str):  # noqa: ANN001, ANN202
+    """Runs a stream over all that is present, with its state in RocksDB; returns the ended query."""
+    spark = writer._spark
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        q = writer.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
+    return q
+
+
+def _run(query_df: DataFrame, name: str, mode: str = "append", base: str | None = None) -> str:
+    base = base or stream_folder(query_df.sparkSession, name)
+    _finish(query_df.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out"), base)
     return f"{base}/out"
 
 
-def deposit_scan(spark: SparkSession, landing: str, schema, thresholds: DataFrame) -> DataFrame:
+def batch_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that writes every micro-batch to a folder of its own, named by the batch's
+    id and replaced as a whole: a batch that is replayed after a failure leaves its rows once."""
+    def write(rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    return write
+
+
+def run_batches(query_df: DataFrame, base: str) -> DataFrame:
+    """Runs a stream through :func:`batch_sink` under ``base`` and reads the sink; it may be called again with the
+    same folder to go on."""
+    spark = query_df.sparkSession
+    _finish(query_df.writeStream.outputMode("append").foreachBatch(batch_sink(f"{base}/out")), base)
+    return spark.read.schema(query_df.schema).parquet(f"{base}/out/*") if _exists(spark, f"{base}/out") else spark.createDataFrame([], query_df.schema)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+
+
+def deposit_scan(spark: SparkSession, landing: str, schema, thresholds: DataFrame, base: str | None = None,  # noqa: ANN001
+                 files_per_trigger: int | None = FILES_PER_TRIGGER) -> DataFrame:
     """Score arriving deposits with the rule flags (stateless): a stream-static join with
-    the one-row threshold table computed from history."""
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(landing)
+    the one-row threshold table computed from history, written batch by batch by ``foreachBatch``."""
+    src = read_landing(spark, landing, schema, files_per_trigger)
     scored = N.rule_flags(src, thresholds)
-    out = _run(scored.select("deposit_id", "flag_amount", "flag_hour", "flag_frequency", "rule_reasons"), "deposit_scan")
-    return spark.read.parquet(out)
+    return run_batches(scored.select("deposit_id", "flag_amount", "flag_hour", "flag_frequency", "rule_reasons"), base or stream_folder(spark, "deposit_scan"))
 
 
-def hourly_trend(spark: SparkSession, landing: str, schema, delay: str = "2 hours") -> DataFrame:
+def hourly_trend(spark: SparkSession, landing: str, schema, delay: str = "2 hours", files_per_trigger: int | None = FILES_PER_TRIGGER) -> DataFrame:
     """Mean value and count per event hour; rows later than the watermark are dropped;
-    append mode emits a window once the watermark passes its end. Files landed together
-    have no arrival order, so the stateful jobs take what is present in one micro-batch
-    (a later batch would otherwise treat an earlier-listed newer file's rows as on time
-    and an older file's rows as late)."""
-    src = spark.readStream.schema(schema).parquet(landing)
+    append mode emits a window once the watermark passes its end."""
+    src = read_landing(spark, landing, schema, files_per_trigger)
     ev = src.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     agg = ev.groupBy(F.window("ts", "1 hour")).agg(F.count(F.lit(1)).alias("events"),
                                                   F.sum(F.col("value").cast("decimal(18,2)")).alias("_sum"))
@@ -64,10 +121,11 @@ def hourly_trend(spark: SparkSession, landing: str, schema, delay: str = "2 hour
                     (F.col("_sum").cast("double") / F.col("events")).alias("avg_value"))
 
 
-def hourly_score(spark: SparkSession, landing: str, schema, thresholds: DataFrame, delay: str = "2 hours") -> DataFrame:
+def hourly_score(spark: SparkSession, landing: str, schema, thresholds: DataFrame, delay: str = "2 hours",
+                 files_per_trigger: int | None = FILES_PER_TRIGGER) -> DataFrame:
     """Mean rule score of arriving deposits per event hour; rows later than the watermark are
     dropped. Flags are summed as whole numbers, so the mean does not depend on the order."""
-    src = spark.readStream.schema(schema).parquet(landing)
+    src = read_landing(spark, landing, schema, files_per_trigger)
     ev = src.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     raised = sum(F.col(c).cast("long") for c in ("flag_amount", "flag_hour", "flag_frequency"))
     agg = N.rule_flags(ev, thresholds).groupBy(F.window("ts", "1 hour")).agg(
@@ -80,10 +138,10 @@ def hourly_score(spark: SparkSession, landing: str, schema, thresholds: DataFram
                     (F.col("_raised") / (3.0 * F.col("events"))).alias("avg_score"))
 
 
-def frequency_24h(spark: SparkSession, landing: str, schema, delay: str = "2 hours") -> DataFrame:
-    """Deposits per user in sliding 24 h windows every hour (the model's ``frequency``
-    input), with a watermark so state for closed windows is dropped."""
-    src = spark.readStream.schema(schema).parquet(landing)
+def frequency_24h(spark: SparkSession, landing: str, schema, delay: str = "2 hours", files_per_trigger: int | None = FILES_PER_TRIGGER) -> DataFrame:
+    """Deposits per user in sliding 24 h windows every hour, with a watermark so state for closed
+    windows is dropped."""
+    src = read_landing(spark, landing, schema, files_per_trigger)
     ev = src.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     agg = ev.groupBy("user_id", F.window("ts", "24 hours", "1 hour")).agg(F.count(F.lit(1)).alias("deposits"))
     out = _run(agg.select("user_id", F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
@@ -93,6 +151,80 @@ def frequency_24h(spark: SparkSession, landing: str, schema, delay: str = "2 hou
                     F.col("window_end").cast("timestamp_ntz").alias("window_end"), "deposits")
 
 
+class TrailingCount(StatefulProcessor):
+    """For every event of a key, how many of its events lie in the ``seconds`` up to it, ties included: the
+    ``frequency`` that the deposit models read, one count per event.
+
+    A key's state is its events by time: those still to be counted and those of the last ``seconds`` before
+    them. An event is counted once the watermark has passed it, when nothing before it can still arrive; a
+    timer at the earliest open event wakes the key. When nothing is open, a timer ``seconds`` after the
+    last event drops the rest, so keys that fall silent leave no state."""
+
+    def __init__(self, seconds: int):
+        self.span = seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.events = handle.getListState("events", "us long, event_id long, open boolean")
+        self.passed = handle.getValueState("passed", "us long")
+
+    def _held(self) -> pd.DataFrame:
+        return pd.DataFrame(list(self.events.get()), columns=["us", "event_id", "open"])
+
+    def _wake(self, held: pd.DataFrame) -> None:
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if len(held):
+            at = held.loc[held["open"], "us"].min() if held["open"].any() else held["us"].max() + self.span
+            self.handle.registerTimer(int(at) // 1000 + 1)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        passed = self.passed.get()[0] if self.passed.exists() else None
+        come = []
+        for part in rows:
+            part = part[["us", "event_id"]].dropna()
+            if passed is not None:
+                part = part[part["us"] > passed]  # later than the watermark: counts before it are out
+            come += [(int(u), int(e), True) for u, e in zip(part["us"], part["event_id"])]
+        if come:
+            self.events.appendList(come)
+            self._wake(self._held())
+        yield pd.DataFrame({"event_id": pd.Series(dtype="int64"), "frequency": pd.Series(dtype="int32")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        upto = timerValues.getCurrentWatermarkInMs() * 1000
+        held = self._held().sort_values(["us", "event_id"], ignore_index=True)
+        us = held["us"].to_numpy(np.int64)
+        ready = held["open"].to_numpy(bool) & (us <= upto)
+        count = np.searchsorted(us, us[ready], "right") - np.searchsorted(us, us[ready] - self.span, "left")
+        yield pd.DataFrame({"event_id": held.loc[ready, "event_id"].to_numpy(np.int64), "frequency": count.astype(np.int32)})
+        held["open"] = held["open"].to_numpy(bool) & ~ready
+        # the next event to be counted is after the watermark, and so are all that come later
+        held = held[held["open"] | (us >= upto + 1 - self.span)]
+        self.passed.update((int(upto),))
+        if len(held):
+            self.events.put([(int(u), int(e), bool(o)) for u, e, o in held.itertuples(index=False)])
+        else:
+            self.events.clear()
+            self.passed.clear()
+        self._wake(held)
+
+    def close(self) -> None:
+        pass
+
+
+def trailing_frequency(spark: SparkSession, landing: str, schema, seconds: int = 86_400, delay: str = "2 hours", base: str | None = None,  # noqa: ANN001
+                       files_per_trigger: int | None = FILES_PER_TRIGGER) -> DataFrame:
+    """(deposit_id, frequency) of every arriving deposit that the watermark has passed, see :class:`TrailingCount`.
+    It may be called again with the same ``base`` after more files have landed, or after a failure."""
+    src = read_landing(spark, landing, schema, files_per_trigger).filter("user_id is not null and ts is not null")
+    ev = src.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    ev = ev.select("ts", F.col("user_id").cast("long").alias("user_id"), F.unix_micros("ts").alias("us"), F.col("deposit_id").cast("long").alias("event_id"))
+    counted = ev.groupBy("user_id").transformWithStateInPandas(TrailingCount(seconds), "event_id long, frequency int", "Append", "EventTime")
+    out = run_batches(counted, base or stream_folder(spark, "trailing_frequency"))
+    return out.select(F.col("event_id").alias("deposit_id"), "frequency")
+
+
 def closed_before(df: DataFrame, history: DataFrame, ts: str = "ts", delay_hours: int = 2) -> DataFrame:
     """Keep windows whose end is at or before max(ts) - delay: the ones a finished stream
     has emitted, for comparing with the batch twin."""
