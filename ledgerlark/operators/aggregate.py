@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ranking as R
+from .joins import lookup
 from ..functions import expr as X
 from .clean import require_columns
 
@@ -110,26 +111,6 @@ def location_mode(tx: DataFrame, cid: str = "CustomerID", loc: str = "CustLocati
     return counts.groupBy(cid).agg(F.min_by(F.col(loc), F.struct(-F.col("_n"), F.col(loc))).alias(loc))
 
 
-def rfm_customer(tx: DataFrame) -> DataFrame:
-    """Per customer: last date, count, sum, mean balance, exact median age; recency in
-    days against the latest transaction; NULL median age -> median of the medians."""
-    agg = tx.groupBy("CustomerID").agg(
-        F.max("TransactionDate").alias("LastTransactionDate"),
-        F.count("TransactionAmount").alias("Frequency"),
-        F.sum("TransactionAmount").alias("Monetary"),
-        F.avg("CustAccountBalance").alias("AvgAccountBalance"),
-    )
-    med_age = R.group_quantiles(tx, ["CustomerID"], "Age", {"MedianAge": 0.5})
-    cust = agg.join(med_age, "CustomerID", "left").join(location_mode(tx), "CustomerID", "left")
-    ref = tx.agg(F.max("TransactionDate").alias("_ref"))
-    fill = R.scalar_quantiles(cust, "MedianAge", {"_age_fill": 0.5})
-    cust = cust.crossJoin(F.broadcast(ref)).crossJoin(F.broadcast(fill))  # one-row scalars
-    return cust.select(
-        "CustomerID", "LastTransactionDate", "Frequency", "Monetary", "AvgAccountBalance",
-        F.coalesce("MedianAge", "_age_fill").alias("MedianAge"), "CustLocationNorm",
-        F.datediff("_ref", "LastTransactionDate").alias("Recency"))
-
-
 def pipeline_summary(tx: DataFrame, customers: DataFrame, anomalies: DataFrame) -> DataFrame:
     """Single row: transactions, distinct customers, vital-few share, anomaly share."""
     a = tx.agg(F.count(F.lit(1)).alias("transactions"), F.countDistinct("CustomerID").alias("customers"))
@@ -181,7 +162,7 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     pear = df.agg(*[F.corr(a, b).alias(f"{a}__{b}") for a, b in pairs])
     ranked = df.select(*cols)
     for c in cols:
-        ranked = ranked.join(average_rank(df, c), c, "left")
+        ranked = lookup(ranked, average_rank(df, c), [c])
     spear = ranked.agg(*[F.corr(f"_r_{a}", f"_r_{b}").alias(f"{a}__{b}") for a, b in pairs])
     stack_p = ", ".join(f"'{a}', '{b}', `{a}__{b}`" for a, b in pairs)
     p_long = pear.select(F.expr(f"stack({len(pairs)}, {stack_p}) AS (col_a, col_b, pearson)"))

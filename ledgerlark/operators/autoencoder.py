@@ -1,35 +1,29 @@
 """A small autoencoder fitted on whole tables.
 
 Layers of a few units (2 and 2 by default) with rectifiers between them, a linear output, squared error and a
-weight penalty. One pass over the rows gives the loss and its gradient: every Arrow batch sums its rows' terms as
-whole numbers of ``UNIT``, and Spark adds them up exactly, so the sums depend neither on the number of partitions
-nor on their order and reruns agree. The driver holds only the parameters (a few dozen numbers) and takes limited-
+weight penalty. One pass over the rows gives the loss and its gradient as exact sums (:mod:`.passes`), so reruns
+agree on any partitioning. The driver holds only the parameters (a few dozen numbers) and takes limited-
 memory quasi-Newton steps with a line search. Several starts are fitted in the same passes, since a narrow
 rectified layer can lose its units; the one with the lowest loss stays.
 """
 
 from __future__ import annotations
 
-from collections.abc import Generator, Iterator
+from collections.abc import Generator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stable
-from .ml import few_tasks
+from .passes import exact_sums, few_tasks
 
 # The settings of the original network.
 HIDDEN, MAX_PASSES, PENALTY, SEED = (2, 2), 500, 1e-4, 42
 STARTS = 4
-#: Terms are summed as multiples of this.
-UNIT = 2.0 ** -26
 #: A fit ends after this many steps in a row that lower the loss by less than this (the original's tolerance).
 PATIENCE, TOLERANCE = 5, 1e-4
-#: Up to so many parts their sums go straight to the driver, a row each; beyond, Spark adds them up first.
-PARTS = 256
 
 
 @dataclass
@@ -136,23 +130,11 @@ def fit(scaled: DataFrame, features: list[str], hidden: tuple[int, ...] = HIDDEN
     matrix = np.concatenate([np.full(int(np.prod(s)), len(s) == 2) for s in _shapes(sizes)])  # only weights are penalised
 
     def summed(at: list[np.ndarray]) -> list[tuple[float, np.ndarray]]:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = [[0] * (1 + len(at[0])) for _ in at]
-            for b in batches:
-                x = np.column_stack([b.column(f).to_numpy() for f in features])
-                for start, flat in enumerate(at):
-                    for i in range(0, len(x), 4096):
-                        loss, grad = terms(x[i : i + 4096], flat, sizes)
-                        whole = np.rint(np.column_stack([loss, grad]) / UNIT).astype(np.int64).sum(axis=0)
-                        total[start] = [t + int(w) for t, w in zip(total[start], whole)]
-            yield pa.RecordBatch.from_arrays([pa.array([[str(t) for own in total for t in own]], pa.list_(pa.string()))], names=["sums"])
-
-        found = rows.mapInArrow(run, "sums array<string>")
-        if parts > PARTS:
-            each = found.select(F.posexplode("sums").alias("k", "v")).groupBy("k").agg(F.sum(F.col("v").cast("decimal(38,0)")).cast("string").alias("v"))
-            found = each.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda r: r["v"]).alias("sums"))
-        whole = [sum(map(int, c)) for c in zip(*(r.sums for r in found.collect()))]  # a row for each part, of a few dozen numbers
-        sums = (np.array([float(w) for w in whole]) * UNIT / n).reshape(len(at), -1)
+        def of_rows(x: np.ndarray) -> np.ndarray:
+            each = (terms(x, flat, sizes) for flat in at)
+            return np.concatenate([part for loss, grad in each for part in (loss[:, None], grad)], axis=1)
+
+        sums = (exact_sums(rows, features, of_rows, parts) / n).reshape(len(at), -1)
         return [(own[0] + 0.5 * PENALTY / n * float((flat[matrix] ** 2).sum()), own[1:] + PENALTY / n * flat * matrix) for own, flat in zip(sums, at)]
 
     losses: list[list[float]] = [[] for _ in points]

@@ -5,11 +5,14 @@ from __future__ import annotations
 import re
 from itertools import chain
 
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
+from ..session import stable
 from . import ranking as R
+from .joins import lookup
 
 # Category codes used at serving time.
 CATEGORY_MAPS: dict[str, dict[str, int]] = {
@@ -31,6 +34,7 @@ AGE_BINS = ([0, 30, 45, 60, 120], ["Young", "Adult", "Mid", "Senior"])
 BALANCE_BINS = ([-5000, 0, 1500, 5000, 100000], ["Negative", "Low", "Medium", "High"])
 DURATION_BINS = ([0, 180, 600, 2000, 10000], ["Short", "Medium", "Long", "VeryLong"])
 
+# The campaign features that models read, and the binned ones.
 CAMPAIGN_FEATURES = ["job", "marital", "education", "default", "housing", "loan", "contact", "month", "day", "campaign",
                      "pdays", "previous", "poutcome"]
 BIN_FEATURES = ["age_category", "balance_category", "duration_category"]
@@ -92,12 +96,13 @@ def label_codes_all(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def label_encode(df: DataFrame, cols: list[str]) -> DataFrame:
     """Alphabetical 0-based codes refit on the data for every column in ``cols``."""
-    codes = label_codes_all(df, cols)
+    codes = stable(label_codes_all(df, cols), "label_codes")
+    rows = codes.count()
     out = df
     for c in cols:
         cc = codes.filter(F.col("_c") == c).drop("_c")
-        out = (out.withColumn("_lv", F.coalesce(F.col(c).cast("string"), F.lit("nan")))
-               .join(cc, "_lv", "left").drop("_lv", c).withColumnRenamed("_code", c))
+        out = out.withColumn("_lv", F.coalesce(F.col(c).cast("string"), F.lit("nan")))
+        out = lookup(out, cc, ["_lv"], rows=rows).drop("_lv", c).withColumnRenamed("_code", c)
     return out
 
 
@@ -157,13 +162,81 @@ def one_hot(df: DataFrame, cat_cols: list[str], pass_cols: list[str], keep: list
     return df.select(*sel), feats
 
 
-def campaign_design(campaign: DataFrame, pairs: list[tuple[str, str]] | None = None) -> tuple[DataFrame, list[str]]:
-    """Campaign table -> (client_id, target, one-hot features) and the feature list."""
+def category_table(df: DataFrame, cat_cols: list[str], first: int = 0) -> DataFrame:
+    """The dictionary of a one-hot design: (column, value, feature, place, index) for every distinct value of every
+    column, in column order and sorted value order. place counts within a column, index over all from ``first`` on.
+    A table, so the number of categories is not bounded by columns or by the driver."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("_k"), F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for i, c in enumerate(cat_cols)])
+    each = df.select(F.inline(pairs)).filter("value is not null").distinct()
+    placed = R.global_row_number(each, [F.col("_k"), F.col("value")], out="_rn")
+    low = placed.groupBy("_k").agg(F.min("_rn").alias("_low"))  # a row for each column
+    placed = placed.join(F.broadcast(low), "_k")
+    return stable(placed.select("column", "value", F.concat_ws("_", "column", "value").alias("feature"), (F.col("_rn") - F.col("_low")).alias("place"),
+                                (F.col("_rn") - 1 + first).cast("long").alias("index")), "categories")
+
+
+def sparse_design(df: DataFrame, cat_cols: list[str], pass_cols: list[str], keep: list[str] | None = None, table: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(frame, dictionary): ``keep`` columns and a vector ``features``, first the ``pass_cols`` as numbers (null: 0), then a
+    1 for each category that the row has, placed by the dictionary (:func:`category_table`, made if not given). The
+    vectors are sparse: a row has as many entries as features, whatever the number of categories. A missing
+    value and one that the dictionary does not have give no entry."""
+    table = category_table(df, cat_cols, len(pass_cols)) if table is None else table
+    sizes = {r["column"]: r["n"] for r in table.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each column
+    total = sum(sizes.values())
+    out = df.select(*(keep or []), *[F.coalesce(X.safe_numeric(F.col(c), 0.0), F.lit(0.0)).alias(f"_n_{i}") for i, c in enumerate(pass_cols)], *[F.col(c).cast("string").alias(f"_v_{i}") for i, c in enumerate(cat_cols)])
+    vectors = []
+    for i, c in enumerate(cat_cols):
+        if not sizes.get(c):
+            continue
+        own = table.filter(F.col("column") == c).select(F.col("value").alias(f"_v_{i}"), F.col("place").cast("double").alias("_p"))
+        out = lookup(out, own, [f"_v_{i}"], rows=total)
+        # one place more than there are categories: dropped as the last, so a row without a category has no entry
+        levels = {"ml_attr": {"type": "nominal", "num_vals": sizes[c] + 1}}
+        out = out.withColumn(f"_p_{i}", F.coalesce("_p", F.lit(float(sizes[c]))).alias(f"_p_{i}", metadata=levels)).drop("_p")
+        vectors.append(i)
+    if vectors:
+        encoder = OneHotEncoder(inputCols=[f"_p_{i}" for i in vectors], outputCols=[f"_o_{i}" for i in vectors], dropLast=True)
+        out = encoder.fit(out).transform(out)
+    parts = [f"_n_{i}" for i in range(len(pass_cols))] + [f"_o_{i}" for i in vectors]
+    out = VectorAssembler(inputCols=parts, outputCol="features").transform(out)
+    return out.select(*(keep or []), "features"), table
+
+
+def sparse_entries(design: DataFrame, table: DataFrame, pass_cols: list[str], keep: list[str]) -> DataFrame:
+    """The entries of a sparse design that are not 0 as rows: ``keep`` columns, feature, value."""
+    v = F.unwrap_udt("features")
+    places = F.when(v["type"] == 0, v["indices"]).otherwise(F.sequence(F.lit(0), F.size(v["values"]) - 1))
+    each = design.select(*keep, F.inline(F.arrays_zip(places.alias("index"), v["values"].alias("value")))).filter("value <> 0")
+    spark = design.sparkSession
+    names = table.select(F.col("index").cast("int").alias("index"), "feature")
+    if pass_cols:
+        names = names.union(spark.createDataFrame(list(enumerate(pass_cols)), "index int, feature string"))
+    return lookup(each, names, ["index"], "inner").select(*keep, "feature", "value")
+
+
+def feature_means(design: DataFrame, table: DataFrame, pass_cols: list[str]) -> DataFrame:
+    """(feature, mean) over all rows of a sparse design; a feature without entries has mean 0."""
+    n = design.agg(F.count(F.lit(1)).alias("_n"))
+    spark = design.sparkSession
+    names = table.select("feature")
+    if pass_cols:
+        names = names.union(spark.createDataFrame([(c,) for c in pass_cols], "feature string"))
+    total = sparse_entries(design, table, pass_cols, []).groupBy("feature").agg(F.sum("value").alias("_s"))
+    out = names.join(total, "feature", "left").crossJoin(F.broadcast(n))
+    return out.select("feature", (F.coalesce("_s", F.lit(0.0)) / F.nullif(F.col("_n"), F.lit(0))).alias("mean"))
+
+
+def campaign_columns(campaign: DataFrame) -> tuple[DataFrame, list[str], list[str]]:
+    """(binned campaign rows with ``target``, category columns, number columns) of the campaign design."""
     data = bin_features(campaign).withColumn("target", F.when(F.col("y") == "yes", 1).otherwise(0))
     types = dict(data.dtypes)
     cols = BIN_FEATURES + [c for c in CAMPAIGN_FEATURES if c in data.columns]
-    cats = [c for c in cols if types[c] == "string"]
-    nums = [c for c in cols if types[c] != "string"]
+    return data, [c for c in cols if types[c] == "string"], [c for c in cols if types[c] != "string"]
+
+
+def campaign_design(campaign: DataFrame, pairs: list[tuple[str, str]] | None = None) -> tuple[DataFrame, list[str]]:
+    """Campaign table -> (client_id, target, one-hot features) and the feature list."""
+    data, cats, nums = campaign_columns(campaign)
     keep = [k for k in ["client_id", "target"] if k in data.columns]
     return one_hot(data, cats, nums, keep=keep, pairs=pairs, safe_names=True)
 

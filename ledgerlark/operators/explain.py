@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import expr as X
+
 
 def long_form(df: DataFrame, id_col: str, features: list[str]) -> DataFrame:
     st = ", ".join(f"'{f}', CAST(`{f}` AS DOUBLE)" for f in features)
@@ -34,7 +36,7 @@ def driver_text(importance: DataFrame, n: int = 4) -> DataFrame:
     """``Name (12.3%)`` for the top n drivers, humanised (underscores -> spaces, title case)."""
     top = top_features(importance, n)
     txt = F.concat(F.initcap(F.regexp_replace("feature", "_", " ")), F.lit(" ("),
-                   F.format_string("%.1f", F.col("importance") * 100), F.lit("%)"))
+                   F.format_string("%.1f", X.rnd(F.col("importance") * 100, 1)), F.lit("%)"))
     return top.select("feature", "importance", txt.alias("driver"))
 
 

@@ -12,10 +12,11 @@ from collections.abc import Callable
 from functools import cached_property
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from ..functions import expr as X
 from ..session import stable
 from . import ranking as R
+from .joins import lookup
+from .passes import exact_sums, few_tasks
 from .resample import smote
 
 # The model feature lists.
@@ -194,15 +197,6 @@ def model_importance(model: PipelineModel, features: list[str]) -> list[tuple[st
     return [(f, v / s) for f, v in zip(features, vals)]
 
 
-#: Rows that are worth a task of their own in the many short jobs of a fit.
-ROWS_PER_TASK = 50_000
-
-
-def few_tasks(df: DataFrame) -> DataFrame:
-    """A written table in no more partitions than its rows are worth; large tables stay as they are."""
-    return df.coalesce(max(1, -(-df.count() // ROWS_PER_TASK)))
-
-
 def side_by_side(jobs: list[Callable]) -> list:
     """The results of jobs that run at the same time: a fit is a row of short jobs that leave cores idle."""
     with ThreadPool(len(jobs)) as pool:
@@ -264,18 +258,111 @@ def leaderboard(metrics: DataFrame) -> DataFrame:
     return metrics.withColumn("rank", rn).withColumn("champion", F.col("rank") == 1)
 
 
+#: Rows (those with the smallest hashes) from which first centres are drawn, and the shift below which a start rests.
+KMEANS_SAMPLE, KMEANS_SHIFT = 20_000, 1e-4
+
+
+def _first_centres(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++: each next centre is drawn in proportion to the squared distance to the nearest one so far."""
+    rng = np.random.default_rng(seed)
+    centres = [sample[rng.integers(len(sample))]]
+    while len(centres) < k:
+        far = ((sample[:, None, :] - np.array(centres)[None]) ** 2).sum(axis=2).min(axis=1)
+        centres.append(sample[rng.choice(len(sample), p=far / far.sum())] if far.sum() > 0 else sample[rng.integers(len(sample))])
+    return np.array(centres)
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    far = np.stack([((x - c) ** 2).sum(axis=1) for c in centres], axis=1)
+    return far.argmin(axis=1), far.min(axis=1)
+
+
 def kmeans_best(df: DataFrame, features: list[str], k: int = 4, n_init: int = 20, seed: int = 42):
-    """K-means keeping the lowest-cost of ``n_init`` seeded runs (k >= 2)."""
+    """(centres, cost, rows with their ``Cluster``) of the best of ``n_init`` starts (k >= 2). All starts move in the
+    same passes: one pass gives the centre sums, counts and costs of every start that has not come to rest, as
+    exact sums, so ``n_init`` starts cost as many jobs as the longest of them. Rows with a missing feature take
+    no part and get no cluster. First centres are drawn from a bounded sample; a cluster that
+    loses all its rows keeps its centre."""
     if k < 2:
         raise ValueError("k must be >= 2 for K-Means clustering")
-    # n_init fits read the same rows: compute them once (shared checkpoint folder)
-    vec = stable(assembler(features).transform(df), "kmeans_input")
-    best = None
-    for i in range(n_init):
-        m = KMeans(k=k, maxIter=KMEANS_ITER, seed=seed + i, featuresCol="features", predictionCol="Cluster").fit(vec)
-        if best is None or m.summary.trainingCost < best.summary.trainingCost:
-            best = m
-    return best, best.transform(vec).drop("features")
+    df = stable(df, "kmeans_input")
+    rows = few_tasks(df.select(*[F.col(f).cast("double").alias(f) for f in features]).dropna())
+    parts = rows.rdd.getNumPartitions()
+    sample = rows.orderBy(F.xxhash64(*features), *features).limit(KMEANS_SAMPLE).toPandas().to_numpy(float)
+    if not len(sample):
+        return np.zeros((k, len(features))), 0.0, df.withColumn("Cluster", F.lit(None).cast("int"))
+    at = {s: _first_centres(sample, k, seed + s) for s in range(n_init)}
+    rest: dict[int, tuple[float, np.ndarray]] = {}
+    width = k * (len(features) + 1) + 1
+
+    def of_rows(x: np.ndarray, moving: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(x), len(moving) * width))
+        for s, centres in enumerate(moving):
+            own, cost = _nearest(x, centres)
+            member = own[:, None] == np.arange(k)
+            out[:, s * width : (s + 1) * width] = np.column_stack([(member[:, :, None] * x[:, None, :]).reshape(len(x), -1), member, cost])
+        return out
+
+    for turn in range(KMEANS_ITER + 1):
+        moving = list(at.values())
+        sums = exact_sums(rows, features, lambda x, moving=moving: of_rows(x, moving), parts).reshape(len(at), width)
+        for s, own in zip(list(at), sums):
+            total, count, cost = own[: k * len(features)].reshape(k, -1), own[-k - 1 : -1], float(own[-1])
+            new = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], at[s])
+            if np.sqrt(((new - at[s]) ** 2).sum(axis=1)).max() <= KMEANS_SHIFT or turn == KMEANS_ITER:
+                rest[s] = (cost, at.pop(s))
+            else:
+                at[s] = new
+        if not at:
+            break
+    best = min(rest, key=lambda s: (rest[s][0], s))
+    cost, centres = rest[best]
+    far = F.array(*[sum(((F.col(f) - float(c)) * (F.col(f) - float(c)) for f, c in zip(features, centre)), F.lit(0.0)) for centre in centres])
+    return centres, cost, df.withColumn("_far", far).withColumn("Cluster", (F.array_position("_far", F.array_min("_far")) - 1).cast("int")).drop("_far")
+
+
+def linear_by_group(train: DataFrame, group: str, features: list[str], label: str = "label", ridge: float = 1e-6) -> DataFrame:
+    """(group, intercept, coefficients) of every group's least squares, from one aggregate: the sums of all products of
+    features and label per group are its normal equations; they are solved, standardised, where they lie.
+    The tiny ridge decides between collinear features. Rows with a null take no part."""
+    cols = [*features, label]
+    m = len(cols)
+    rows = train.select(group, *[F.col(c).cast("double").alias(c) for c in cols]).dropna()
+    # products of differences from the whole table's means: no digits are lost to large values such as years
+    mean = rows.agg(*[F.avg(c).alias(f"_m{i}") for i, c in enumerate(cols)])
+    rows = rows.crossJoin(F.broadcast(mean)).select(group, *[(F.col(c) - F.col(f"_m{i}")).alias(f"_d{i}") for i, c in enumerate(cols)], *mean.columns)
+    pairs = [(i, j) for i in range(m) for j in range(i, m)]
+    sums = rows.groupBy(group).agg(F.count(F.lit(1)).cast("double").alias("n"), F.array(*[F.first(c) for c in mean.columns]).alias("means"),
+                                   F.array(*[F.sum(f"_d{i}") for i in range(m)]).alias("one"), F.array(*[F.sum(F.col(f"_d{i}") * F.col(f"_d{j}")) for i, j in pairs]).alias("two"))
+
+    @F.pandas_udf("array<double>")
+    def solved(n: pd.Series, means: pd.Series, one: pd.Series, two: pd.Series) -> pd.Series:
+        out = []
+        for c, mu, s1, s2 in zip(n, means, one, two):
+            centre = np.asarray(s1) / c
+            cov = np.zeros((m, m))
+            for (i, j), v in zip(pairs, s2):
+                cov[i, j] = cov[j, i] = v / c - centre[i] * centre[j]
+            scale = np.sqrt(np.maximum(np.diag(cov)[:-1], 0.0))
+            scale[scale <= 1e-12 * (1 + np.abs(centre[:-1]))] = np.inf  # a feature that does not vary has no part
+            beta = np.linalg.solve(cov[:-1, :-1] / np.outer(scale, scale) + ridge * np.eye(m - 1), cov[:-1, -1] / scale) / scale
+            at = np.asarray(mu) + centre
+            out.append(np.append(beta, at[-1] - beta @ at[:-1]))
+        return pd.Series(out)
+
+    fit_ = sums.select(group, solved("n", "means", "one", "two").alias("_b"))
+    return fit_.select(group, F.get("_b", F.lit(m - 1)).alias("intercept"), F.slice("_b", 1, m - 1).alias("coefficients"))
+
+
+def evaluate_linear_by_group(train: DataFrame, test: DataFrame, group: str, features: list[str], name: str = "Linear Regression") -> DataFrame:
+    """(group, model, mape, rmse) of :func:`linear_by_group` on ``test``, in one job for all groups."""
+    model = linear_by_group(train, group, features)
+    both = lookup(test, model, [group], "inner")
+    value = sum((F.get("coefficients", F.lit(i)) * F.col(f) for i, f in enumerate(features)), F.col("intercept"))
+    pred = both.withColumn("prediction", value)
+    err = F.col("label") - F.col("prediction")
+    return pred.groupBy(group).agg(X.rnd(F.avg(F.abs(err) / F.greatest(F.abs(F.col("label")), F.lit(1e-6))) * 100, 4).alias("mape"),
+                                   X.rnd(F.sqrt(F.avg(err * err)), 4).alias("rmse")).select(group, F.lit(name).alias("model"), "mape", "rmse")
 
 
 def linear_regression() -> LinearRegression:
@@ -289,8 +376,8 @@ def regressors(seed: int = 42) -> dict:
 
 
 def grade_regressors(seed: int = 42) -> dict:
-    return {"Linear Regression": linear_regression(),
-            "Random Forest": RandomForestRegressor(**GRADE_FOREST, seed=seed, labelCol="label"),
+    """The tree families; the linear one is fitted for all grades at once by :func:`linear_by_group`."""
+    return {"Random Forest": RandomForestRegressor(**GRADE_FOREST, seed=seed, labelCol="label"),
             BOOSTED: GBTRegressor(**GRADE_BOOSTING, seed=seed, labelCol="label")}
 
 

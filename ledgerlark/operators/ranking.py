@@ -124,6 +124,27 @@ def group_quantiles(df: DataFrame, group: list[str], value: str, quantiles: dict
     return per.select(*[F.col(g) for g in group], *outs)
 
 
+def few_value_quantiles(df: DataFrame, group: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """:func:`group_quantiles` of a value with a small, bounded number of distinct values (an age in days of 18 to 100 years): rows
+    are counted per (group, value), the counted values of a group stand in one sorted array, and the quantiles
+    are read inside the row. Nothing is ordered beyond a group."""
+    base = df.select(*[F.col(g) for g in group], F.col(value).alias("_rk_v")).filter(F.col("_rk_v").isNotNull())
+    counted = base.groupBy(*group, "_rk_v").agg(F.count(F.lit(1)).alias("_rk_c"))
+    held = counted.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_rk_v", "_rk_c"))).alias("_rk_s"), F.sum("_rk_c").alias("_rk_n"))
+
+    def at(place: Column) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast(dict(base.dtypes)["_rk_v"]).alias("v"))
+        step = lambda acc, s: F.struct((acc["seen"] + s["_rk_c"]).alias("seen"), F.when((acc["seen"] <= place) & (place < acc["seen"] + s["_rk_c"]), s["_rk_v"]).otherwise(acc["v"]).alias("v"))
+        return F.aggregate("_rk_s", start, step)["v"]
+
+    outs = []
+    for name, q in quantiles.items():
+        pos = (F.col("_rk_n") - 1) * q
+        lo, hi = at(F.floor(pos)), at(F.ceil(pos))
+        outs.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
+    return held.select(*[F.col(g) for g in group], *outs)
+
+
 def scalar_quantiles(df: DataFrame, value: str, quantiles: dict[str, float]) -> DataFrame:
     """One-row DataFrame of exact whole-table quantiles (to be joined by broadcast)."""
     return group_quantiles(df, [], value, quantiles)

@@ -15,6 +15,7 @@ from ..functions import expr as X
 from ..session import stable
 from . import aggregate as A
 from . import ranking as R
+from .joins import lookup
 
 PERSONAS = ["Low-Activity Accounts", "Wealthy Seniors", "Frequent Young Transactors", "Mid-Tier Savers"]
 
@@ -32,7 +33,7 @@ def rfm_base(tx: DataFrame) -> DataFrame:
         exact_sum4("TransactionAmount").alias("Monetary"),
         X.exact_mean2("CustAccountBalance").alias("AvgAccountBalance"),
     )
-    med_age = R.group_quantiles(tx, ["CustomerID"], "Age", {"MedianAge": 0.5})
+    med_age = R.few_value_quantiles(tx, ["CustomerID"], "Age", {"MedianAge": 0.5})  # whole days of 18 to 100 years
     cust = agg.join(med_age, "CustomerID", "left").join(A.location_mode(tx), "CustomerID", "left")
     ref = tx.agg(F.max("TransactionDate").alias("_ref"))
     fill = R.scalar_quantiles(med_age, "MedianAge", {"_age_fill": 0.5})
@@ -117,8 +118,8 @@ def behavioral_anomalies(tx: DataFrame) -> DataFrame:
     anomaly at >= .5, reason text."""
     reg = A.regional_benchmark(tx)
     cust = A.customer_benchmark(tx)
-    # regional stats: one row per location; customer stats: one row per customer.
-    j = tx.join(reg, "CustLocationNorm", "left").join(cust, "CustomerID", "left")
+    # one row per location, sent to the facts if it is small; the facts move once, to their customers
+    j = lookup(tx, reg, ["CustLocationNorm"]).join(cust, "CustomerID", "left")
     amt = F.col("TransactionAmount")
     f1 = amt > F.col("loc_q3") + 3.0 * F.col("loc_iqr")
     f2 = amt >= F.col("loc_p99")
@@ -201,13 +202,12 @@ def persona_pipeline(tx: DataFrame, k: int = 4, n_init: int = 20, seed: int = 42
     """End to end: cleaned transactions (materialised once by ``prepare_transactions``)
     -> RFM and wealth layer -> k-means personas on standardised R/F/M -> per-customer
     behavioural anomaly counts -> the customer's regional potential; one row per
-    customer. Every stage is a join on the customer or location key; cluster and region
-    table has k rows and is broadcast; the regional table (one row per location) is
-    left to AQE, which broadcasts it only when its measured size allows."""
+    customer. Customers meet by a join on their key; the k-row cluster table is broadcast and the
+    regional table (one row per location) is a measured lookup."""
     from . import ml as M
     cust = rfm_wealth_layer(tx)
     z = M.standard_scale(cust, ["Recency", "Frequency", "Monetary"], suffix="_z")
-    _, assigned = M.kmeans_best(z, ["Recency_z", "Frequency_z", "Monetary_z"], k=k, n_init=n_init, seed=seed)
+    _, _, assigned = M.kmeans_best(z, ["Recency_z", "Frequency_z", "Monetary_z"], k=k, n_init=n_init, seed=seed)
     assigned = assigned.drop("Recency_z", "Frequency_z", "Monetary_z")
     prof = persona_mapping(cluster_profile(assigned))
     beh = behavioral_anomalies(tx).groupBy("CustomerID").agg(
@@ -215,8 +215,8 @@ def persona_pipeline(tx: DataFrame, k: int = 4, n_init: int = 20, seed: int = 42
         F.max("BehavioralAnomalyScore").alias("MaxBehavioralScore"))
     reg = regional_intelligence(assigned).select("CustLocationNorm", "PotentialScore", "HighPotentialZone")
     out = (assigned.join(F.broadcast(prof.select("Cluster", "Persona")), "Cluster")
-           .join(beh, "CustomerID", "left")
-           .join(reg, "CustLocationNorm", "left"))
+           .join(beh, "CustomerID", "left"))
+    out = lookup(out, reg, ["CustLocationNorm"])
     return out.select("CustomerID", "Cluster", "Persona", "Recency", "Frequency", "Monetary", "RFM_Score", "WealthValue",
                       "IsVitalFew", "CustLocationNorm", "PotentialScore", "HighPotentialZone",
                       F.coalesce("BehavioralAnomalies", F.lit(0)).alias("BehavioralAnomalies"), "MaxBehavioralScore")

@@ -327,6 +327,31 @@ def q_one_hot(spark, d):
     return b.select("client_id", F.expr(f"explode(array({st})) AS feature"), F.lit(1).alias("value"))
 
 
+_ONEHOT_NUMS = ["day", "campaign", "pdays", "previous"]
+_SQL_ENTRIES = (f", b AS (SELECT *, {SQL_BINS} FROM campaign), e AS ("
+                + " UNION ALL ".join([f"SELECT client_id, y, '{c}_' || CAST(\"{c}\" AS VARCHAR) AS feature, 1.0::DOUBLE AS value FROM b WHERE \"{c}\" IS NOT NULL" for c in _ONEHOT_CATS]
+                                     + [f"SELECT client_id, y, '{c}', CAST(\"{c}\" AS DOUBLE) FROM b WHERE \"{c}\" <> 0" for c in _ONEHOT_NUMS]) + ")")
+
+
+@query("one_hot_sparse", V("campaign") + _SQL_ENTRIES + "SELECT client_id, CASE WHEN y = 'yes' THEN 1 ELSE 0 END AS target, feature, value FROM e")
+def q_one_hot_sparse(spark, d):
+    """The campaign design as sparse vectors placed by a dictionary table, numbers passed through beside the target;
+    read back as its entries that are not 0."""
+    data, cats, nums = E.campaign_columns(campaign(Tables(spark, d)))
+    design, table = E.sparse_design(data, cats, nums, keep=["client_id", "target"])
+    return E.sparse_entries(design, table, nums, ["client_id", "target"])
+
+
+@query("campaign_baseline", V("campaign") + _SQL_ENTRIES + f"""
+, f AS (SELECT DISTINCT feature FROM e WHERE feature NOT IN ({', '.join(repr(c) for c in _ONEHOT_NUMS)}) UNION ALL SELECT unnest({_ONEHOT_NUMS!r}))
+SELECT f.feature, round(coalesce(sum(e.value), 0.0) / (SELECT count(*) FROM campaign), 9) AS mean FROM f LEFT JOIN e ON e.feature = f.feature GROUP BY f.feature""")
+def q_campaign_baseline(spark, d):
+    """The mean of every feature of the campaign design: the baseline that goes with the deposit models."""
+    data, cats, nums = E.campaign_columns(campaign(Tables(spark, d)))
+    means = E.feature_means(*E.sparse_design(data, cats, nums), nums)
+    return means.select("feature", F.round("mean", 9).alias("mean"))
+
+
 # A frozen training feature list (as saved with a model): includes a category the
 # scored rows never have (absent -> 0) and misses rows' unseen values (dropped).
 FROZEN_FEATURES = ["day", "campaign", "pdays", "previous", "age_category_Adult", "age_category_Mid", "age_category_Senior",

@@ -195,6 +195,16 @@ def q_top_features(spark, d):
                              F.expr("substring(replace(feature, '_', ' '), 2)")).alias("label"))
 
 
+@query("top_driver_text", _FEAT_SQL + _IMP_SQL + f"""
+SELECT feature, array_to_string(list_transform(string_split(replace(feature, '_', ' '), ' '), lambda x: upper(substr(x, 1, 1)) || lower(substr(x, 2))), ' ')
+       || ' (' || printf('%.1f', {sql_rnd('importance * 100', 1)}) || '%)' AS driver
+FROM imp ORDER BY importance DESC, feature LIMIT 4""")
+def q_top_driver_text(spark, d):
+    """The four largest drivers of default as text, ``Name (12.3%)``."""
+    imp = P.correlation_importance(_features(spark, d), M.DEFAULT_FEATURES, "default_flag")
+    return P.driver_text(imp).select("feature", "driver")
+
+
 _LONG_SQL = " UNION ALL ".join(f"SELECT loan_id, '{f}' AS feature, {f} AS value FROM pf" for f in M.DEFAULT_FEATURES)
 _MEANS_SQL = " UNION ALL ".join(
     f"SELECT '{f}' AS feature, CAST(sum(CAST({f} AS DECIMAL(38,10))) AS DOUBLE) / count({f}) AS baseline FROM pf"
@@ -431,7 +441,8 @@ def q_train_grade_models(spark, d):
     for every grade, trained before 2000 and tested on the 12 months of 2000 (MAPE %, RMSE)."""
     panel = volume_panel(Tables(spark, d)).filter(F.col("series_id").isin(GRADES))
     train, test = _chronological(SV.model_frame(panel))
-    return M.evaluate_by_group(train, test, "series_id", GRADES, SV.GRADE_FEATURES, M.grade_regressors)
+    linear = M.evaluate_linear_by_group(train, test, "series_id", SV.GRADE_FEATURES)
+    return linear.unionByName(M.evaluate_by_group(train, test, "series_id", GRADES, SV.GRADE_FEATURES, M.grade_regressors))
 
 
 @query("score_portfolio")
@@ -545,7 +556,7 @@ def q_persona_kmeans(spark, d):
     from ..sources.domain import transactions
     cust = G.rfm_wealth_layer(Cl.prepare_transactions(transactions(Tables(spark, d))))
     z = M.standard_scale(cust, ["Recency", "Frequency", "Monetary"], suffix="_z")
-    _, assigned = M.kmeans_best(z, ["Recency_z", "Frequency_z", "Monetary_z"], k=4, n_init=20)
+    _, _, assigned = M.kmeans_best(z, ["Recency_z", "Frequency_z", "Monetary_z"], k=4, n_init=20)
     prof = G.persona_mapping(G.cluster_profile(assigned))
     return assigned.join(F.broadcast(prof.select("Cluster", "Persona")), "Cluster").select("CustomerID", "Cluster", "Persona")
 

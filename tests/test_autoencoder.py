@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerlark.operators import anomaly as N
 from ledgerlark.operators import autoencoder as AE
 from ledgerlark.operators import ml as M
+from ledgerlark.operators import passes
 
 COLS = ["x0", "x1", "x2", "x3"]
 
@@ -42,7 +43,7 @@ def fitted(deposits):
 def test_loss_falls_and_reruns_agree_on_any_partitioning(spark, deposits, fitted, monkeypatch):
     assert fitted.losses == sorted(fitted.losses, reverse=True) and fitted.losses[-1] < 0.7 * fitted.losses[0]
     monkeypatch.setattr(AE, "few_tasks", lambda df: df)
-    monkeypatch.setattr(AE, "PARTS", 1)  # sums added up by Spark
+    monkeypatch.setattr(passes, "PARTS", 1)  # sums added up by Spark
     again = AE.fit(deposits.repartition(5, "x1"), COLS, passes=80)
     assert again.losses == fitted.losses
     assert all((a == b).all() for a, b in zip([*again.weights, *again.offsets], [*fitted.weights, *fitted.offsets]))
