@@ -168,3 +168,29 @@ def test_models_by_group_are_tested_on_later_months(spark):
     out = M.evaluate_by_group(df.filter("k < 15"), df.filter("k >= 15"), "grade", ["A", "B"], ["x"], lambda: {"lin": LinearRegression(labelCol="label")})
     got = {(r.grade, r.model): r.mape for r in out.collect()}
     assert set(got) == {("A", "lin"), ("B", "lin")} and max(got.values()) < 1e-3
+
+
+def test_loans_are_scored_by_stored_models_in_one_pass(spark, sf, tmp_path):
+    """Small default and churn models, fitted side by side, stored in the named folder and found there again."""
+    from ledgerlark.operators import risk as K
+    from ledgerlark.plans import q_ml as Q
+    from ledgerlark.sources.domain import Tables, clean_loans
+    spark.conf.set("spark.ledgerlark.models.dir", str(tmp_path))
+    try:
+        t = Tables(spark, sf)
+        loans = clean_loans(t)
+        small = lambda **kw: M.GBTClassifier(maxIter=2, maxDepth=2, seed=1, labelCol="label", **kw)
+        fits = [lambda: Q._keeper(spark, sf)(Q._default_split(spark, sf, t), small()), lambda: Q._keeper(spark, sf)(Q._churn_split(spark, sf, t), small(weightCol="weight"))]
+        models = M.side_by_side(fits)
+        stored = sorted(p.name for p in tmp_path.iterdir())
+        assert len(stored) == 2
+        scored = Q.score_loans(loans, dict(zip(("default_probability", "churn_probability"), models)))
+        assert "Exchange hashpartitioning(loan_id" not in scored._jdf.queryExecution().executedPlan().toString()
+        rows = K.risk_score_band(scored).collect()
+        assert len(rows) == loans.count() and all(0 < r.default_probability < 1 and r.risk_band in ("Low", "Medium", "High") for r in rows)
+        again = Q.score_loans(loans, dict(zip(("default_probability", "churn_probability"), M.side_by_side(fits))))
+        key = lambda r: r.loan_id
+        assert sorted(again.collect(), key=key) == sorted(scored.collect(), key=key)
+        assert sorted(p.name for p in tmp_path.iterdir()) == stored
+    finally:
+        spark.conf.unset("spark.ledgerlark.models.dir")
