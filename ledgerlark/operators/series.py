@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
+from .seasonal import seasonal_trend_fit
 
 T, V = "month_start", "value"
 
@@ -368,59 +369,6 @@ def growth_vs_last(df: DataFrame, forecast: DataFrame, keys: list[str]) -> DataF
                     ((F.col("_hi") - F.col("_l")) / den).alias("high_change"))
 
 
-def seasonal_trend_fit(df: DataFrame, keys: list[str], horizon: int = 3, fourier_order: int = 10, n_changepoints: int = 10,
-                       ridge: float = 1.0, interval: float = 0.8) -> DataFrame:
-    """Trend + yearly seasonality fitted per series (re-aim of the reference's Prophet).
-
-    Design: intercept, linear time, hinge terms at ``n_changepoints`` evenly spaced
-    changepoints over the first 80 % of the history, and ``fourier_order`` sine/cosine
-    pairs of the calendar month; ridge least squares; multiplicative seasonality by
-    fitting log1p(value) and transforming back; band = +- z(interval) x residual std.
-    One series is one ``applyInPandas`` group; a series is bounded by its months, so no
-    group grows with the number of series or rows of the source tables.
-    """
-    import numpy as np
-    import pandas as pd
-
-    z = float(__import__("statistics").NormalDist().inv_cdf(0.5 + interval / 2))
-    clean = df.filter(F.col(V).isNotNull()).select(*keys, T, F.col(V).cast("double").alias(V))
-
-    def design(t: np.ndarray, month: np.ndarray, cps: np.ndarray) -> np.ndarray:
-        cols = [np.ones_like(t), t] + [np.maximum(0.0, t - c) for c in cps]
-        for k in range(1, fourier_order + 1):
-            ang = 2 * np.pi * k * (month - 1) / 12.0
-            cols += [np.sin(ang), np.cos(ang)]
-        return np.column_stack(cols)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(T)
-        months = pd.to_datetime(pdf[T])
-        n = len(pdf)
-        t = np.arange(n, dtype=float) / max(n - 1, 1)
-        cps = np.linspace(0, 0.8, n_changepoints + 2)[1:-1] if n >= 12 else np.array([])
-        x = design(t, months.dt.month.to_numpy(float), cps)
-        y = np.log1p(np.maximum(pdf[V].to_numpy(float), 0.0))
-        pen = ridge * np.eye(x.shape[1])
-        pen[0, 0] = pen[1, 1] = 0.0
-        beta = np.linalg.solve(x.T @ x + pen, x.T @ y)
-        resid = y - x @ beta
-        sd = float(np.std(resid)) if n > 1 else 0.0
-        last = months.iloc[-1]
-        fut = pd.DatetimeIndex([last + pd.DateOffset(months=s) for s in range(1, horizon + 1)])
-        tf = (n - 1 + np.arange(1, horizon + 1, dtype=float)) / max(n - 1, 1)
-        yf = design(tf, fut.month.to_numpy(float), cps) @ beta
-        out = pd.DataFrame({T: fut.date, "step": np.arange(1, horizon + 1, dtype=np.int32),
-                            "yhat": np.expm1(yf), "yhat_lower": np.expm1(yf - z * sd), "yhat_upper": np.expm1(yf + z * sd)})
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        out[["yhat", "yhat_lower", "yhat_upper"]] = out[["yhat", "yhat_lower", "yhat_upper"]].clip(lower=0.0)
-        return out[[*keys, "step", T, "yhat", "yhat_lower", "yhat_upper"]]
-
-    key_types = ", ".join(f"{k} {dict(clean.dtypes)[k]}" for k in keys)
-    schema = f"{key_types}, step int, {T} date, yhat double, yhat_lower double, yhat_upper double"
-    return clean.groupBy(*keys).applyInPandas(fit, schema)
-
-
 def ensemble_forecast(df: DataFrame, keys: list[str], horizon: int = 4) -> DataFrame:
     """Mean of the trend-seasonal central forecast and the seasonal-trend fit."""
     fu = forecast_uncertainty(df, keys, horizon)

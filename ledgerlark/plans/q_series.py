@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..functions.expr import sql_rnd
+from ..operators import seasonal as SN
 from ..operators import series as S
 from ..sources.domain import Tables, nation_series, series
 from . import sql_series as Q
@@ -287,7 +288,13 @@ def q_next_action(spark, d):
 @query("seasonal_trend_fit")
 def q_seasonal_trend_fit(spark, d):
     """Trend + yearly seasonality (80 % band), 3 months ahead, for every series."""
-    return S.seasonal_trend_fit(_series(spark, d), K, 3)
+    return SN.seasonal_trend_fit(_series(spark, d), K, 3)
+
+
+@query("seasonal_changepoints")
+def q_seasonal_changepoints(spark, d):
+    """The months at which each series' trend bends, under the seasonal fit's sparse changes of slope."""
+    return SN.changepoints(_series(spark, d), K)
 
 
 @query("ensemble_forecast")
