@@ -251,15 +251,17 @@ def _partnered(texts: DataFrame, weight: DataFrame, shingle: int, threshold: int
     return j.filter(100 * (F.col("n") - F.coalesce("lone", F.lit(0))) >= threshold * F.col("n")).select("node", "weight")
 
 
-def _components(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingle: int, threshold: int) -> DataFrame:
+def _components(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingle: int, threshold: int, given: DataFrame | None = None) -> DataFrame:
     """``classes`` (node, n, regs, ...) with the component of each node. texts_of gives (node, text, n)
-    of the (node, n) that it gets."""
+    of the (node, n) that it gets; given: links (a, b) that hold whatever the texts are."""
     keys = F.array(*[F.xxhash64(F.lit(i), F.expr(f"substring(regs, {1 + 8 * i}, 8)")) for i in range(BANDS)])
     banded = classes.select("node", F.posexplode(keys).alias("at", "band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y")
     members = stable(banded.join(shared.select("band", "size"), "band").distinct(), "minhash_members")
     if members.isEmpty():
-        return classes.withColumn("component", F.col("node"))
+        if given is None:
+            return classes.withColumn("component", F.col("node"))
+        return classes.join(components(given), "node", "left").withColumn("component", F.coalesce("component", "node"))
     weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
     involved = weight.select("node").join(classes.select("node", "n"), "node")
     texts = stable(texts_of(involved).dropDuplicates(["node", "text"]), "minhash_texts")
@@ -272,6 +274,8 @@ def _components(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
     maybe = stable(_likely(near.select("a", "b"), classes, threshold).join(near, ["a", "b"]), "minhash_pairs")
     first = maybe.groupBy("b").agg(F.max_by("a", F.struct("far", F.negative("a"))).alias("a")).select("a", "b")
     links = stable(_verified(first, texts, shingle, threshold), "minhash_links")
+    if given is not None:
+        links = links.union(given)
     labels = components(links)
     later = maybe.select("a", "b").join(first, ["a", "b"], "left_anti")
     more = stable(_verified(_apart(later, labels), texts, shingle, threshold), "minhash_links")
@@ -290,22 +294,39 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80, id_c
     links with 100 * intersection >= threshold * union), kept (is that document).
 
     Null, empty and blank texts have no shingles and are linked with nothing. Texts shorter
-    than a window are one shingle. Repeated rows of one id are one document. Rows without an
+    than a window are one shingle. Repeated rows of one id are one document: if their texts are
+    unlike, their sets are linked, and each links as its own text does. Rows without an
     id link as others; a component without any id has component_id null, and the row that
     stands for it is kept. Other columns are ignored. An empty table gives no rows."""
     rows = stable(signatures(docs, shingle, id_col, text_col), "minhash_rows")
-    node = F.coalesce(F.min("doc_id"), F.lit(_HIDDEN) + F.shiftright(F.abs(F.xxhash64("set_key")), 2))
+    # ids that stand for several sets cannot name one: their sets are named by a number, and linked
+    unlike = rows.filter("set_key is not null and doc_id is not null").groupBy("doc_id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y"))
+    unlike = stable(unlike.filter("x <> y").select("doc_id"), "minhash_unlike")
+    mixed = not unlike.isEmpty()
+    rows = rows.withColumn("name", F.col("doc_id"))
+    if mixed:
+        flagged = rows.join(unlike.withColumn("unlike", F.lit(True)), "doc_id", "left")
+        rows = stable(flagged.withColumn("name", F.when(F.col("unlike").isNull(), F.col("doc_id"))).drop("unlike"), "minhash_rows")
+    node = F.coalesce(F.min("name"), F.lit(_HIDDEN) + F.shiftright(F.abs(F.xxhash64("set_key")), 2))
     classes = stable(rows.filter("set_key is not null").groupBy("set_key").agg(
         node.alias("node"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")), "minhash_classes")
 
     def texts_of(involved: DataFrame) -> DataFrame:
         text = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
         if not involved.filter(F.col("node") >= _HIDDEN).isEmpty():
-            text = _named(docs, classes, shingle, id_col, text_col)
+            text = _named(docs, classes, shingle, id_col, text_col, unlike)
         return text.join(involved, "node")
 
-    named = _components(classes, texts_of, shingle, threshold).select("set_key", "node", "component")
+    given = None
+    if mixed:
+        own = rows.join(unlike, "doc_id", "left_semi").join(classes.select("set_key", "node"), "set_key").select("doc_id", "node").distinct()
+        given = own.join(own.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").filter("node <> a")
+        given = stable(given.select("a", F.col("node").alias("b")), "minhash_given")
+    named = _components(classes, texts_of, shingle, threshold, given).select("set_key", "node", "component")
     out = rows.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
+    if mixed:  # the smallest id of a component may be one that names no set
+        least = out.filter("component is not null and doc_id is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
+        out = out.join(least, "component", "left").withColumn("component", F.coalesce("least", "component"))
     own = F.coalesce("doc_id", "node", F.lit(_HIDDEN))
     comp = F.coalesce("component", "doc_id", F.lit(_HIDDEN))
     return out.select("doc_id", "n_shingles", F.when(comp < _HIDDEN, comp).alias("component_id"), (own == comp).alias("kept"))
@@ -318,19 +339,21 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return j.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def _named(docs: DataFrame, classes: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, text) where some classes have no row with an id: their texts are found by their set."""
+def _named(docs: DataFrame, classes: DataFrame, shingle: int, id_col: str, text_col: str, unlike: DataFrame) -> DataFrame:
+    """(node, text) where some classes are not named by an id: the texts of rows without an id, or with one of
+    ``unlike``, are found by their set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = shingle_sets(b.column(0), shingle)
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), b.column(0)], names=["set_key", "text"])
 
-    bare = docs.filter(F.col(id_col).isNull()).select(F.col(text_col).cast("string").alias("text"))
+    every = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
+    loose = unlike.withColumnRenamed("doc_id", "node")
+    bare = every.filter("node is null").select("text").union(every.join(loose, "node", "left_semi").select("text"))
     found = bare.mapInArrow(run, "set_key binary, text string").dropDuplicates(["set_key"])
     hidden = found.join(classes.filter(F.col("node") >= _HIDDEN).select("set_key", "node"), "set_key").select("node", "text")
-    own = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-    return own.union(hidden)
+    return every.filter("node is not null").join(loose, "node", "left_anti").union(hidden)
 
 
 def _text_key(text: str) -> Column:
@@ -361,12 +384,15 @@ def _standing(docs: DataFrame, shingle: int, threshold: int) -> DataFrame:
 
 def keep_one(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> DataFrame:
     """The documents without near-duplicates: of each component the row with the smallest
-    doc_id stays, once if that row is repeated; all columns stay. Texts are told apart by id and
+    doc_id stays, once if that row is repeated (of repeated rows with unlike other columns, the one whose
+    other columns come first as JSON); all columns stay, whatever their names. Texts are told apart by id and
     words: unlike texts under one id are judged each for itself. Rows without a doc_id and
     rows without words stay."""
-    stay = _standing(docs, shingle, threshold).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    stay = _standing(docs, shingle, threshold).withColumnsRenamed({"doc_id": "id", "text_key": "key"})
     aside = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    left = docs.filter(~aside).withColumn("_text_key", _text_key("text"))
-    left = left.join(stay, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi")
-    turn = F.row_number().over(Window.partitionBy("doc_id", "_text_key").orderBy("_text_key"))
-    return left.withColumn("_turn", turn).filter("_turn = 1").drop("_turn", "_text_key").union(docs.filter(aside))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    left = docs.filter(~aside).select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), _text_key("text").alias("key")).join(stay, ["id", "key"], "left_semi")
+    order = F.to_json(F.col("row").dropFields("doc_id", "text")) if others else F.lit("")
+    turn = F.row_number().over(Window.partitionBy("id", "key").orderBy(order))
+    first = left.withColumn("turn", turn).filter("turn = 1").select("row.*")
+    return first.union(docs.filter(aside))

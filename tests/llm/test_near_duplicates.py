@@ -3,6 +3,8 @@ import re
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from ledgerlark.llm import minhash
 from ledgerlark.llm.common import components, prepare
 
@@ -120,3 +122,29 @@ def test_unlike_texts_under_one_id_all_stay(spark):
     ten = [t for i, t in fold if i == 10]
     assert len(ten) == 1 and ten[0] in (f, f + " x")  # one of the near copies under one id
     assert [x for x in fold if x[0] != 10] == sorted([(3, a), (7, b), (8, c), (8, d), (9, ""), (9, ""), (9, ""), (9, e), (0, b), (0, f)])
+
+
+def test_unlike_texts_of_one_id_are_linked(spark):
+    prepare(spark)
+    base, y = (" ".join(f"{c}{i}" for i in range(12)) for c in "ay")
+    rows = [(3, base), (7, base), (7, y), (9, y + " z"), (11, "quite another text of some words"), (None, y), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in minhash.near_duplicates(df, shingle=4, threshold=80).collect()}
+    assert got[(3, 9)] == (3, True) and got[(7, 9)] == (3, False) and got[(9, 10)] == (3, False)
+    assert got[(None, 9)] == (3, False) and got[(11, 3)] == (11, True) and got[(5, 0)] == (5, True)
+    swapped = spark.createDataFrame([(7, y), (2, y + " z"), (7, base), (1, "other words in this one text")], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in minhash.near_duplicates(swapped, 4, 80).collect()} == {(7, 2), (2, 2), (1, 1)}
+    alone = spark.createDataFrame([(7, "one two three four five"), (7, "six seven eight nine ten"), (8, "a b c d e f")], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in minhash.near_duplicates(alone, 4, 80).collect()} == {(7, 7), (8, 8)}
+
+
+def test_kept_rows_keep_columns_of_any_name_and_the_same_one_of_repeated_rows(spark):
+    prepare(spark)
+    text = "a text of more than five words for everyone"
+    rows = [(1, text, "b"), (1, text, "a"), (2, text, "c"), (None, text, "d")]
+    names = ("_id", "_turn", "_text_key", "row", "id", "key", "turn")
+    df = spark.createDataFrame(rows, "doc_id long, text string, note string").withColumns({c: F.lit(c) for c in names})
+    for part in (df, df.repartition(3), df.orderBy(F.desc("note"))):
+        out = minhash.keep_one(part)
+        assert out.columns == df.columns
+        assert sorted((r.doc_id or 0, r.note, *(r[c] for c in names)) for r in out.collect()) == [(0, "d", *names), (1, "a", *names)]

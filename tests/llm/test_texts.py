@@ -7,6 +7,7 @@ from collections import defaultdict
 import duckdb
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlark.llm import chat, decontaminate, mixing, pii, queries, warc
 from ledgerlark.llm.common import prepare
@@ -193,3 +194,50 @@ def test_chat_round_trip(spark, sf):
     assert max(r.tokens for r in made if r.conv_id == -5) <= chat.BUDGET and sum(r.conv_id == -5 for r in made) > 5
     assert all(r.text.startswith("<|im_start|>system\n") for r in made if r.conv_id == -2)
     assert chat.windows(turns.filter("false")).count() == 0
+
+
+def test_found_identifiers_seed_further_patterns(spark):
+    """Cards make "account =" a pattern; what it finds makes "badge:" one, in other texts, without any card there."""
+    prepare(spark)
+    rng = random.Random(3)
+
+    def card():
+        digits = [rng.randrange(10) for _ in range(15)]
+        total = sum(d if i % 2 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(digits))
+        return "".join(map(str, digits)) + str(-total % 10)
+
+    found = [f"ZX{k}9-88{k}2-QQ7" for k in range(8)]
+    rows = [(k, f"some words account = {card()} more") for k in range(40)]
+    rows += [(100 + k, f"some words account = {t} more") for k, t in enumerate(found)]
+    rows += [(200 + k, f"wears badge: {t} today") for k, t in enumerate([*found, "NEW-4411-77"])]
+    rows += [(300 + k, f"build number x1234567{k} shipped") for k in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.report(docs).collect()}
+    assert all(got[100 + k].startswith("id:21:") for k in range(8)) and all(got[200 + k].startswith("id:13:") for k in range(9))
+    assert all(got[300 + k] == "" for k in range(9))
+    masked = {r.doc_id: r.text for r in pii.mask(docs).collect()}
+    assert masked[208] == "wears badge: [ID] today"
+
+
+def test_long_texts_with_many_matches_and_clashing_names(spark):
+    """Running sums in blocks and pieces of chunks give what regular expressions give; names of columns do not matter."""
+    prepare(spark)
+    text = "".join(f"é u{k}@h{k % 7}.org 10.0.{k % 300}.1 " if k % 3 else f"word{k} " for k in range(3000))
+    over = "mail a.b@c.org+4912345678901@d.org and 4111111111111111@x.org end"
+    docs = spark.createDataFrame([(1, text), (2, over), (2, over), (3, None), (4, "")], "doc_id long, text string")
+    docs = docs.withColumns({c: F.lit(c) for c in ("_key", "_spans", "key", "spans", "row", "base")})
+    want = {r.doc_id: spans(r.text) for r in docs.collect()}
+    for r in pii.report(docs).collect():
+        say = ",".join(f"{k}:{a}:{b}" for a, _, k, b in want[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(say.encode()).hexdigest()
+    out = pii.mask(docs)
+    assert out.columns == docs.columns
+    for r in out.collect():
+        assert (r["_key"], r["_spans"], r.key, r.spans, r.row, r.base) == ("_key", "_spans", "key", "spans", "row", "base")
+        if r.doc_id == 1:
+            hidden, at = [], 0
+            for a, _, k, b in want[1]:
+                hidden += [text[at:a], f"[{k.upper()}]"]
+                at = b
+            assert r.text == "".join(hidden) + text[at:]
+    assert out.filter("doc_id = 2").count() == 2 and out.filter("doc_id = 3 and text is null").count() == 1
