@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as X
 from ..session import stable
 
+# The statuses that are kept and the columns that must be there or hold percents and months.
 VALID_STATUSES = ["Fully Paid", "Charged Off"]
 CRITICAL_COLUMNS = ["loan_status", "loan_amnt", "int_rate", "annual_inc", "dti", "grade", "issue_d"]
 PERCENT_COLUMNS = ["int_rate", "revol_util"]

@@ -208,6 +208,7 @@ def q_cross_grade_shares(spark, d):
     return m.crossJoin(F.broadcast(sh)).select("month_start", "grade", X.rnd(F.col("funded_amnt_m") * F.col("share"), 6).alias("funded_amnt_m"))
 
 
+# The features of the default importances.
 _DEFAULT_FEATURES = ["month", "quarter", "year", "lag_1", "lag_2", "lag_3", "lag_6", "lag_12", "rolling_3", "rolling_6",
                      "avg_int_rate", "loan_count", "mom_growth"]
 # Fallback importance weights for the grade models (others 0.01).
