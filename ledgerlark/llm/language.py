@@ -14,10 +14,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_of, text_buffer
+from ledgerlark.operators.joins import lookup
+
+from .common import bucket_of, stable, text_buffer
 
 FOLDS, HELD = 3, 1
 WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), 12, 8
@@ -25,6 +27,8 @@ WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), 12, 8
 SPAN = WINDOW - max(WIDTHS) + 1
 #: Bounds the labelled texts, and the bytes of each, that the network is fitted on.
 SAMPLE, SAMPLE_BYTES = 4_000, 512
+#: Bounds the windows of those texts that an epoch goes over.
+MOST_WINDOWS = 6_000
 
 
 def windows(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,15 +132,27 @@ def probabilities(x: np.ndarray, tables: dict, batch: int = 256) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, epochs: int = 4) -> dict:
-    """Fits on at most ``sample`` texts with a language outside the held-out fold, those with the
-    smallest hashes of their id, and of each on ``sample_bytes`` bytes from its middle."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
-    rows = rows.filter("doc_id is not null and lang is not null").filter(bucket_of(F.col("doc_id"), FOLDS) != HELD)
-    picked = rows.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(sample)
-    texts = docs.filter("text is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").cast("binary").alias("raw"))
+def _picked(rows: DataFrame, sample: int) -> DataFrame:
+    """At most ``sample`` of the distinct (doc_id, lang), as many of each language as of any other as far as they go, those with
+    the smallest hashes of their id. Hashes that are too large for a language's share are left out before anything is
+    ordered, so an order is made of some rows of each language only."""
+    size = stable(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "language_sizes")
+    share = max(1, sample // max(1, size.count()))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / float(1 << 31)
+    near = lookup(rows, size, ["lang"], "inner").filter(place * F.col("n") <= 2 * share + 64)
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id"))
+    return near.withColumn("turn", turn).filter(F.col("turn") <= share).orderBy("turn", "lang").limit(sample).select("doc_id", "lang")
+
+
+def train(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, epochs: int = 4, most_windows: int = MOST_WINDOWS) -> dict:
+    """Fits on at most ``sample`` texts that are not empty, with a language and outside the held-out fold, equally many of
+    each language as far as they go, and of each on ``sample_bytes`` bytes from its middle. An epoch goes over
+    ``most_windows`` windows at most, drawn so that languages are equally frequent."""
+    said = docs.filter("text is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").cast("binary").alias("raw"))
+    rows = said.filter("doc_id is not null and lang is not null").filter(bucket_of(F.col("doc_id"), FOLDS) != HELD).select("doc_id", "lang")
+    picked = _picked(rows.distinct(), sample)
     middle = F.greatest(F.lit(1), (F.length("raw") - sample_bytes) / 2 + 1).cast("int")
-    got = texts.join(F.broadcast(picked), ["doc_id", "lang"]).select("doc_id", "lang", F.expr("raw").substr(middle, F.lit(sample_bytes)).alias("raw"))
+    got = said.join(F.broadcast(picked), ["doc_id", "lang"]).select("doc_id", "lang", F.expr("raw").substr(middle, F.lit(sample_bytes)).alias("raw"))
     got = sorted({(r.doc_id, r.lang, bytes(r.raw)) for r in got.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample).collect()})
     langs = sorted({lang for _, lang, _ in got})
     if not langs:
@@ -147,7 +163,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTE
     if len(langs) == 1:
         return {"langs": langs, "network": Network(1)}
     weight = 1 / np.bincount(y, minlength=len(langs)).clip(1)  # rare languages are drawn as often as frequent ones
-    most = min(len(x), 6_000)
+    most = min(len(x), most_windows)
     at = np.random.default_rng(5).choice(len(x), size=max(most, min(3_000, 20 * len(x))), p=weight[y] / weight[y].sum())
     return {"langs": langs, "network": Network(len(langs)).fit(x[at], y[at], epochs)}
 

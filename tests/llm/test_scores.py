@@ -103,3 +103,17 @@ def test_viterbi_equals_all_paths():
         if b > a:
             best = max(product((0, 1), repeat=b - a), key=lambda y: sum(e[a + i, c] for i, c in enumerate(y)) + sum(t[x, z] for x, z in zip(y, y[1:])))
             assert tuple(got[a:b]) == best
+
+
+def test_a_rare_language_is_learned_among_texts_that_are_not_empty(spark):
+    """By share, 40 of 3,000 texts would hold none of the four rare ones; empty texts take no place."""
+    prepare(spark)
+    rows = [(k, "the and of that with this is from", "en") for k in range(3000)] + [(9000 + k, "", "xx") for k in range(500)]
+    rows += [(5000 + k, "ჟღქ წჭხ ჯჰ ფცძ", "xx") for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    picked = language._picked(docs.filter("text <> ''").select("doc_id", "lang"), 40).collect()
+    assert sorted(r.lang for r in picked) == ["en"] * 20 + ["xx"] * 12
+    model = language.train(docs, sample=40, most_windows=60)
+    assert model["langs"] == ["en", "xx"]
+    out = {r.doc_id: r.lang_pred for r in language.predict(docs.filter("text <> ''"), model).collect()}
+    assert all(out[5000 + k] == "xx" for k in range(12)) and out[1] == "en"
