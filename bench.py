@@ -21,7 +21,7 @@ HEADLINE = [
     "clean_loans", "monthly_volume", "grade_pivot", "null_profile", "prepare_transactions", "forecast_uncertainty",
     "rolling_backtest", "training_frame", "rfm_scores", "pareto_wealth", "behavioral_anomalies", "regional_intelligence",
     "deposit_rule_flags", "drift_report", "eval_classification", "correlation_matrix", "stress_scenario",
-    "stream_hourly_trend",
+    "stream_hourly_trend", "persona_kmeans", "reconstruction_error",
 ]
 
 
