@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stable
-from .passes import exact_sums, few_tasks
+from .passes import UNIT, exact_totals, few_tasks, held_rows, product_sums, whole_sums
 
 # The settings of the original network.
 HIDDEN, MAX_PASSES, PENALTY, SEED = (2, 2), 500, 1e-4, 42
@@ -58,29 +58,45 @@ def _start(sizes: list[int], seed: int) -> np.ndarray:
 
 
 def _dot(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """x @ w, added up in one order whatever the number of rows."""
-    out = np.zeros((len(x), w.shape[1]))
+    """w' x for columns x (features, rows), added up in one order whatever the number of rows."""
+    out = np.zeros((w.shape[1], x.shape[1]))
     for i in range(w.shape[0]):
-        out += x[:, i, None] * w[i]
+        out += w[i][:, None] * x[i]
     return out
 
 
-def terms(x: np.ndarray, flat: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Every row's loss, half its squared error, and gradient (rows, parameters)."""
+def _through(x: np.ndarray, flat: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Every row's loss, half its squared error, and of every layer what goes in and the loss's slope by what comes out.
+    x and the layers: (features, rows)."""
     params = _unpack(flat, sizes)
     layers = len(params) // 2
     held = [x]
     for k in range(layers):
-        out = _dot(held[-1], params[2 * k]) + params[2 * k + 1]
+        out = _dot(held[-1], params[2 * k]) + params[2 * k + 1][:, None]
         held.append(np.maximum(out, 0.0) if k < layers - 1 else out)
-    back = held[-1] - x
-    loss = 0.5 * (back * back).sum(axis=1)
-    grads: list[np.ndarray] = []
-    for k in range(layers - 1, -1, -1):
-        grads = [(held[k][:, :, None] * back[:, None, :]).reshape(len(x), -1), back, *grads]
-        if k:
-            back = _dot(back, params[2 * k].T) * (held[k] > 0)
-    return loss, np.concatenate(grads, axis=1)
+    back = [held.pop() - x]
+    loss = 0.5 * sum(b * b for b in back[0])
+    for k in range(layers - 1, 0, -1):
+        back.insert(0, _dot(back[0], params[2 * k].T) * (held[k] > 0))
+    return loss, held, back
+
+
+def terms(x: np.ndarray, flat: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Every row's loss and gradient (rows, parameters)."""
+    loss, held, back = _through(np.ascontiguousarray(x.T), flat, sizes)
+    return loss, np.concatenate([part for h, g in zip(held, back) for part in ((h[:, None] * g).reshape(-1, len(x)), g)]).T
+
+
+def totals(x: np.ndarray, flat: np.ndarray, sizes: list[int]) -> list[int]:
+    """The sums of :func:`terms` over the rows in whole numbers of ``UNIT`` squared; x: (features, rows). A weight's slope
+    is a product of two numbers of a row; those are made whole, so that the products are added up by matrix products."""
+    loss, held, back = _through(x, flat, sizes)
+    scale = round(1 / UNIT)
+    out = [scale * v for v in whole_sums(np.rint(loss[None] * scale))]
+    for h, g in zip(held, back):
+        slope = np.rint(g * scale)
+        out += product_sums(np.rint(h * scale), slope) + [scale * v for v in whole_sums(slope)]
+    return out
 
 
 def _steps(x: np.ndarray, limit: int, losses: list[float], memory: int = 10) -> Generator[np.ndarray, tuple[float, np.ndarray], np.ndarray]:
@@ -130,13 +146,15 @@ def fit(scaled: DataFrame, features: list[str], hidden: tuple[int, ...] = HIDDEN
     matrix = np.concatenate([np.full(int(np.prod(s)), len(s) == 2) for s in _shapes(sizes)])  # only weights are penalised
 
     def summed(at: list[np.ndarray]) -> list[tuple[float, np.ndarray]]:
-        def of_rows(x: np.ndarray) -> np.ndarray:
-            each = (terms(x, flat, sizes) for flat in at)
-            return np.concatenate([part for loss, grad in each for part in (loss[:, None], grad)], axis=1)
+        def of_rows(x: np.ndarray) -> list[int]:
+            columns = np.ascontiguousarray(x.T)
+            return [v for flat in at for v in totals(columns, flat, sizes)]
 
-        sums = (exact_sums(rows, features, of_rows, parts) / n).reshape(len(at), -1)
+        each = exact_totals(blocks, of_rows, parts, UNIT * UNIT)
+        sums = (each / n).reshape(len(at), -1)
         return [(own[0] + 0.5 * PENALTY / n * float((flat[matrix] ** 2).sum()), own[1:] + PENALTY / n * flat * matrix) for own, flat in zip(sums, at)]
 
+    blocks = held_rows(rows, features)
     losses: list[list[float]] = [[] for _ in points]
     runs = [_steps(p, passes, own) for p, own in zip(points, losses)]
     ask = {k: next(r) for k, r in enumerate(runs)}
@@ -151,6 +169,7 @@ def fit(scaled: DataFrame, features: list[str], hidden: tuple[int, ...] = HIDDEN
             except StopIteration as end:
                 done[k] = end.value
                 del ask[k]
+    blocks.unpersist()
     for k, point in ask.items():  # the passes are used up
         done[k] = point
     best = min(done, key=lambda k: (losses[k][-1], k))

@@ -28,7 +28,7 @@ from ..session import stable
 from . import ranking as R
 from .boost import fit_boosted
 from .joins import lookup
-from .passes import exact_sums, few_tasks
+from .passes import UNIT, exact_totals, few_tasks, grouped_sums, held_rows, whole_sums
 from .resample import smote
 
 # The model feature lists.
@@ -276,8 +276,16 @@ def _first_centres(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    far = np.stack([((x - c) ** 2).sum(axis=1) for c in centres], axis=1)
-    return far.argmin(axis=1), far.min(axis=1)
+    """The first of the nearest centres and the squared distance to it; x: (features, rows)."""
+    own, least = np.zeros(x.shape[1], np.intp), None
+    for i, centre in enumerate(centres):
+        far = sum((c - at) ** 2 for c, at in zip(x, centre))
+        if least is None:
+            least = far
+        else:
+            own[far < least] = i
+            least = np.minimum(far, least)
+    return own, least
 
 
 def kmeans_best(df: DataFrame, features: list[str], k: int = 4, n_init: int = 20, seed: int = 42):
@@ -298,17 +306,19 @@ def kmeans_best(df: DataFrame, features: list[str], k: int = 4, n_init: int = 20
     rest: dict[int, tuple[float, np.ndarray]] = {}
     width = k * (len(features) + 1) + 1
 
-    def of_rows(x: np.ndarray, moving: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(x), len(moving) * width))
-        for s, centres in enumerate(moving):
-            own, cost = _nearest(x, centres)
-            member = own[:, None] == np.arange(k)
-            out[:, s * width : (s + 1) * width] = np.column_stack([(member[:, :, None] * x[:, None, :]).reshape(len(x), -1), member, cost])
+    def totals(x: np.ndarray, moving: list[np.ndarray]) -> list[int]:
+        columns, out = np.ascontiguousarray(x.T), []
+        whole = np.rint(columns / UNIT)
+        for centres in moving:
+            own, cost = _nearest(columns, centres)
+            out += grouped_sums(whole, own, k) + [round(1 / UNIT) * int(c) for c in np.bincount(own, minlength=k)]
+            out += whole_sums(np.rint(cost[None] / UNIT))
         return out
 
+    blocks = held_rows(rows, features)
     for turn in range(KMEANS_ITER + 1):
         moving = list(at.values())
-        sums = exact_sums(rows, features, lambda x, moving=moving: of_rows(x, moving), parts).reshape(len(at), width)
+        sums = exact_totals(blocks, lambda x, moving=moving: totals(x, moving), parts).reshape(len(at), width)
         for s, own in zip(list(at), sums):
             total, count, cost = own[: k * len(features)].reshape(k, -1), own[-k - 1 : -1], float(own[-1])
             new = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], at[s])
@@ -318,6 +328,7 @@ def kmeans_best(df: DataFrame, features: list[str], k: int = 4, n_init: int = 20
                 at[s] = new
         if not at:
             break
+    blocks.unpersist()
     best = min(rest, key=lambda s: (rest[s][0], s))
     cost, centres = rest[best]
     far = F.array(*[sum(((F.col(f) - float(c)) * (F.col(f) - float(c)) for f, c in zip(features, centre)), F.lit(0.0)) for centre in centres])

@@ -118,3 +118,29 @@ def test_sparse_design_of_missing_and_unseen_values(spark):
     assert {(r.id, r.feature, r.value) for r in E.sparse_entries(design.union(again), table, ["n"], ["id"]).collect()} == {
         (1, "c_a", 1.0), (2, "n", 3.0), (3, "c_b", 1.0), (4, "n", 2.0), (5, "c_b", 1.0), (5, "n", 1.0)}
     assert {r.feature: r["mean"] for r in E.feature_means(design, table, ["n"]).collect()} == {"n": 1.0, "c_a": 1 / 3, "c_b": 1 / 3}
+
+
+def test_sums_of_groups_and_products_are_exact_at_any_size():
+    rng = np.random.default_rng(3)
+    group = rng.integers(0, 3, 500)
+    for size in (10.0, 2.0 ** 40):  # the larger ones leave what floats hold
+        a, b = np.rint(rng.normal(size=(3, 500)) * size * 2 ** 8), np.rint(rng.normal(size=(2, 500)) * size * 2 ** 8)
+        assert passes.product_sums(a, b) == [sum(int(x) * int(y) for x, y in zip(p, q)) for p in a for q in b]
+        assert passes.grouped_sums(a, group, 3) == [sum(int(x) for x in p[group == g]) for g in range(3) for p in a]
+
+
+def test_a_pass_reads_held_blocks_and_not_the_table_again(spark):
+    """Rows are made once however many passes go over them."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    df = spark.range(0, 1000, 1, 4).select(F.col("id").cast("double").alias("v")).mapInArrow(count, "v double")
+    blocks = passes.held_rows(df, ["v"])
+    for _ in range(3):
+        assert passes.exact_totals(blocks, lambda x: passes.whole_sums(x.T), 4, 1.0).tolist() == [499500.0]
+    blocks.unpersist()
+    assert made.value == 1000
