@@ -23,8 +23,8 @@ def to_double(c: Column, numeric: bool = False) -> Column:
     return nan_to_null(F.trim(c.cast("string")).try_cast("double"))
 
 
-def safe_numeric(c: Column, fill: float | None = 0.0) -> Column:
-    v = to_double(c)
+def safe_numeric(c: Column, fill: float | None = 0.0, numeric: bool = False) -> Column:
+    v = to_double(c, numeric)
     return v if fill is None else F.coalesce(v, F.lit(float(fill)))
 
 
@@ -34,8 +34,13 @@ def fix_percent(c: Column) -> Column:
 
 
 def parse_month_year(c: Column) -> Column:
-    """``"Dec-2015"`` -> DATE 2015-12-01; unparsable -> NULL."""
-    return F.try_to_timestamp(c, F.lit("MMM-yyyy")).cast("date")
+    """``"Dec-2015"`` -> DATE 2015-12-01; unparsable -> NULL. Text of the usual form is read by place, which gives what
+    the parser gives at a part of its cost; any other goes to the parser."""
+    months = "JanFebMarAprMayJunJulAugSepOctNovDec"
+    usual = (F.length(c) == 7) & c.rlike("^(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)-(1[6-9]|[2-9][0-9])[0-9][0-9]")
+    month = F.floor((F.instr(F.lit(months), F.substring(c, 1, 3)) + 2) / 3).cast("int")
+    read = F.make_date(F.substring(c, 5, 4).try_cast("int"), month, F.lit(1))
+    return F.when(usual, read).otherwise(F.try_to_timestamp(c, F.lit("MMM-yyyy")).cast("date"))
 
 
 def first_int(c: Column) -> Column:

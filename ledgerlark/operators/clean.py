@@ -37,8 +37,9 @@ def filter_loan_status(df: DataFrame) -> DataFrame:
 
 
 def null_ratios(df: DataFrame) -> DataFrame:
-    """One row: the null share of every column, in a single pass."""
-    return df.agg(*[F.avg(F.col(f"`{c}`").isNull().cast("double")).alias(c) for c in df.columns])
+    """One row: the null share of every column, in a single pass that only counts."""
+    n = F.count(F.lit(1))
+    return df.agg(*[((n - F.count(F.col(f"`{c}`"))) / F.nullif(n, F.lit(0))).alias(c) for c in df.columns])
 
 
 def drop_high_null_columns(df: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -91,13 +92,19 @@ def clean_loans(raw: DataFrame, threshold: float = 0.5, materialize: bool = True
     the aggregation step); values are otherwise unchanged. The column drop depends on
     the data, so the filtered table is read twice (null ratios, then the rest); with
     ``materialize`` it is computed once and written to the shared checkpoint folder
-    instead of recomputing its joins and aggregations for each read.
+    instead of recomputing its joins and aggregations for each read. It is written with its types, so
+    that no consumer parses text again, and with a mark for each parsed column that had a value: text that
+    does not parse is null by then, but counts as a value when columns are dropped.
     """
     df = filter_loan_status(raw)
     if materialize:
-        df = stable(df, "loans_filtered")
-    df = drop_high_null_columns(df, threshold)
-    df = normalize_grade(fix_dtypes(df))
+        given = {c: f"_given_{c}" for c in [*PERCENT_COLUMNS, *MONTH_DATE_COLUMNS, "emp_length"] if c in df.columns}
+        marked = df.withColumns({m: F.when(F.col(c).isNotNull(), F.lit(True)) for c, m in given.items()})
+        typed = stable(normalize_grade(fix_dtypes(marked)), "loans_filtered")
+        seen = typed.select(*[F.col(given.get(c, c)).alias(c) for c in df.columns])
+        df = typed.select(*drop_high_null_columns(seen, threshold).columns)
+    else:
+        df = normalize_grade(fix_dtypes(drop_high_null_columns(df, threshold)))
     df = drop_critical_nulls(df)
     return shared_features(df)
 

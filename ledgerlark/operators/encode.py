@@ -69,9 +69,11 @@ def prepare_features(df: DataFrame, features: list[str], keep: list[str] | None
     (NULL -> 0). ``keep`` columns (ids) are carried in front."""
     enc = encode_known_categories(df)
     sel = [F.col(k) for k in keep or []]
+    types = dict(enc.dtypes)
     for f in features:
-        src = F.col(f) if f in enc.columns else F.lit(0.0)
-        sel.append(X.safe_numeric(src, 0.0).alias(f))
+        src = F.col(f) if f in types else F.lit(0.0)
+        # numbers need no way through text, which gives the same value back
+        sel.append(X.safe_numeric(src, 0.0, types.get(f, "double") in ("double", "int", "bigint", "smallint", "tinyint")).alias(f))
     return enc.select(*sel)
 
 

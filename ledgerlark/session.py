@@ -35,6 +35,8 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # the JVM never compiles a method of more than 8000 bytes: a stage that would generate one runs operator by operator
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     ensure_checkpoint_dir(spark)
     return spark
 
