@@ -56,11 +56,6 @@ def normalize_location(c: Column) -> Column:
     return F.when(s.isNull() | s.isin("", "NAN", "NONE"), F.lit("UNKNOWN")).otherwise(s)
 
 
-def _ymd_to_date(y: Column, m: Column, d: Column) -> Column:
-    """Date from integer parts, NULL when they do not form a real date."""
-    return F.try_make_timestamp(y, m, d, F.lit(0), F.lit(0), F.lit(0)).cast("date")
-
-
 ISO_RE = r"^(\d{4})-(\d{1,2})-(\d{1,2})$"
 DMY_RE = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4}|\d{2})$"
 
@@ -74,18 +69,15 @@ def parse_mixed_dates(c: Column, pivot: int = 76) -> Column:
     reference's parser). Impossible dates and other text -> NULL.
     """
     s = F.trim(c.cast("string"))
-    iso = s.rlike(ISO_RE)
-    dmy = s.rlike(DMY_RE)
-    # once the shape is known, one split yields the three numbers
-    parts = F.split(s, "[/-]")
-    p0, p1, ytxt = F.get(parts, 0), F.get(parts, 1), F.get(parts, 2)
-    a, b, yy = p0.try_cast("int"), p1.try_cast("int"), ytxt.try_cast("int")
-    year = F.when(F.length(ytxt) == 2, F.when(yy < pivot, yy + 2000).otherwise(yy + 1900)).otherwise(yy)
-    day = F.when(b <= 12, a).otherwise(b)
-    month = F.when(b <= 12, b).otherwise(a)
-    return (F.when(iso, _ymd_to_date(a, b, yy))
-            .when(dmy & ((b <= 12) | (a <= 12)), _ymd_to_date(year, month, day))
-            .otherwise(F.lit(None).cast("date")))
+    yy = F.substring(s, -2, 2).try_cast("int")
+    century = F.when(s.rlike(r"[/-]\d{2}\z"), F.when(yy < pivot, "20").otherwise("19")).otherwise("")
+
+    def read(order: str) -> Column:
+        # the numbers in ISO order, read by the cast: once for most rows, as each use of a part would split the text again
+        return F.concat(century, F.regexp_replace(s, DMY_RE, order)).try_cast("date")
+
+    # a day-first reading that is no date has a month that no month-first reading can save, unless its second number is above 12
+    return F.when(s.rlike(ISO_RE), s.try_cast("date")).when(s.rlike(DMY_RE), F.coalesce(read("$3-$2-$1"), read("$3-$1-$2")))
 
 
 def cut(c: Column, edges: list[float], labels: list[str]) -> Column:

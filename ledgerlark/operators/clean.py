@@ -212,12 +212,14 @@ def prepare_transactions(df: DataFrame, pivot: int = 76, materialize: bool = Tru
         X.parse_mixed_dates(F.col("TransactionDate"), pivot).alias("TransactionDate"),
         X.to_double(F.col(f"`{amount_col}`"), numeric[amount_col]).alias("TransactionAmount"),
     )
-    tx = tx.dropna(subset=["CustomerID", "TransactionDate", "TransactionAmount", "CustAccountBalance"])
-    tx = tx.filter(F.col("TransactionAmount") >= 0)
     if materialize:
         # every consumer (reference date here; RFM, benchmarks, personas downstream)
-        # reads this table several times: parse the text once and cut the lineage
+        # reads this table several times: parse the text once and cut the lineage.
+        # Rows are dropped after it: a filter on parsed text would go down to the scans
+        # and joins below, which would parse it again in the few tasks that read a file
         tx = stable(tx)
+    tx = tx.dropna(subset=["CustomerID", "TransactionDate", "TransactionAmount", "CustAccountBalance"])
+    tx = tx.filter(F.col("TransactionAmount") >= 0)
     ref = tx.agg(F.max("TransactionDate").alias("_ref_date"))
     tx = tx.crossJoin(F.broadcast(ref))  # one row: the reference date
     age = F.datediff(F.col("_ref_date"), F.col("CustomerDOB")) / 365.25

@@ -14,7 +14,7 @@ from ..functions import expr as X
 from ..operators import clean as C
 from ..operators import windows as W
 from ..plans.sql_views import PURPOSES, _CONTACT, _EDU, _JOBS, _MARITAL, _MONTHS, _POUT
-from .tables import Tables
+from .tables import Tables, spread
 
 
 def _pick(key: Column, values: list[str]) -> Column:
@@ -118,7 +118,7 @@ def clean_loans(t: Tables) -> DataFrame:
 
 
 def transactions(t: Tables) -> DataFrame:
-    o = t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    o = spread(t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"))
     c = t.customer.select("c_custkey", "c_acctbal", "c_nationkey")
     n = t.nation.select("n_nationkey", "n_name")
     j = o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == F.col("n_nationkey"))

@@ -47,6 +47,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan, dealt to all cores where the scan has fewer than two splits for each. Splits are cut by bytes, but a
+    row group is read by one of them alone: a file of few row groups leaves most splits empty, and what follows the scan
+    to the task that has the rows. For scans of few narrow columns that go into work on text."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 class Tables:
     """Attribute access to the tables of one scale factor: ``Tables(spark, d).orders``."""
 
