@@ -152,75 +152,112 @@ def frequency_24h(spark: SparkSession, landing: str, schema, delay: str = "2 hou
 
 
 class TrailingCount(StatefulProcessor):
-    """For every event of a key, how many of its events lie in the ``seconds`` up to it, ties included: the
+    """For every event of a user, how many of its events lie in the ``seconds`` up to it, ties included: the
     ``frequency`` that the deposit models read, one count per event.
 
-    A key's state is its events by time: those still to be counted and those of the last ``seconds`` before
-    them. An event is counted once the watermark has passed it, when nothing before it can still arrive; a
-    timer at the earliest open event wakes the key. When nothing is open, a timer ``seconds`` after the
-    last event drops the rest, so keys that fall silent leave no state."""
+    A key is a bucket of users, so that a call counts the events of many users by arrays. Its state is their events by
+    (user, time), as blocks of bytes of at most ``HELD`` events: those still to be counted and those of the last
+    ``seconds`` before them. An event is counted once the watermark has passed it, when nothing before it can still
+    arrive; a timer at the earliest open event wakes the key. When nothing is open, a timer ``seconds`` after the
+    last event drops the rest, so buckets that fall silent leave no state."""
+
+    #: An event: its time, its user, its id, and whether it is still to be counted.
+    FIELDS = np.dtype([("user", "<i8"), ("us", "<i8"), ("id", "<i8"), ("open", "?")])
+    #: Events of a block of state.
+    HELD = 50_000
 
     def __init__(self, seconds: int):
         self.span = seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.events = handle.getListState("events", "us long, event_id long, open boolean")
+        self.events = handle.getListState("events", "block binary")
+        self.woken = handle.getValueState("woken", "ms long")
         self.passed = handle.getValueState("passed", "us long")
 
-    def _held(self) -> pd.DataFrame:
-        return pd.DataFrame(list(self.events.get()), columns=["us", "event_id", "open"])
-
-    def _wake(self, held: pd.DataFrame) -> None:
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
-        if len(held):
-            at = held.loc[held["open"], "us"].min() if held["open"].any() else held["us"].max() + self.span
-            self.handle.registerTimer(int(at) // 1000 + 1)
+    def _held(self) -> np.ndarray:
+        return np.concatenate([np.empty(0, self.FIELDS), *[np.frombuffer(bytes(b[0]), self.FIELDS) for b in self.events.get()]])
+
+    def _blocks(self, events: np.ndarray) -> list[tuple[bytes]]:
+        return [(events[i : i + self.HELD].tobytes(),) for i in range(0, len(events), self.HELD)]
+
+    def _wake(self, at: int | None) -> None:
+        """Sets the key's only timer: at a time in microseconds, or none."""
+        before = self.woken.get()[0] if self.woken.exists() else None
+        now = None if at is None else at // 1000 + 1
+        if now == before:
+            return
+        if before is not None:
+            self.handle.deleteTimer(before)
+        if now is None:
+            self.woken.clear()
+        else:
+            self.handle.registerTimer(now)
+            self.woken.update((now,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         passed = self.passed.get()[0] if self.passed.exists() else None
-        come = []
+        first = None
         for part in rows:
-            part = part[["us", "event_id"]].dropna()
+            part = part[["user_id", "us", "event_id"]].dropna()
             if passed is not None:
                 part = part[part["us"] > passed]  # later than the watermark: counts before it are out
-            come += [(int(u), int(e), True) for u, e in zip(part["us"], part["event_id"])]
-        if come:
-            self.events.appendList(come)
-            self._wake(self._held())
+            if len(part):
+                come = np.empty(len(part), self.FIELDS)
+                for field, c in (("user", "user_id"), ("us", "us"), ("id", "event_id")):
+                    come[field] = part[c].to_numpy(np.int64)
+                come["open"] = True
+                self.events.appendList(self._blocks(come))
+                first = int(come["us"].min()) if first is None else min(first, int(come["us"].min()))
+        if first is not None and not (self.woken.exists() and self.woken.get()[0] <= first // 1000 + 1):
+            self._wake(first)
         yield pd.DataFrame({"event_id": pd.Series(dtype="int64"), "frequency": pd.Series(dtype="int32")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         upto = timerValues.getCurrentWatermarkInMs() * 1000
-        held = self._held().sort_values(["us", "event_id"], ignore_index=True)
-        us = held["us"].to_numpy(np.int64)
-        ready = held["open"].to_numpy(bool) & (us <= upto)
-        count = np.searchsorted(us, us[ready], "right") - np.searchsorted(us, us[ready] - self.span, "left")
-        yield pd.DataFrame({"event_id": held.loc[ready, "event_id"].to_numpy(np.int64), "frequency": count.astype(np.int32)})
-        held["open"] = held["open"].to_numpy(bool) & ~ready
+        held = self._held()
+        held = held[np.lexsort((held["id"], held["us"], held["user"]))]
+        ready = held["open"] & (held["us"] <= upto)
+        count = self._counts(held)[ready]
+        yield pd.DataFrame({"event_id": held["id"][ready], "frequency": count.astype(np.int32)})
+        held["open"] &= ~ready
         # the next event to be counted is after the watermark, and so are all that come later
-        held = held[held["open"] | (us >= upto + 1 - self.span)]
-        self.passed.update((int(upto),))
+        held = held[held["open"] | (held["us"] >= upto + 1 - self.span)]
+        self.woken.clear()  # this timer is gone
         if len(held):
-            self.events.put([(int(u), int(e), bool(o)) for u, e, o in held.itertuples(index=False)])
+            self.passed.update((int(upto),))
+            self.events.put(self._blocks(held))
+            self._wake(int(held["us"][held["open"]].min()) if held["open"].any() else int(held["us"].max()) + self.span)
         else:
             self.events.clear()
             self.passed.clear()
-        self._wake(held)
+
+    def _counts(self, held: np.ndarray) -> np.ndarray:
+        """For every event, in the order of (user, time), its user's events in the span up to its time, ties included."""
+        # users end to end on one axis, more than a span apart; longer pauses of a user are cut to as much
+        step = np.minimum(np.diff(held["us"]), self.span + 1)
+        step[np.diff(held["user"]) != 0] = self.span + 1
+        axis = np.concatenate([np.zeros(min(len(held), 1), np.int64), np.cumsum(step)])
+        return np.searchsorted(axis, axis, "right") - np.searchsorted(axis, axis - self.span, "left")
 
     def close(self) -> None:
         pass
 
 
+#: Buckets of users whose trailing counts are kept together.
+USER_BUCKETS = 2048
+
+
 def trailing_frequency(spark: SparkSession, landing: str, schema, seconds: int = 86_400, delay: str = "2 hours", base: str | None = None,  # noqa: ANN001
-                       files_per_trigger: int | None = FILES_PER_TRIGGER) -> DataFrame:
+                       files_per_trigger: int | None = FILES_PER_TRIGGER, buckets: int = USER_BUCKETS) -> DataFrame:
     """(deposit_id, frequency) of every arriving deposit that the watermark has passed, see :class:`TrailingCount`.
-    It may be called again with the same ``base`` after more files have landed, or after a failure."""
+    It may be called again with the same ``base`` (and ``buckets``) after more files have landed, or after a failure."""
     src = read_landing(spark, landing, schema, files_per_trigger).filter("user_id is not null and ts is not null")
     ev = src.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-    ev = ev.select("ts", F.col("user_id").cast("long").alias("user_id"), F.unix_micros("ts").alias("us"), F.col("deposit_id").cast("long").alias("event_id"))
-    counted = ev.groupBy("user_id").transformWithStateInPandas(TrailingCount(seconds), "event_id long, frequency int", "Append", "EventTime")
+    user = F.col("user_id").cast("long")
+    ev = ev.select("ts", F.pmod(F.xxhash64(user), F.lit(buckets)).cast("long").alias("bucket"), user.alias("user_id"), F.unix_micros("ts").alias("us"),
+                   F.col("deposit_id").cast("long").alias("event_id"))
+    counted = ev.groupBy("bucket").transformWithStateInPandas(TrailingCount(seconds), "event_id long, frequency int", "Append", "EventTime")
     out = run_batches(counted, base or stream_folder(spark, "trailing_frequency"))
     return out.select(F.col("event_id").alias("deposit_id"), "frequency")
 
