@@ -42,8 +42,10 @@ SELECT user_id, window_start, window_start + INTERVAL 24 HOUR AS window_end, cou
 GROUP BY user_id, window_start HAVING window_start + INTERVAL 24 HOUR <= {_CLOSED}""")
 def q_stream_frequency_24h(spark, d):
     ev = Tables(spark, d).events
-    landing = J.land(ev, "events24", files=8, order="ts")
-    out = J.frequency_24h(spark, landing, spark.read.parquet(landing).schema)
+    landing = J.land(ev, "events24", files=8, order="ts", file_rows=J.FILE_ROWS)
+    landed = spark.read.parquet(landing)
+    # a quarter of the files at a time, two of eight: each micro-batch writes all windows that are still open once more
+    out = J.frequency_24h(spark, landing, landed.schema, files_per_trigger=max(J.FILES_PER_TRIGGER, -(-len(landed.inputFiles()) // 4)))
     return J.closed_before(out, ev)
 
 

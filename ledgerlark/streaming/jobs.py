@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -30,10 +31,17 @@ _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 FILES_PER_TRIGGER = 2
 
 
-def land(df: DataFrame, name: str, files: int = 8, order: str | None = None) -> str:
+#: Rows of a landed file, and so of a task that reads it, where a stream multiplies rows by its windows.
+FILE_ROWS = 100_000
+
+
+def land(df: DataFrame, name: str, files: int = 8, order: str | None = None, file_rows: int | None = None) -> str:
     """Write ``df`` as ``files`` Parquet files in a fresh landing folder; returns it. With ``order`` the
-    files are ranges of that column, and their times make the stream read them in its order."""
+    files are ranges of that column, and their times make the stream read them in its order. With ``file_rows``
+    there are as many more files as keep them to about so many rows; ``df`` is counted for that."""
     spark = df.sparkSession
+    if file_rows:
+        files = max(files, -(-df.count() // file_rows))
     path = scratch_path(spark, f"landing/{name}-{uuid.uuid4().hex}")
     out = df.repartitionByRange(files, order) if order else df.repartition(files)
     out.write.mode("overwrite").parquet(path)
@@ -59,17 +67,23 @@ def stream_folder(spark: SparkSession, name: str) -> str:
 
 def _finish(writer, base: str):  # noqa: ANN001, ANN202
     """Runs a stream over all that is present, with its state in RocksDB; returns the ended query."""
-    spark = writer._spark
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
-    try:
+    with _set(writer._spark, _PROVIDER, _ROCKSDB):
         q = writer.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
         q.awaitTermination()
-    finally:
-        spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
     return q
 
 
+@contextmanager
+def _set(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting that a stream takes over when it starts."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def _run(query_df: DataFrame, name: str, mode: str = "append", base: str | None = None) -> str:
     base = base or stream_folder(query_df.sparkSession, name)
     _finish(query_df.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out"), base)
@@ -138,14 +152,19 @@ def hourly_score(spark: SparkSession, landing: str, schema, thresholds: DataFram
                     (F.col("_raised") / (3.0 * F.col("events"))).alias("avg_score"))
 
 
-def frequency_24h(spark: SparkSession, landing: str, schema, delay: str = "2 hours", files_per_trigger: int | None = FILES_PER_TRIGGER) -> DataFrame:
+def frequency_24h(spark: SparkSession, landing: str, schema, delay: str = "2 hours", files_per_trigger: int | None = FILES_PER_TRIGGER) -> DataFrame:  # noqa: ANN001
     """Deposits per user in sliding 24 h windows every hour, with a watermark so state for closed
-    windows is dropped."""
+    windows is dropped.
+
+    A row becomes 24 (user, window) pairs, which the task that read it adds up in memory: each landed file is a task of its
+    own, so a file's rows bound that memory."""
     src = read_landing(spark, landing, schema, files_per_trigger)
     ev = src.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     agg = ev.groupBy("user_id", F.window("ts", "24 hours", "1 hour")).agg(F.count(F.lit(1)).alias("deposits"))
-    out = _run(agg.select("user_id", F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
-                          "deposits"), "frequency_24h")
+    # a file counts as a whole split, so that none is read together with another
+    with _set(spark, "spark.sql.files.openCostInBytes", str(1 << 30)):
+        out = _run(agg.select("user_id", F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
+                              "deposits"), "frequency_24h")
     r = spark.read.parquet(out)
     return r.select("user_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"),
                     F.col("window_end").cast("timestamp_ntz").alias("window_end"), "deposits")
