@@ -69,3 +69,22 @@ def test_cut_points_of_many_values_are_quantiles():
     x = np.random.default_rng(0).normal(size=(20_000, 1))
     cut = B.cut_points(x, 32)[0]
     assert len(cut) == 31 and np.allclose(np.diff([0, *(x[:, 0][:, None] <= cut).mean(axis=0), 1]), 1 / 32, atol=2e-3)
+
+
+def test_rows_parted_by_node_are_where_a_walk_down_the_tree_takes_them():
+    rng, width, depth = np.random.default_rng(4), 8, 4
+    bins = rng.integers(0, width, (3, 500))
+    keys = np.stack([bins[0] * width + bins[1], bins[2] * width]).astype(np.uint16)
+    block = B.Block(keys, np.ones(500, np.int8), None, np.zeros(500), np.ones(500, bool))
+    tree = B.Tree.empty(depth)
+    for at in (0, 1, 2, 3, 5, 6, 7, 11, 13):  # node 4 and others end early
+        tree.feature[at], tree.cut[at] = rng.integers(0, 3), rng.integers(1, 6)
+    walked = np.zeros(500, int)
+    for _ in range(depth):
+        f = tree.feature[walked]
+        walked = np.where(f < 0, walked, 2 * walked + 1 + (bins[f, np.arange(500)] > tree.cut[walked]))
+    assert np.array_equal(block.nodes(tree, depth, width), walked)
+    some, wanted = np.flatnonzero(rng.random(500) < 0.6), np.unique(walked)[::2]
+    found = dict(block.reached(tree, depth, width, some, wanted))
+    for place in wanted:
+        assert np.array_equal(found[place], some[walked[some] == place])
