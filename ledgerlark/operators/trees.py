@@ -8,9 +8,10 @@ The weights of all subsets of the other features are carried down the path as th
 the polynomial prod(z_j + o_j t); dividing one factor out gives the weight of that feature. So
 contributions plus the base (the ensemble's mean over its training rows) are the row's score.
 
-The leaves of all trees are one table of arrays, bounded by the model (trees x leaves) whatever the rows
-are. For paths with few features the weights of every outcome are tabulated once; rows are then
-scored in Arrow batches by lookups.
+A tree is cut into parts, subtrees with the splits above them, of few splits each. The sum of the contributions of all
+leaves of a part is tabulated once for every outcome of its splits, feature by feature; rows are then scored in Arrow
+batches by a lookup for each part and feature. Leaves under more splits than a table takes are scored one by one from
+arrays of their paths. All of it is bounded by the model (trees x leaves) whatever the rows are.
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ from pyspark.sql import types as T
 
 from ..session import scratch_path
 
-#: Paths with at most this many features use tabulated weights.
-TABLED = 8
+#: Parts of a tree with at most this many splits, and single paths with at most this many features, use tables.
+TABLED = 10
+#: Rows that are scored at once.
+ROWS = 1 << 13
 #: Numbers in one block of (rows, leaves, features).
 BLOCK = 1 << 22
 
@@ -98,36 +101,97 @@ class Paths:
             out += given.reshape(len(x), -1) @ to
 
 
+@dataclass
+class Part:
+    """A subtree and the splits above it: (feature, threshold) of its splits, and for each of its leaves its weighted value
+    and the splits on its path as {feature: (share of training rows, [(place of the split, whether it is passed on the right)])}."""
+
+    splits: list[tuple[int, float]]
+    leaves: list[tuple[float, dict[int, tuple[float, list[tuple[int, bool]]]]]]
+
+    @cached_property
+    def table(self) -> dict[int, np.ndarray]:
+        """Per feature the leaves' contributions for every outcome (bit i: split i is passed on the right)."""
+        outcome, out = np.arange(1 << len(self.splits)), {}
+        for value, path in self.leaves:
+            met, m = np.zeros(len(outcome), np.intp), len(path)
+            for i, (_, passed) in enumerate(path.values()):
+                mask = sum(1 << at for at, _ in passed)
+                met |= ((outcome & mask) == sum(1 << at for at, right in passed if right)).astype(np.intp) << i
+            share = np.array([z for z, _ in path.values()])
+            given = subset_weights(share, (np.arange(1 << m)[:, None] >> np.arange(m)) & 1) * value
+            for i, f in enumerate(path):
+                out[f] = out.get(f, 0.0) + given[met, i]
+        return out
+
+    def add(self, right: dict[tuple[int, float], np.ndarray], out: np.ndarray) -> None:
+        """Adds the contributions for rows to ``out`` (features, rows); right: whether the rows pass a split on the right."""
+        at = np.zeros(out.shape[1], np.uint16)
+        for i, split in enumerate(self.splits):
+            at |= right[split] << np.uint16(i)
+        at = at.astype(np.intp)
+        for f, given in self.table.items():
+            out[f] += given[at]
+
+
 class Ensemble:
-    """The leaves of a tree ensemble, by the number of features on their paths, and its base value."""
+    """The leaves of a tree ensemble, in tabulated parts of trees and, where paths are long, by the number of features on
+    their paths, and its base value."""
 
     def __init__(self, nodes: pd.DataFrame):
         """nodes: tree, node, left, right (-1: leaf), feature, threshold, count (weight of training rows),
         value (of a leaf, with the tree's weight)."""
         held: dict[int, list] = defaultdict(list)
-        self.base = 0.0
+        self.base, self.parts = 0.0, []
         for _, t in nodes.groupby("tree"):
             left, right, feature, threshold, count, value = (t.sort_values("node")[c].to_numpy() for c in ("left", "right", "feature", "threshold", "count", "value"))
-            todo = [(0, {})]
+            order, below = [0], np.zeros(len(left), np.int64)  # splits of a node's subtree, itself included
+            for at in order:
+                if left[at] >= 0:
+                    order += [int(left[at]), int(right[at])]
+            for at in reversed(order):
+                if left[at] >= 0:
+                    below[at] = 1 + below[left[at]] + below[right[at]]
+            todo: list = [(0, {}, (), None)]
+            made: list[list] = []  # the leaves of every part
             while todo:
-                at, path = todo.pop()
+                at, path, above, part = todo.pop()
+                if part is None and 0 < len(above) + below[at] <= TABLED:
+                    part = []
+                    made.append(part)
                 if left[at] < 0:
                     self.base += float(value[at]) * float(np.prod([s for _, _, s in path.values()]))
-                    if path:
+                    if part is not None:
+                        part.append((float(value[at]), {f: (s, [v for v in above if int(feature[v[0]]) == f]) for f, (_, _, s) in path.items()}))
+                    elif path:
                         held[len(path)].append((list(path), *zip(*path.values()), value[at]))
                     continue
                 f, cut = int(feature[at]), float(threshold[at])
                 low, high, share = path.get(f, (-np.inf, np.inf, 1.0))
-                for child, span in ((left[at], (low, min(high, cut))), (right[at], (max(low, cut), high))):
+                for child, span, right_one in ((left[at], (low, min(high, cut)), False), (right[at], (max(low, cut), high), True)):
                     if count[child] > 0:  # no training row ever reached the others
-                        todo.append((int(child), path | {f: (*span, share * count[child] / count[at])}))
+                        todo.append((int(child), path | {f: (*span, share * count[child] / count[at])}, (*above, (at, right_one)), part))
+            for leaves in made:
+                splits = sorted({at for _, path in leaves for _, passed in path.values() for at, _ in passed})
+                place = {at: i for i, at in enumerate(splits)}
+                own = [(v, {f: (s, [(place[at], to) for at, to in passed]) for f, (s, passed) in path.items()}) for v, path in leaves]
+                self.parts.append(Part([(int(feature[at]), float(threshold[at])) for at in splits], own))
         self.paths = [Paths(np.array(f), np.array(lo, float), np.array(hi, float), np.array(s, float), np.array(v, float))
                       for f, lo, hi, s, v in (zip(*rows) for rows in held.values())]
 
     def contributions(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros(x.shape)
+        out = np.zeros((x.shape[1], len(x)))
+        for s in range(0, len(x), ROWS):
+            own, given = np.ascontiguousarray(x[s : s + ROWS].T), np.zeros((x.shape[1], min(ROWS, len(x) - s)))
+            # a missing value is not below a threshold and goes right
+            right = {(f, cut): (~(own[f] <= cut)).astype(np.uint16) for f, cut in {split for p in self.parts for split in p.splits}}
+            for p in self.parts:
+                p.add(right, given)
+            out[:, s : s + ROWS] = given
+        out = np.ascontiguousarray(out.T)
         for p in self.paths:
-            p.add(x, out)
+            for s in range(0, len(x), 512):
+                p.add(x[s : s + 512], out[s : s + 512])
         return out
 
 
@@ -167,8 +231,7 @@ def tree_contributions(df: DataFrame, features: list[str], ensemble: Ensemble, o
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def explain(*cols: pd.Series) -> pd.Series:
         x = np.column_stack([c.to_numpy(dtype=float) for c in cols])
-        given = np.concatenate([bc.value.contributions(x[i : i + 512]) for i in range(0, len(x), 512)]) if len(x) else x
-        return pd.Series(list(given))
+        return pd.Series(list(bc.value.contributions(x)))
 
     return df.withColumn(out, explain(*[F.col(f).cast("double") for f in features]))
 

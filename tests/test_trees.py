@@ -136,3 +136,18 @@ def test_rows_with_missing_values_and_no_rows(spark, rows):
     got = T.tree_waterfall(holed, "id", FEATURES, ensemble).groupBy("id").agg((F.sum("contribution") + F.min("base")).alias("sum")).join(scored(model, holed.withColumn("a", F.coalesce("a", F.lit(float("nan"))))), "id").toPandas()
     assert len(got) == 20 and np.allclose(got["sum"], got["score"], atol=1e-9)
     assert T.tree_waterfall(rows.filter("false"), "id", FEATURES, ensemble).count() == 0
+
+
+def test_parts_of_trees_and_long_paths_add_up(monkeypatch):
+    monkeypatch.setattr(T, "ROWS", 4)  # several blocks of rows
+    nodes = random_trees(7, 6, 4)
+    x = np.random.default_rng(2).integers(0, 5, (10, 4)).astype(float)
+    x[3, 1] = np.nan  # goes right everywhere
+    monkeypatch.setattr(T, "TABLED", 0)
+    alone = T.Ensemble(nodes)
+    one_by_one = alone.contributions(x)
+    monkeypatch.setattr(T, "TABLED", 5)
+    found = T.Ensemble(nodes)
+    assert not alone.parts and found.parts and found.paths and max(len(p.splits) for p in found.parts) <= 5
+    assert sum(len(p.leaves) for p in found.parts) + sum(len(p.value) for p in found.paths) == sum(len(p.value) for p in alone.paths)
+    assert np.allclose(found.contributions(x), one_by_one, atol=1e-12) and np.isclose(found.base, alone.base)
