@@ -91,7 +91,7 @@ FOREST = {"numTrees": 200, "maxDepth": 10, "minInstancesPerNode": 50}
 #: The campaign forest's depth is unbounded in the original; 30 is Spark's largest.
 CAMPAIGN_FOREST = {"numTrees": 220, "maxDepth": 30}
 #: Forests of more levels are grown by :mod:`.forest`.
-DEEP = 15
+DEEP = 8
 BOOSTING = {"maxIter": 300, "stepSize": 0.05}
 #: Name of the family whose stored model scores new rows.
 BOOSTED = "Gradient Boosted Trees"
@@ -130,7 +130,7 @@ def campaign_classifiers(seed: int = 42) -> dict:
 def fit(train: DataFrame, features: list[str], estimator) -> PipelineModel:
     if isinstance(estimator, GBTClassifier):  # hundreds of rounds: the same model by fewer and lighter jobs
         return PipelineModel([assembler(features), fit_boosted(train, features, estimator)])
-    if isinstance(estimator, RandomForestClassifier) and estimator.getMaxDepth() > DEEP:  # grown to the end: most nodes have few rows
+    if isinstance(estimator, RandomForestClassifier) and estimator.getMaxDepth() > DEEP:  # most nodes have few rows, and the model is large
         return PipelineModel([assembler(features), fit_forest(train, features, estimator)])
     return Pipeline(stages=[assembler(features), estimator]).fit(train)
 

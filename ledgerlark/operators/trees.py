@@ -199,6 +199,7 @@ def node_table(model: PipelineModel, spark) -> pd.DataFrame:  # noqa: ANN001
     """The nodes of the pipeline's fitted trees, read from the stored form of its last stage. The number of
     rows is bounded by the model's trees and depth. Values of a boosted classifier are on the scale of log-odds."""
     m = model.stages[-1]
+    m = getattr(m, "spark_model", m)
     kind = type(m).__name__
     path = scratch_path(spark, f"trees/{uuid.uuid4().hex}")
     m.write().overwrite().save(path)

@@ -65,3 +65,41 @@ def test_one_class_and_missing_values(spark, rows, group, monkeypatch):
     assert (probabilities(M.fit(one, FEATURES, est), one) == 1.0).all()
     with pytest.raises(Exception, match="finite"):
         M.fit(rows.withColumn("a", F.when(F.col("id") % 11 != 0, F.col("a"))), FEATURES, est)
+
+
+@pytest.mark.parametrize("group", [1 << 14, 300])
+def test_one_weighted_tree_is_the_one_that_spark_fits(spark, rows, group, monkeypatch):
+    monkeypatch.setattr(T, "GROUP", group)
+    weighted = rows.withColumn("w", F.when(F.col("label") == 1, 1.75).otherwise(0.625))  # whole numbers of the unit
+    est = RandomForestClassifier(numTrees=1, maxDepth=10, minInstancesPerNode=20, featureSubsetStrategy="all", bootstrap=False, seed=1, labelCol="label", weightCol="w")
+    own, other = M.fit(weighted, FEATURES, est), Pipeline(stages=[M.assembler(FEATURES), est]).fit(weighted)
+    assert isinstance(own.stages[-1], T.StoredForest) and abs(own.stages[-1].totalNumNodes - other.stages[-1].totalNumNodes) <= 0.02 * other.stages[-1].totalNumNodes
+    p, q = probabilities(own, weighted), probabilities(other, weighted)
+    assert (np.abs(p - q) < 1e-9).mean() > 0.98
+
+
+def test_rows_are_scored_and_importances_found_without_sparks_model(spark, rows, monkeypatch, tmp_path):
+    est = RandomForestClassifier(numTrees=9, maxDepth=12, seed=1, labelCol="label")
+    M.fit(rows, FEATURES, est).write().overwrite().save(str(tmp_path / "m"))
+    model = M.PipelineModel.load(str(tmp_path / "m"))
+    other = M.PipelineModel([model.stages[0], T.RandomForestClassificationModel.load(f"{tmp_path}/m/stages/1_{model.stages[1].uid}/forest")])
+    holed = rows.withColumn("a", F.when(F.col("id") % 7 != 0, F.col("a")))  # a missing value goes right
+    expected = other.transform(holed).select("id", "rawPrediction", "probability", "prediction").toPandas().sort_values("id")
+    monkeypatch.setattr(T.RandomForestClassificationModel, "load", None)
+    got = model.transform(holed).select("id", "rawPrediction", "probability", "prediction").toPandas().sort_values("id")
+    for c in ("rawPrediction", "probability"):
+        assert np.allclose(np.stack([v.toArray() for v in got[c]]), np.stack([v.toArray() for v in expected[c]]), atol=1e-9)
+    assert (got["prediction"].to_numpy() == expected["prediction"].to_numpy()).all()
+    assert np.allclose(model.stages[-1].featureImportances.toArray(), other.stages[-1].featureImportances.toArray(), atol=1e-9)
+    assert model.transform(rows.filter("false")).count() == 0
+
+
+def test_splits_found_by_tables_and_by_sorting_are_the_same():
+    rng = np.random.default_rng(3)
+    x, y, w = rng.integers(0, 32, (3000, 6)).astype(np.uint8), rng.integers(0, 2, 3000), rng.integers(1, 4, 3000)
+    for c, times in ((w, None), (w * rng.integers(1, 1000, 3000), w)):
+        own = rng.integers(0, 40, 3000)
+        sub = T._subset([1], 40, 6, 3)
+        n, p = np.bincount(own, c, 40), np.bincount(own, c * y, 40)
+        both = [f(T._cells(x, np.arange(3000), own, sub, 32), (40, 3, 32), c, c * y, times, n, p, 5) for f in (T._best_of_tables, T._best_of_sorted)]
+        assert all(np.array_equal(a, b) for a, b in zip(*both)) and (both[0][2] > 0).all()
