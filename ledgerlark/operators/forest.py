@@ -32,7 +32,9 @@ from ..session import scratch_path, stable
 from .boost import CUT_ROWS, cut_points
 
 #: Rows of a node that one group grows to the end, row copies (over all trees of a batch) of a shuffle, rows of a block.
-GROUP, COPIES, BLOCK_ROWS = 1 << 14, 1 << 25, 1 << 14
+GROUP, COPIES, BLOCK_ROWS = 1 << 16, 1 << 26, 1 << 14
+#: Bytes of the tables that a task holds of the trees that are grown at the same time.
+TABLES = 1 << 27
 #: Gains up to this are rounding.
 NO_GAIN = 1e-13
 #: Weights are added up as whole numbers of this, so that sums are exact.
@@ -173,23 +175,33 @@ class Top:
     depth, and for nodes of many rows gain, weight of either class and rows."""
 
     def __init__(self) -> None:
-        self.feature, self.cut, self.left, self.depth, self.more = [-1], [0], [-1], [0], [(0.0, 0.0, 0.0, 0)]
+        self.feature, self.cut, self.left, self.depth, self.more, self.parent = [-1], [0], [-1], [0], [(0.0, 0.0, 0.0, 0)], [-1]
 
     def split(self, at: int, feature: int, cut: int) -> list[int]:
         self.feature[at], self.cut[at], self.left[at] = feature, cut, len(self.left)
         for _ in range(2):
-            for held, v in ((self.feature, -1), (self.cut, 0), (self.left, -1), (self.depth, self.depth[at] + 1), (self.more, (0.0, 0.0, 0.0, 0))):
+            for held, v in ((self.feature, -1), (self.cut, 0), (self.left, -1), (self.depth, self.depth[at] + 1), (self.more, (0.0, 0.0, 0.0, 0)), (self.parent, at)):
                 held.append(v)
         return [self.left[at], self.left[at] + 1]
 
-    def reached(self, x: np.ndarray) -> np.ndarray:
-        """The node that every row has come to."""
-        feature, cut, left = np.array(self.feature), np.array(self.cut), np.array(self.left)
-        at, rows = np.zeros(len(x), np.int64), np.arange(len(x))
-        for _ in range(max(self.depth)):
-            f = feature[at]
-            at = np.where(f < 0, at, left[at] + (x[rows, np.maximum(f, 0)] > cut[at]))
-        return at
+    def parted(self, x: np.ndarray, rows: np.ndarray, wanted: list[int]) -> list[tuple[int, np.ndarray]]:
+        """(node, those of ``rows`` that come to it) for the ``wanted`` nodes; x: (features, rows). Rows of a node are kept together,
+        and those that lead to no wanted node are left."""
+        lead, todo = np.zeros(len(self.left), bool), list(wanted)
+        while todo:
+            at = todo.pop()
+            if not lead[at]:
+                lead[at] = True
+                todo += [self.parent[at]] if at else []
+        here, found, held = set(wanted), [], [(0, rows)]
+        while held:
+            at, own = held.pop()
+            if at in here:
+                found.append((at, own))
+            elif lead[at] and self.left[at] >= 0:
+                right = x[self.feature[at]][own] > self.cut[at]
+                held += [(self.left[at], own[~right]), (self.left[at] + 1, own[right])]
+        return found
 
 
 def _blocks(train: DataFrame, features: list[str], label: str, weight: str | None, cuts: list[np.ndarray]) -> DataFrame:
@@ -250,17 +262,17 @@ def fit_forest(train: DataFrame, features: list[str], est: RandomForestClassifie
             return np.random.default_rng([seed, tree, part, number]).poisson(rate, rows)
         return (np.random.default_rng([seed, tree, part, number]).random(rows) < rate).astype(np.int64) if rate < 1.0 else np.ones(rows, np.int64)
 
-    def given(batches: Iterator[pa.RecordBatch], tops: dict[int, Top]) -> Iterator[tuple]:
-        """For every block and tree the rows that it draws: tree, bins, classes, times drawn, weights, nodes reached."""
+    def given(batches: Iterator[pa.RecordBatch], tops: dict[int, Top], wanted: dict[int, list[int]]) -> Iterator[tuple]:
+        """For every block and tree the rows that it draws: tree, bins, classes, times drawn, weights, rows by wanted node."""
         for b in batches:
             for one in b.to_pylist():
                 y = np.frombuffer(one["y"], np.uint8)
                 x = np.frombuffer(one["x"], np.uint8).reshape(len(y), width)
+                by_feature = np.ascontiguousarray(x.T)
                 c = np.frombuffer(one["c"], np.int64) if weight else None
-                for tree, top in tops.items():
+                for tree, nodes in wanted.items():
                     w = drawn(tree, one["part"], one["number"], len(y))
-                    rows = np.flatnonzero(w)
-                    yield tree, x[rows], y[rows], w[rows], w[rows] if c is None else w[rows] * c[rows], top.reached(x[rows])
+                    yield tree, x, y, w, w if c is None else w * c, tops[tree].parted(by_feature, np.flatnonzero(w), nodes)
 
     def counted(tops: dict[int, Top], open_: dict[int, list[int]]):  # noqa: ANN202
         """Tables of the open nodes: per node the weight of class 1 and of both, the rows and, of weighted rows, the times drawn
@@ -271,12 +283,12 @@ def fit_forest(train: DataFrame, features: list[str], est: RandomForestClassifie
                 subs[tree] = np.concatenate([_subset([seed, tree, node, 0], 1, width, take) for node in nodes])
                 slots[tree] = np.full(len(tops[tree].left), -1)
                 slots[tree][nodes] = np.arange(len(nodes))
-            for tree, x, y, w, c, at in given(batches, {t: top for t, top in tops.items() if open_.get(t)}):
-                slot = slots[tree][at]
-                own = np.flatnonzero(slot >= 0)
-                cell, cells = _cells(x, own, slot[own], subs[tree], bins).ravel(), len(open_[tree]) * take * bins
-                terms = [c * y, c, np.ones(len(c))] + ([w] if weight else [])
-                table = np.stack([np.bincount(cell, np.repeat(v[own], take), cells) for v in terms]).astype(np.int64)
+            for tree, x, y, w, c, found in given(batches, tops, open_):
+                own = np.concatenate([rows for _, rows in found])
+                slot = np.repeat(slots[tree][[node for node, _ in found]], [len(rows) for _, rows in found])
+                cell, cells = _cells(x, own, slot, subs[tree], bins).ravel(), len(open_[tree]) * take * bins
+                terms = [c[own] * y[own], c[own], np.ones(len(own))] + ([w[own]] if weight else [])
+                table = np.stack([np.bincount(cell, np.repeat(v, take), cells) for v in terms]).astype(np.int64)
                 tables[tree] = tables[tree] + table if tree in tables else table
             for tree, table in tables.items():
                 each = table.reshape(len(table), len(open_[tree]), -1)
@@ -302,18 +314,18 @@ def fit_forest(train: DataFrame, features: list[str], est: RandomForestClassifie
 
     def dealt(tops: dict[int, Top], ended: dict[int, set[int]]):  # noqa: ANN202
         """The rows of every tree by the node that they have reached, a piece for each block; those of ``ended`` nodes stay."""
+        groups = {t: [at for at, left in enumerate(top.left) if left < 0 and at not in ended.get(t, ())] for t, top in tops.items()}
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for tree, x, y, w, c, at in given(batches, tops):
-                order = np.argsort(at, kind="stable")
-                order = order[~np.isin(at[order], list(ended.get(tree, ())))]
-                if not len(order):
+            for tree, x, y, w, c, found in given(batches, tops, groups):
+                found = [(node, rows) for node, rows in found if len(rows)]
+                if not found:
                     continue
-                node, begin = np.unique(at[order], return_index=True)
-                each = np.concatenate([x, y[:, None], np.minimum(w, 255)[:, None]], axis=1).astype(np.uint8)
+                node, own = [at for at, _ in found], np.concatenate([rows for _, rows in found])
+                each = np.concatenate([x[own], y[own, None], np.minimum(w[own], 255).astype(np.uint8)[:, None]], axis=1)
                 if weight:
-                    each = np.concatenate([each, c.astype(np.int64)[:, None].view(np.uint8)], axis=1)
-                each = each[order]
-                pieces = [v.tobytes() for v in np.split(each, begin[1:])]
+                    each = np.concatenate([each, c[own].astype(np.int64)[:, None].view(np.uint8)], axis=1)
+                pieces = [v.tobytes() for v in np.split(each, np.cumsum([len(rows) for _, rows in found])[:-1])]
                 yield pa.RecordBatch.from_pydict({"tree": pa.array([tree] * len(node), pa.int32()), "node": pa.array(node, pa.int32()), "x": pa.array(pieces, pa.binary())})
         return run
 
@@ -332,11 +344,11 @@ def fit_forest(train: DataFrame, features: list[str], est: RandomForestClassifie
 
     written: list[DataFrame] = []
     tops: dict[int, Top] = {t: Top() for t in range(trees)}
-    batch = max(1, COPIES // max(n, 1))
-    for low in range(0, trees, batch):
+    ended: dict[int, set[int]] = {}  # nodes of many rows that are leaves: their rows go nowhere
+    batch = max(1, TABLES // (-(-n // group) * take * bins * 32))
+    for low in range(0, trees if n > group else 0, batch):
         some = {t: tops[t] for t in range(low, min(low + batch, trees))}
-        ended: dict[int, set[int]] = {}  # nodes of many rows that are leaves: their rows go nowhere
-        open_ = {t: [0] for t in some} if n > group else {}
+        open_ = {t: [0] for t in some}
         while open_:
             tables = blocks.mapInArrow(counted(some, open_), "tree int, node int, cells binary")
             found = tables.groupBy("tree", "node").applyInPandas(decided, "tree int, node int, held long, feature int, cut int, gain double, c0 double, c1 double, lw double, lp double, lheld long, times long, ltimes long").collect()  # a row for each node above the groups
@@ -356,6 +368,9 @@ def fit_forest(train: DataFrame, features: list[str], est: RandomForestClassifie
                             open_.setdefault(r["tree"], []).append(at)
                         else:
                             ended.setdefault(r["tree"], set()).add(at)
+    batch = max(1, COPIES // max(n, 1))
+    for low in range(0, trees, batch):
+        some = {t: tops[t] for t in range(low, min(low + batch, trees))}
         rows = blocks.mapInArrow(dealt(some, ended), "tree int, node int, x binary")
         nodes = rows.groupBy("tree", "node").applyInPandas(finished(some), "tree int, node int, id int, feature int, threshold double, gain double, c0 double, c1 double, held long, left int")
         written.append(stable(nodes, "forest_nodes"))
