@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 from multiprocessing.pool import ThreadPool
+from threading import Lock
 
 import numpy as np
 import pandas as pd
@@ -219,15 +220,20 @@ class Split:
     def __init__(self, data: DataFrame, features: list[str], label: str, id_col: str, weight_col: str | None = None,
                  balance: bool = False):
         self.data, self.features, self.label, self.id_col = data, features, label, id_col
-        self.weight_col, self.balance = weight_col, balance
+        self.weight_col, self.balance, self._one = weight_col, balance, Lock()
 
     @cached_property
     def _parts(self) -> DataFrame:
         split = stratified_split(self.data.withColumn("label", F.col(self.label).cast("double")), self.label, self.id_col)
         return with_weights(split, self.label, self.weight_col) if self.weight_col else split
 
-    @cached_property
+    @property
     def train(self) -> DataFrame:
+        with self._one:  # fits that run at the same time wait for the same rows
+            return self._train
+
+    @cached_property
+    def _train(self) -> DataFrame:
         rows = self._parts.filter("is_train")
         if self.balance:
             rows = smote(rows, self.label, self.id_col, self.features).withColumn("label", F.col(self.label).cast("double"))
@@ -248,12 +254,13 @@ class Split:
 
 
 def train_and_evaluate(split: Split, models: dict, threshold: float = 0.5, keep: Callable | None = None) -> DataFrame:
-    """Every model fitted on the training part and scored on the test part; a metrics row each.
+    """Every model fitted on the training part, at the same time, and scored on the test part; a metrics row each.
     ``keep(split, estimator)`` may return a stored model instead of fitting one."""
     keep = keep or (lambda split, est: split.fit(est))
     rows = None
-    for name, est in models.items():
-        scored = positive_probability(keep(split, est).transform(split.test))
+    fitted = side_by_side([lambda est=est: keep(split, est) for est in models.values()])
+    for name, model in zip(models, fitted):
+        scored = stable(positive_probability(model.transform(split.test)).select(split.label, "probability_1"), "scored")  # read several times
         m = classification_metrics(scored, split.label, "probability_1", threshold).crossJoin(auc(scored, split.label, "probability_1"))
         m = m.select(F.lit(name).alias("model"), "auc", "precision", "recall", "f1", "accuracy")
         rows = m if rows is None else rows.unionByName(m)
